@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetry.llm import neardup, repetition, residue, sitelines, truncation
+from quillmetry.llm import mixing, neardup, repetition, residue, sitelines, spans, tokenizer, truncation
 from quillmetry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,41 @@ def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_outlet_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = truncation.truncation_rates(table(spark, sf_dir, "articles"), table(spark, sf_dir, "authors"))
     return rates.groupBy("outlet").agg(F.sum("articles").alias("articles"), F.sum("cut").alias("cut"), (F.sum("cut") / F.sum("articles")).alias("rate"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", ["doc_id", "text"])
+
+
+@query("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(_documents(spark, sf_dir), "text").select("doc_id", "ids")
+
+
+@query("p8_lengths")
+def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, characters and tokens by source, and documents whose decoded ids aren't the text again (none)."""
+    docs = tokenizer.encode(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), "text")
+    wrong = ~tokenizer.decode(F.col("ids")).eqNullSafe(F.coalesce("text", F.lit("")))
+    return docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"), F.sum(F.size("ids").cast("long")).alias("tokens"), F.count_if(wrong).alias("not_restored"))
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p9_report")
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.report(mixing.mixed(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), targets), targets)
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.found_spans(_documents(spark, sf_dir))
+
+
+@query("p10_shared")
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_length(_documents(spark, sf_dir))
