@@ -44,9 +44,9 @@ _FORMATS = {
 }
 
 
-def _apart(column: Column) -> Column:
-    """The same value through a higher-order function: its projection is compiled in parts, not as one huge method."""
-    return F.element_at(F.transform(F.array(column), lambda x: x), 1)
+def _let(value: Column, f) -> Column:
+    """f(value) with value computed once: a bound variable keeps the plan small, whatever f does with it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _days(y: Column, m: Column, d: Column) -> Column:
@@ -67,46 +67,59 @@ def _offset(zone: Column, tz: Column) -> Column:
     return F.when(zone == "Z", F.lit(0)).when(zone.rlike(r"^[+-]"), numeric).otherwise(named)
 
 
+def _read(value: Column, tz: Column) -> Column:
+    """Struct of format, one (the instant if there is a single reading), md and dm (the two orders of a slash date)."""
+    nothing = F.lit(None).cast("long")
+
+    def with_parts(v: Column, kind: Column) -> Column:
+        parts = F.lit(None).cast("string")
+        for name, (pattern, order) in _FORMATS.items():
+            parts = F.when(kind == name, F.regexp_replace(v, pattern, order)).otherwise(parts)
+        return _let(F.split(parts, r"\|", -1), lambda p: _let(fields(p), lambda f: _let(walls(f), lambda w: instants(kind, f, w))))
+
+    def fields(p: Column) -> Column:
+        number = lambda i: p[i].try_cast("int")
+        month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(p[1], 1, 3))).cast("int"), F.lit(0))
+        pm, h = F.lower(p[7]), number(3)
+        hour = F.when(pm == "", h).when(h.between(1, 12), h % 12 + F.when(pm == "p", 12).otherwise(0))
+        micros = F.coalesce(F.rpad(F.substring(p[6], 1, 6), 6, "0").try_cast("long"), F.lit(0).cast("long"))
+        return F.struct(number(0).alias("y"), F.coalesce(number(1), month).alias("m"), number(2).alias("d"), hour.alias("h"), number(4).alias("mi"), F.coalesce(number(5), F.lit(0)).alias("s"), micros.alias("us"), (p[3] == "").alias("no_time"), F.nullif(F.upper(p[8]), F.lit("")).alias("zone"))
+
+    def walls(f: Column) -> Column:
+        fits = f["h"].between(0, 23) & f["mi"].between(0, 59) & f["s"].between(0, 59)
+        clock = F.when(f["no_time"], F.lit(0).cast("long")).when(fits, (f["h"] * 3600 + f["mi"] * 60 + f["s"]).cast("long") * 1_000_000 + f["us"])
+        wall = lambda c, m, d: _days(f["y"], m, d).cast("long") * DAY_US + c
+        return _let(clock, lambda c: F.struct(wall(c, f["m"], f["d"]).alias("md"), wall(c, f["d"], f["m"]).alias("dm"), _offset(f["zone"], tz).alias("off")))
+
+    def instants(kind: Column, f: Column, w: Column) -> Column:
+        local = lambda x: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(x), F.coalesce(tz, F.lit("UTC"))))
+        at = lambda x: F.when(f["zone"].isNull(), local(x)).when(w["off"].isNotNull(), x - w["off"].cast("long") * 60_000_000)
+        slash = kind == "slash"
+        return _let(at(w["md"]), lambda md: F.struct(kind.alias("format"), F.when(~slash, md).alias("one"), F.when(slash, md).alias("md"), F.when(slash, at(w["dm"])).alias("dm")))
+
+    def of_kind(v: Column, kind: Column) -> Column:
+        unit = F.when(F.length(v) == 10, 1_000_000).when(F.length(v) == 13, 1_000).otherwise(1)
+        epoch = F.struct(kind.alias("format"), (v.try_cast("long") * unit).alias("one"), nothing.alias("md"), nothing.alias("dm"))
+        none = F.struct(kind.alias("format"), nothing.alias("one"), nothing.alias("md"), nothing.alias("dm"))
+        return F.when(kind.isNull(), none).when(kind == "epoch", epoch).otherwise(with_parts(v, kind))
+
+    def kind_of(v: Column) -> Column:
+        kind = F.when(v.rlike(r"^\d{10}$|^\d{13}$|^\d{16}$"), F.lit("epoch"))
+        for name, (pattern, _) in _FORMATS.items():
+            kind = kind.when(v.rlike(pattern), F.lit(name))
+        return kind
+
+    return _let(F.trim(F.regexp_replace(value, r"\s+", " ")), lambda v: _let(kind_of(v), lambda kind: of_kind(v, kind)))
+
+
 def readings(values: DataFrame, value: str, tz: str) -> DataFrame:
-    """Add _format, one (the instant if there is a single reading), md and dm (the two orders of a slash date).
+    """Add _format, one, md and dm to each value.
 
-    Java's rule for local times gives the first of two equal wall clocks and the old offset in a gap.
+    Java's rule for local times gives the first of two equal wall clocks and the old offset in a gap. The generator
+    keeps filters on the result from being pushed into copies of the parser.
     """
-    v = F.trim(F.regexp_replace(F.col(value), r"\s+", " "))
-    out = values.withColumn("_v", v)
-    kind = F.when(F.col("_v").rlike(r"^\d{10}$|^\d{13}$|^\d{16}$"), F.lit("epoch"))
-    for name, (pattern, _) in _FORMATS.items():
-        kind = kind.when(F.col("_v").rlike(pattern), F.lit(name))
-    out = out.withColumn("_format", _apart(kind))
-    parts = F.lit(None).cast("string")
-    for name, (pattern, order) in _FORMATS.items():
-        parts = F.when(F.col("_format") == name, F.regexp_replace("_v", pattern, order)).otherwise(parts)
-    out = out.withColumn("_p", F.split(_apart(parts), r"\|", -1))
-    number = lambda i: F.expr(f"try_cast(_p[{i}] as int)")
-    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.col("_p")[1], 1, 3))).cast("int"), F.lit(0))
-    out = out.withColumns({"_y": _apart(number(0)), "_m": F.coalesce(number(1), month), "_d": number(2), "_h": number(3), "_mi": number(4), "_s": F.coalesce(number(5), F.lit(0))})
-    pm = F.lower(F.col("_p")[7])
-    out = out.withColumns({
-        "_zone": _apart(F.nullif(F.upper(F.col("_p")[8]), F.lit(""))),
-        "_us": F.coalesce(F.expr("try_cast(rpad(substring(_p[6], 1, 6), 6, '0') as bigint)"), F.lit(0).cast("long")),
-        "_hour": F.when(pm == "", F.col("_h")).when(F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(pm == "p", 12).otherwise(0)),
-    })
-    fits = F.col("_hour").between(0, 23) & F.col("_mi").between(0, 59) & F.col("_s").between(0, 59)
-    clock = F.when(F.col("_p")[3] == "", F.lit(0).cast("long")).when(fits, (F.col("_hour") * 3600 + F.col("_mi") * 60 + F.col("_s")).cast("long") * 1_000_000 + F.col("_us"))
-    out = out.withColumns({"_clock": _apart(clock), "_off": _offset(F.col("_zone"), F.col(tz))})
-    slash = F.col("_format") == "slash"
-    out = out.withColumns({
-        "_md": _apart(_days(F.col("_y"), F.col("_m"), F.col("_d")) * F.lit(DAY_US) + F.col("_clock")),
-        "_dm": F.when(slash, _days(F.col("_y"), F.col("_d"), F.col("_m")) * F.lit(DAY_US) + F.col("_clock")),
-    })
-
-    def instant(wall: str) -> Column:
-        local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col(wall)), F.coalesce(F.col(tz), F.lit("UTC"))))
-        return F.when(F.col("_zone").isNull(), local).when(F.col("_off").isNotNull(), F.col(wall) - F.col("_off").cast("long") * 60_000_000)
-
-    epoch = F.when(F.col("_format") == "epoch", F.expr("try_cast(_v as bigint)") * F.when(F.length("_v") == 10, 1_000_000).when(F.length("_v") == 13, 1_000).otherwise(1))
-    out = out.withColumns({"one": _apart(F.when(F.col("_format") == "epoch", epoch).when(~slash, instant("_md"))), "md": F.when(slash, instant("_md")), "dm": F.when(slash, instant("_dm"))})
-    return out.drop("_v", "_p", "_y", "_m", "_d", "_h", "_mi", "_s", "_zone", "_us", "_hour", "_clock", "_off", "_md", "_dm")
+    out = values.select("*", F.explode(F.array(_read(F.col(value), F.col(tz)))).alias("_r"))
+    return out.select(*values.columns, F.col("_r.format").alias("_format"), "_r.one", "_r.md", "_r.dm")
 
 
 def order_mixture(parsed: DataFrame, source: str, order: str, prior_weight: float = 1e6, steps: int = 25) -> DataFrame:
