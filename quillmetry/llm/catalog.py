@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmetry.llm import mixing, neardup, repetition, residue, sitelines, spans, tokenizer, truncation
+from quillmetry.llm import boilerplate, mixing, neardup, repetition, residue, sitelines, spans, tokenizer, truncation
 from quillmetry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,17 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p10_shared")
 def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_length(_documents(spark, sf_dir))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, sf_dir, "articles"), table(spark, sf_dir, "raw_pages"))
+
+
+@query("p1_body")
+def p1_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles' bodies, by lines removed, length and hash of what remains."""
+    articles = table(spark, sf_dir, "articles")
+    gone = boilerplate.boilerplate_lines(articles, table(spark, sf_dir, "raw_pages"))
+    out = sitelines.without_lines(_texts(spark, sf_dir), gone)
+    return out.select("id", "removed", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"))
