@@ -5,8 +5,7 @@ fraction to its slot. An element stops as soon as j passes the largest rank stil
 signature costs a few ranks per element, not m. Bands of equal slots give candidates, exact set comparison verifies
 them, min-label propagation with pointer jumping (a distributed union-find) names the groups.
 
-Texts of equal words collapse to one representative first: a band bucket holds different texts only, so copies never
-meet pairwise. They come back when `found_near_duplicates` writes the pairs that the problem defines.
+Texts of equal words are one node first: a band bucket holds different texts only, so copies never meet pairwise. They come back when `found_near_duplicates` writes the pairs that the problem defines.
 
 Defined results: null and empty texts, and texts under `min_words` words, belong to no pair and no group. Repeated
 rows of one id count once. Texts of any length are read whole. Ties don't arise: the threshold is compared exactly.
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmetry.llm import textkit as tk
-from quillmetry.runtime import written
+from quillmetry.runtime import broadcast_if_small, rows_of, written
 
 #: Slots by band: 48 bands of 4 find a pair of similarity 0.6 with probability 0.9987, one of 0.8 in all but 1e-11.
 BANDS, ROWS_PER_BAND = 48, 4
@@ -75,7 +74,7 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(records: DataFrame, k: int, min_words: int, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """records: id, text. One row per text long enough: id, set_hash (of the run of its shingles) and an array of band hashes."""
+    """records: id, text. One row per text long enough: id, set_hash (of its words in order) and an array of band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (c for whole in batches for c in tk.chunks(whole, "text")):
@@ -112,52 +111,48 @@ def shingle_sets(records: DataFrame, k: int) -> DataFrame:
 
 
 def classes(records: DataFrame, k: int, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """id, rep; and rep, bands: rep is the smallest id of the texts with the same words. One row per distinct id."""
-    sig = written(signatures(records, k, min_words), "signatures")
-    reps = sig.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    member = sig.select("id", "set_hash").distinct().join(reps, "set_hash").select("id", "rep")
-    bands = sig.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).select("rep", "bands")
-    return written(member, "members"), bands
+    """Members id, node and bands node, bands: a node is a text, named by the hash of its words. One row per id, per node."""
+    sig = written(signatures(records, k, min_words), "signatures").withColumnRenamed("set_hash", "node")
+    return written(sig.select("id", "node").distinct(), "members"), sig.select("node", "bands").dropDuplicates(["node"])
 
 
 def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of representatives that share a band."""
-    cells = bands.select("rep", F.explode("bands").alias("cell"))
-    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    held = cells.join(crowded, "cell")
-    a, b = held.withColumnRenamed("rep", "a"), held.withColumnRenamed("rep", "b")
-    return a.join(b, "cell").filter("a < b").select("a", "b").distinct()
+    """Distinct pairs a < b of nodes that share a band. One shuffle of the cells serves both sides of the join."""
+    cells = bands.select("node", F.explode("bands").alias("cell"))
+    a, b = cells.withColumnRenamed("node", "a"), cells.withColumnRenamed("node", "b")
+    return a.join(b.hint("merge"), "cell").filter("a < b").select("a", "b").distinct()
 
 
-def verified_pairs(records: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
+def verified_pairs(records: DataFrame, members: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     """a, b, similarity of the candidate pairs whose exact Jaccard similarity is at least threshold."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = records.join(wanted, "id", "left_semi")
-    sets = written(shingle_sets(texts, k).dropDuplicates(["id"]), "shingles")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(members.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")), "wanted")
+    texts = records.join(broadcast_if_small(wanted, rows_of(wanted)), "id")
+    sets = written(shingle_sets(texts.select(F.col("node").alias("id"), "text"), k).dropDuplicates(["id"]), "shingles")
     sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     counted = pairs.join(sa, "a").join(sb, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
     similarity = F.col("both") / (F.col("total") - F.col("both"))
-    exact = F.col("both") * 1_000_000 >= F.lit(round(threshold * 1_000_000)) * (F.col("total") - F.col("both"))
+    exact = F.col("both").cast("long") * 1_000_000 >= F.lit(round(threshold * 1_000_000)) * (F.col("total") - F.col("both"))
     return counted.filter(exact).select("a", "b", similarity.alias("similarity"))
 
 
 def near_duplicates(records: DataFrame, k: int = 5, threshold: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Links a, b, similarity between representatives, and members id, rep. Nothing is lost: copies share their rep."""
+    """Links a, b, similarity between nodes, and members id, node. Nothing is lost: copies share their node."""
     members, bands = classes(records, k, min_words)
-    return written(verified_pairs(records, candidate_pairs(bands), k, threshold), "links"), members
+    return written(verified_pairs(records, members, candidate_pairs(bands), k, threshold), "links"), members
 
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs id_a < id_b of the ids behind the links and within the classes of copies."""
-    m = members.groupBy("rep").agg(F.count("*").alias("n"))
-    plural = members.join(m.filter("n > 1").select("rep"), "rep")
-    inside = plural.withColumnRenamed("id", "x").join(plural.withColumnRenamed("id", "y"), "rep").filter("x < y").select("x", "y")
+    m = members.groupBy("node").agg(F.count("*").alias("n"))
+    plural = members.join(m.filter("n > 1").select("node"), "node")
+    inside = plural.withColumnRenamed("id", "x").join(plural.withColumnRenamed("id", "y"), "node").filter("x < y").select("x", "y")
     across = (
         links.select("a", "b")
-        .join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-        .join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
+        .join(members.select(F.col("node").alias("a"), F.col("id").alias("x")), "a")
+        .join(members.select(F.col("node").alias("b"), F.col("id").alias("y")), "b")
         .select("x", "y")
     )
     return inside.unionAll(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -188,11 +183,10 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def groups(records: DataFrame, k: int = 3, threshold: float = 0.6, min_words: int = 80) -> DataFrame:
-    """One row per record with a near copy or an exact one: id, rep, group_id, links (of its representative)."""
+    """One row per record with a near copy or an exact one: id, node (its text), group_id, links (of its node)."""
     links, members = near_duplicates(records, k, threshold, min_words)
     part = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    size = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    out = members.join(size, "rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    out = out.filter("copies > 1 or component is not null")
-    return out.select("id", "rep", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    size = members.groupBy("node").agg(F.count("*").alias("copies"))
+    out = members.join(size, "node").join(part, "node", "left").join(degree, "node", "left").filter("copies > 1 or component is not null")
+    return out.select("id", "node", F.coalesce("component", "node").alias("group_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
