@@ -71,9 +71,9 @@ def plan_weights(tokens: dict[str, int], targets: dict[str, tuple[float, int]],
         rising = entropy(goal) < entropy(share)
         a = bisect_exponent(lambda x: (entropy(exponent_weights(share, goal, x)) >= target_entropy) == rising or entropy(exponent_weights(share, goal, x)) == target_entropy)
         weights = exponent_weights(share, goal, a)
-        return weights, budget or int(min(cap[s] / w for s, w in weights.items())), a
+        return weights, budget or int(min(cap[s] / w for s, w in weights.items()) + 1e-6), a
     if budget is None:
-        return goal, int(min(cap[s] / goal[s] for s in goal)), 1.0
+        return goal, int(min(cap[s] / goal[s] for s in goal) + 1e-6), 1.0
     fits = lambda x: all(budget * w <= cap[s] * (1 + 1e-12) for s, w in exponent_weights(share, goal, x).items())
     a = bisect_exponent(fits)
     return exponent_weights(share, goal, a), budget, a
