@@ -56,7 +56,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.found_residue(table(spark, sf_dir, "articles"))
 
 
-@query("p6_found")
+P6_SQL = r"""
+with a as (select distinct id, author_id, clean_text from articles where author_id is not null and clean_text is not null),
+long as (select *, string_split(clean_text, chr(10)) as lines from a where len(string_split(trim(regexp_replace(clean_text, '\s+', ' ', 'g')), ' ')) >= 50),
+l as (select id, author_id, unnest(lines) as line, generate_subscripts(lines, 1) as line_no from long),
+k as (select id, author_id, line_no, lower(trim(regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '\d+', '#', 'g'))) as k from l),
+n as (select author_id, k from k where k <> '' group by 1, 2 having count(distinct id) >= 6)
+select distinct k.id, k.line_no from k join n on k.author_id = n.author_id and k.k = n.k
+"""
+
+
+@query("p6_found", P6_SQL)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.found_repeated_lines(table(spark, sf_dir, "articles"))
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from quillmetry.runtime import broadcast_if_small, rows_of, written
 
-SALTS = 8
+#: Rows of frequent lines by salted block of a source's documents, and the least number of blocks.
+SALT_ROWS, SALTS = 500_000, 8
 BLOCK = 32768
 
 
@@ -41,7 +42,7 @@ def frequent_lines(lines: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """The lines that stand in at least `least` documents of their source, as source, key, documents; and all their places."""
     often = written(lines.groupBy("source", "key").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least).select("source", "key"), "often")
     held = written(lines.join(broadcast_if_small(often, rows_of(often)), ["source", "key"]), "held")
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(SALTS, rows_of(held) // SALT_ROWS))).cast("int")
     number = F.dense_rank().over(Window.partitionBy("source", "salt").orderBy("id")) - 1
     numbered = held.withColumn("salt", salt).withColumn("n", number)
     cells = numbered.select("source", "key", "variant", "salt", F.expr(f"n div {BLOCK}").alias("block"), (F.col("n") % BLOCK).cast("long").alias("bit"))
