@@ -8,7 +8,8 @@ source reaches its target share. A target entropy may be given instead; it is me
 
 A source's budget is cut into whole passes and a rest. The rest is taken from a seeded permutation of hash blocks:
 blocks in their order as long as they fit, then documents of the block at the edge, by running sums within that block
-only. So no task ever orders a whole source, and every source is off its budget by less than one document.
+only; the document at the edge is in if at least half of it fits. So no task ever orders a whole source, and every
+source is off its budget by half a document at most.
 
 Defined results: a source without a target is not mixed; a target without documents, or with only empty ones, can't be
 met: it is reported with share 0 and the other targets are scaled to sum to 1. Null, negative and zero targets count as
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights: dict[str, float], budget: int, tokens: dict[st
     blocks = blocks.select("source", "block", "left", (F.col("left") >= F.col("size")).alias("whole"))
     placed = own.join(blocks, ["source", "block"], "left")
     upto = Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.filter("whole = false").withColumn("extra", (F.sum("n_tokens").over(upto) <= F.col("left")).cast("long"))
+    edge = placed.filter("whole = false").withColumn("extra", (F.sum("n_tokens").over(upto) - F.col("n_tokens") / 2 <= F.col("left")).cast("long"))
     rest = placed.filter("whole is null or whole").withColumn("extra", F.coalesce(F.col("whole").cast("long"), F.lit(0).cast("long")))
     out = edge.unionByName(rest).withColumn("copies", F.col("passes") + F.col("extra"))
     return out.filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
@@ -120,7 +121,7 @@ def mixed(documents: DataFrame, targets: DataFrame, budget: int | None = None, s
 def report(used: DataFrame, targets: DataFrame) -> DataFrame:
     """Each source's target, documents, tokens, mean and largest number of copies, and its actual share of the mix."""
     by = used.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    all_tokens = used.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("all_tokens"))
-    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").join(F.broadcast(all_tokens))
+    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left")
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # a row per target: a small dimension
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return out.select("source", "target_share", "max_repeats", zero("documents"), zero("tokens"), zero("most_copies"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+    return out.select("source", "target_share", "max_repeats", zero("documents"), zero("tokens"), zero("most_copies"), F.coalesce(F.try_divide("tokens", whole), F.lit(0.0)).alias("actual_share"))
