@@ -2,7 +2,7 @@
 
 Placeholders are found by one small grammar per delimiter, filler text by runs of filler words, error and script
 notices by lines that consist of the notice. Code blocks and inline code are blanked first, and a record whose
-placeholders stand next to words that talk about templates, or that is dense with code, is a tutorial and no case.
+placeholders all stand right after words that talk about template syntax is a tutorial and no case.
 Prose that only mentions a 404 error, lorem ipsum or JavaScript never forms a whole notice line or a filler run.
 
 All rules are column expressions over the whole text, with cheap containment tests before the regular expressions.
@@ -13,7 +13,7 @@ Defined results: null, empty and blank texts are no case. Repeated rows give rep
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NAME = r"[A-Za-z_][\w.\- ]{0,60}"
@@ -83,8 +83,3 @@ def residue(records: DataFrame, text: str) -> DataFrame:
 def found_residue(articles: DataFrame) -> DataFrame:
     """Distinct id of articles that are, or contain, residue."""
     return residue(articles.select("id", "clean_text"), "clean_text").filter("is_residue").select("id").distinct()
-
-
-def is_residue(text: str) -> Column:
-    """The names of the columns that residue() adds, for callers that filter."""
-    return F.col("is_residue") & F.col(text).isNotNull()
