@@ -41,10 +41,10 @@ def _(d):
     return f"select c_custkey, c_name from {d.t('customer')} where c_mktsegment in ('BUILDING', 'MACHINERY')"
 
 
-@both("url_exists", "articles", "generated_articles")
+@both("rows_that_exist", "articles")
 def _(d):
-    """Existence probe of one table's ids in another, both ways at once."""
-    return f"select a.author_id, count(*) as articles from (select distinct id, author_id from {d.t('articles')}) a left semi join (select distinct author_id as x from {d.t('articles')} where is_duplicate) b on a.author_id = b.x group by 1" if d.explode == "explode" else f"select author_id, count(*) as articles from (select distinct id, author_id from articles) a where author_id in (select author_id from articles where is_duplicate) group by 1"
+    """Articles of the authors that have a flagged one: an existence probe as a semi join."""
+    return f"select author_id, count(*) as articles from (select distinct id, author_id from {d.t('articles')}) a where author_id in (select author_id from {d.t('articles')} where is_duplicate) group by 1"
 
 
 @both("eligible_articles", "articles")
@@ -270,7 +270,7 @@ def _(d):
 
 @both("error_kinds_top50", "articles")
 def _(d):
-    key = d.sub("substr(coalesce(clean_text, ''), 1, 200)", r"[0-9a-f]{6,}".replace("{6,}", "[0-9a-f][0-9a-f][0-9a-f][0-9a-f][0-9a-f]+"), "#")
+    key = d.sub("substr(coalesce(clean_text, ''), 1, 200)", "[0-9a-f]" * 6 + "+", "#")
     return f"select kind, count(*) as n from (select distinct id, {key} as kind from {d.t('articles')} where coalesce(word_count, 0) < 12) x group by kind order by n desc, kind limit 50"
 
 
