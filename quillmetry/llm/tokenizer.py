@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern of the public tokenizers of this kind, with white space as Unicode has it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PAIR_BUCKETS = 32768
-WORD_BUCKETS = 16384
-HOT_WORDS = 65536
+PAIR_BUCKETS = 16384
+WORD_BUCKETS = 8192
+HOT_WORDS = 16384
+#: Longer words are never hot, so the hot table has a size bound: HOT_WORDS words of HOT_BYTES bytes.
+HOT_BYTES = 64
 _NONE = 1 << 30
 
 
@@ -38,17 +40,26 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in lines}
 
 
+def _merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
+    """The two pieces whose merge makes the token: what merges of lower rank alone leave of it."""
+    parts, top = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while len(parts) > 2:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], _NONE), i) for i in range(len(parts) - 1))
+        if rank >= top:
+            return None
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
+
+
 @lru_cache(maxsize=4)
-def _pair_json(path: str) -> str:
-    """Buckets of merges: each entry has the ids of two pieces and of the piece they make, in 17 bits each."""
+def _pair_text(path: str) -> str:
+    """Buckets of merges, joined by commas: each entry is ;, the two pieces' ids as 9 hex digits, the merged id as 5."""
     ranks = read_ranks(path)
-    buckets: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
+    buckets = [""] * PAIR_BUCKETS
     for token, merged in ranks.items():
-        for cut in range(1, len(token)):
-            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if a is not None and b is not None:
-                buckets[(a * 40503 + b) % PAIR_BUCKETS].append(a << 34 | b << 17 | merged)
-    return json.dumps(buckets, separators=(",", ":"))
+        if len(token) > 1 and (pair := _merge_of(token, ranks)):
+            buckets[(pair[0] * 40503 + pair[1]) % PAIR_BUCKETS] += f";{pair[0] << 17 | pair[1]:09X}{merged:05X}"
+    return ",".join(buckets)
 
 
 def _let(value: Column, f) -> Column:
@@ -72,14 +83,13 @@ def _rank(a: Column, b: Column, pairs: Column) -> Column:
     """Id of the piece that a and b make, _NONE if there is none."""
     a, b = a.cast("long"), b.cast("long")
     bucket = F.element_at(pairs, ((a * 40503 + b) % PAIR_BUCKETS + 1).cast("int"))
-    key = F.shiftleft(a, 17) + b
-    hit = F.filter(bucket, lambda e: F.shiftright(e, 17) == key)
-    return F.coalesce(F.try_element_at(hit, F.lit(1)).bitwiseAND(F.lit((1 << 17) - 1).cast("long")).cast("int"), F.lit(_NONE))
+    key = F.concat(F.lit(";"), F.lpad(F.hex(F.shiftleft(a, 17) + b), 9, "0"))
+    return _let(F.struct(bucket.alias("text"), F.instr(bucket, key).alias("at")), lambda x: F.when(x["at"] == 0, F.lit(_NONE)).otherwise(F.conv(x["text"].substr(x["at"] + 10, F.lit(5)), 16, 10).cast("int")))
 
 
 def word_ids(word: Column, path: str = RANKS) -> Column:
     """Ids of one word: the ids of its bytes, folded by the ranked merges; a fold of n bytes needs n - 1 merges at most."""
-    pairs = F.from_json(F.lit(_pair_json(path)), "array<array<bigint>>")
+    pairs = F.split(F.lit(_pair_text(path)), ",")
     state = lambda ids, done: F.struct(ids.alias("ids"), done.alias("done"))
 
     def best(ids: Column) -> Column:
@@ -103,8 +113,8 @@ def words(text: Column) -> Column:
 
 
 def hot_words(documents: DataFrame, text: str, n: int = HOT_WORDS) -> DataFrame:
-    """The n most frequent distinct words of the corpus."""
-    seen = documents.select(F.explode(words(F.col(text))).alias("word"))
+    """The n most frequent distinct words of the corpus, of HOT_BYTES bytes at most."""
+    seen = documents.select(F.explode(words(F.col(text))).alias("word")).filter(F.octet_length("word") <= HOT_BYTES)
     return seen.groupBy("word").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "word").limit(n).select("word")
 
 
@@ -113,7 +123,13 @@ def _bucket(word: Column) -> Column:
 
 
 def encode(documents: DataFrame, text: str, ids: str = "ids", path: str = RANKS, hot: int = HOT_WORDS) -> DataFrame:
-    """Add a column with the ids of each text. One bounded collect: the ids of the hot words."""
+    """Add a column with the ids of each text. One bounded collect: the ids of the hot words.
+
+    The literals would fill the plan texts that the driver keeps, so those are cut where the session sets no length.
+    """
+    conf = documents.sparkSession.conf
+    if int(conf.get("spark.sql.maxPlanStringLength", "2147483632")) > 1 << 24:
+        conf.set("spark.sql.maxPlanStringLength", str(1 << 16))
     known = hot_words(documents, text, hot)
     known = known.repartition(max(1, documents.sparkSession.sparkContext.defaultParallelism)) if hot > 4096 else known
     buckets: list[dict[str, list[int]]] = [{} for _ in range(WORD_BUCKETS)]
