@@ -34,7 +34,8 @@ BLOCKS = 4096
 def sizes(documents: DataFrame, text: str = "text", path: str = tokenizer.RANKS) -> DataFrame:
     """doc_id, source, n_tokens of the documents that have a source and tokens, written once."""
     counted = tokenizer.encode(documents.select("doc_id", "source", text), text, "ids", path).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"))
-    return written(counted.filter("source is not null and n_tokens > 0"), "sizes")
+    # the filter on the count comes after the table is written: pushed down, it would encode every text twice
+    return written(counted.filter("source is not null"), "sizes").filter("n_tokens > 0")
 
 
 def exponent_weights(shares: dict[str, float], targets: dict[str, float], a: float) -> dict[str, float]:
