@@ -1,10 +1,12 @@
 """Text cut off by field limits (problem 7).
 
-The corpus vocabulary, taken from all words but the last of each text, is a trie held as a table of its nodes: a node is
-a proper prefix of a known word. A last token that is no word itself but a node of the trie was cut inside. A text that
-stops without an end of sentence was cut unless its last line is known to be complete: a list entry, a link, a tag
-line, a heading or a line of page furniture, all learned from the corpus by how often their form ends other texts.
-Length evidence (fewer words than word_count says, a length that many texts have) decides short doubtful lines.
+The corpus vocabulary, taken from the titles and from all words but the last of each text, is a trie held as a table of
+its nodes: a node is a proper prefix of a known word. A last token that is no word itself but a node of the trie was cut
+inside, whatever its line looks like; so was a text of fewer words than word_count says. Any other text that stops
+without an end of sentence was cut unless its last line is known to be complete: a list entry, a link, a tag line, a
+heading or a line of page furniture, all learned from the corpus by how often their form ends other texts. A length that
+many different texts have, and far more than the lengths around it, is evidence against all of these but a whole line
+that stands in other texts too.
 
 Defined results: null, empty and blank texts are not cut; a null word_count gives no length evidence. A text of fewer
 than `short_text` words needs positive evidence. Repeated rows of one id count once in what is learned and in the rates.
@@ -23,6 +25,8 @@ MARK = r"(?:…|\.\.\.|&hellip;?|\[…\]|\[\.\.\.\]|\(more\))$"
 STOP = r"[.!?。！？]$|[.!?。！？,]?[)\]\"”»’'“」]+$"
 LIST_ENTRY = r"^(?:[-–•*·] |\d{1,3}[.)] )"
 TAG_LINE = r"^\p{L}[\p{L} ]{1,20}: [^.!?\"“”]*,[^.!?\"“”]*$"
+#: A last token of letters alone: not what follows digits, nor a part of an address, a name of a file or a tag.
+TOKEN = r"(?U)(?:^|\s)[^\s\d@#/\\.:_]*?([\p{L}\p{M}]+)$"
 LINK = r"https?://\S+$|\S+@\S+\.\w+$|^#\S+(?: #\S+)*$|[|·©>]"
 
 
@@ -52,9 +56,9 @@ def endings(articles: DataFrame) -> DataFrame:
     e = e.withColumn("tail", F.slice(lines, -F.least(F.size(lines), F.lit(TAIL)), F.lit(TAIL))).withColumn("last", F.trim(F.element_at("tail", -1)))
     return e.select(
         "id", "author_id", "word_count", "last", F.filter("tail", lambda x: (F.trim(x) != "") & (F.length(x) <= 240)).alias("tail"),
-        F.length("clean_text").alias("chars"),
+        F.length("clean_text").alias("chars"), F.xxhash64("t").alias("text_hash"),
         F.size(F.split(F.regexp_replace("t", r"(?U)\s+", " "), " ")).alias("n_words"),
-        F.lower(F.regexp_extract("last", r"(?U)([\p{L}\p{M}]+)$", 1)).alias("token"),
+        F.lower(F.regexp_extract("last", TOKEN, 1)).alias("token"),
         _normal(F.col("last")).alias("normal"),
         _mask(F.col("last")).alias("mask"),
         F.lower(F.regexp_extract("last", r"^([^:.\d]{2,24}): ", 1)).alias("head"),
@@ -62,12 +66,22 @@ def endings(articles: DataFrame) -> DataFrame:
 
 
 def vocabulary(articles: DataFrame) -> DataFrame:
-    """Distinct words of all texts, without the last word of each."""
-    words = F.split(F.lower(F.coalesce(F.col("clean_text"), F.lit(""))), r"[^\p{L}\p{M}]+")
-    inner = F.array_distinct(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    """Distinct words of all titles and texts, without the last word of each text."""
+    split = lambda c: F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{M}]+")
+    words = split("clean_text")
+    inner = F.array_union(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), split("title"))
     return articles.select(F.explode(inner).alias("word")).filter("word != ''").distinct()
 
 
+def common_lengths(ends: DataFrame, least: int = 5, times: int = 4, around: int = 12) -> DataFrame:
+    """chars: lengths of many different texts, `times` as many as the average length and the lengths around have."""
+    lengths = ends.groupBy("chars").agg(F.count_distinct("text_hash").alias("c"))
+    usual = lengths.agg(F.avg("c")).first()[0] or 0.0
+    high = lengths.filter(F.col("c") >= max(float(least), times * usual))
+    near = lengths.select(F.explode(F.sequence(F.col("chars") - around, F.col("chars") + around)).alias("chars"), "c").groupBy("chars").agg(F.sum("c").alias("near"))
+    return high.join(near, "chars").filter(F.col("c") * (2 * around) >= times * (F.col("near") - F.col("c"))).select("chars")
+
+
 def trie_nodes(words: DataFrame, least: int = 1) -> DataFrame:
     """Proper prefixes of the words: the inner nodes of their trie."""
     size = F.length("word")
@@ -101,9 +115,7 @@ def truncation(articles: DataFrame, repeats: int = 4, short_text: int = 25) -> D
     often = lambda key, name: tails.groupBy(key).agg(F.count("*").alias("c"), F.coalesce(F.avg("cut"), F.lit(0.0)).alias("share")).filter((F.col("c") >= repeats) & (F.col("share") < 0.1)).select(key, F.lit(True).alias(name))
     lines, masks = often("normal", "repeated"), often("mask", "same_kind").filter(F.col("mask").rlike(r"\p{Ll}{3,}"))
     heads = ends.filter("head != ''").groupBy("head").agg(F.count("*").alias("c")).filter(F.col("c") >= repeats).select("head", F.lit(True).alias("tagged"))
-    lengths = ends.groupBy("chars").agg(F.count("*").alias("c"))
-    usual = lengths.agg(F.avg("c")).first()[0] or 0.0
-    spikes = lengths.filter(F.col("c") >= max(5.0, 4 * usual)).select("chars", F.lit(True).alias("common_length"))
+    spikes = common_lengths(ends).withColumn("common_length", F.lit(True))
     forms, small = heading_forms(a)
     tokens = open_end.filter("token != ''").select("token").distinct()
     words = written(vocabulary(a), "words")
@@ -119,9 +131,11 @@ def truncation(articles: DataFrame, repeats: int = 4, short_text: int = 25) -> D
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     prefix = yes("is_node") & ~yes("known")
     fewer = F.coalesce(F.col("word_count") > F.col("n_words") * 1.04 + 2, F.lit(False))
-    complete = F.col("last").rlike(LIST_ENTRY) | F.col("last").rlike(LINK) | F.col("last").rlike(TAG_LINE) | yes("repeated") | yes("same_kind") | yes("tagged") | (yes("heading") & ~fewer)
-    evidence = prefix | fewer | yes("common_length")
-    cut = F.when(F.col("mark"), ~yes("repeated") & (F.col("n_words") >= 5)).when(complete, False).when(F.col("n_words") < short_text, evidence & fewer).otherwise(True)
+    complete = F.col("last").rlike(LIST_ENTRY) | F.col("last").rlike(LINK) | F.col("last").rlike(TAG_LINE) | yes("same_kind") | yes("tagged") | yes("heading")
+    cut = (
+        F.when(F.col("mark"), ~yes("repeated") & (F.col("n_words") >= 5)).when(prefix | fewer, True).when(yes("repeated"), False)
+        .when(yes("common_length"), True).when(complete, False).otherwise(F.col("n_words") >= short_text)
+    )
     return joined.select("id", "author_id", cut.alias("is_cut"), "mark", prefix.alias("unknown_prefix"), fewer.alias("fewer_words"), yes("common_length").alias("common_length"), "last")
 
 

@@ -59,6 +59,16 @@ def test_truncation(spark):
     assert (rate.articles, rate.cut) == (11, 2)
 
 
+def test_truncation_by_trie_and_length(spark):
+    words = "The council met on Monday and approved every proposal that the mayor had sent"
+    rows = [(f"k{i}", f"{words} {i} times. Residents complained loudly about the pixels.", None) for i in range(3)]
+    rows += [("short", "The council met on Monday and approv", None), ("stale", "Residents complained lou", 3), ("bar", f"Council | Town. {words} {words} and residents compl", None), ("digits", "A width of 12pix", None), ("address", "See town.example/resid", None), ("whole", "Residents complained loudly", None)]
+    many = [(f"m{i}", f"{'abcdefgh'[i]} " * 15 + "and then the mayor had sent", None) for i in range(8)]
+    copies = [(f"c{i}", "The mayor had sent", None) for i in range(9)]
+    df = spark.createDataFrame([(i, "a", "T", t, n) for i, t, n in [*rows, *many, *copies]], "id string, author_id string, title string, clean_text string, word_count bigint")
+    assert {r.id for r in truncation.found_truncated(df).collect()} == {"short", "stale", "bar", *(i for i, *_ in many)}
+
+
 def page(i: int) -> tuple[str, list[str], list[bool]]:
     rng = np.random.default_rng(i)
     names = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in "rstxz"]
