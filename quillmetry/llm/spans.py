@@ -1,9 +1,11 @@
 """Long exact spans shared between records (problem 10), by FM-indexes over shards.
 
 1. Winnowing picks an anchor, a K-gram, in every stretch of 200 characters of every text, so two texts with 200
-   characters in common have a common anchor inside them. Anchors of one text only are dropped.
+   characters in common have a common anchor inside them, at the same place of both: of equal K-grams, as in loops, all
+   are kept. Anchors of one text only are dropped.
 2. Around each shared anchor the region that can hold such a span is cut. A common span of 200 goes on for at least 76
-   characters to the left or to the right of its anchor, so regions meet only under equal keys of 124 characters.
+   characters to the left or to the right of its anchor, so regions meet only under equal keys of 124 characters. The
+   equal regions of a text, as inside a loop, are one with all their places.
 3. The regions of a shard of keys are indexed; every region's 124 characters are searched backwards over the wavelet
    matrix. The places found are the candidates, and both directions are compared exactly from there on.
 
@@ -61,13 +63,8 @@ def winnow(cp: np.ndarray, at: np.ndarray, k: int = K, least: int = LEAST) -> tu
     padded = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
     high = _sliding(padded, w, np.maximum)
     place = np.flatnonzero((high == h) & (h != 0))
-    key, doc = h[place], text_of[place]
-    # equal anchors close together (loops): the first and the last of each such stretch align all that any of them can
-    order = np.lexsort((place, key, doc))
-    key, doc, place = key[order], doc[order], place[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > w)] if len(key) else np.zeros(0, bool)
-    keep = new | np.r_[new[1:], True] if len(key) else new
-    return key[keep], doc[keep], place[keep] - at[doc[keep]]
+    doc = text_of[place]
+    return h[place], doc, place - at[doc]
 
 
 def anchors(documents: DataFrame, k: int = K, least: int = LEAST) -> DataFrame:
@@ -83,13 +80,25 @@ def anchors(documents: DataFrame, k: int = K, least: int = LEAST) -> DataFrame:
 
 
 def regions(texts: DataFrame, hits: DataFrame, k: int = K, least: int = LEAST) -> DataFrame:
-    """rid, t, start, left, region: the characters around each shared anchor that can belong to a span with it."""
+    """rid, t, starts, left, region: the characters around the shared anchors that can belong to a span with them.
+
+    One row for all places of a text with equal surroundings.
+    """
     side = least - k
     by_text = hits.groupBy("t").agg(F.collect_set("pos").alias("places"))
-    joined = texts.join(by_text, "t").select("t", "text", F.explode("places").alias("pos"))
-    start = F.greatest(F.col("pos") - side, F.lit(0))
-    cut = joined.select("t", "pos", start.alias("start"), F.substring("text", start + 1, F.col("pos") - start + k + side).alias("region"))
-    return cut.select("t", "start", (F.col("pos") - F.col("start")).alias("left"), "region", F.xxhash64(F.col("pos") - F.col("start"), "region").alias("rid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (c for whole in batches for c in tk.chunks(whole, "text")):
+            found: dict[tuple[int, int, str], list[int]] = {}
+            for t, text, places in zip(*(b.column(c).to_pylist() for c in ("t", "text", "places"))):
+                for pos in places:
+                    start = max(pos - side, 0)
+                    found.setdefault((t, pos - start, text[start : pos + k + side]), []).append(start)
+            t, left, region = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(found.values(), pa.list_(pa.int32())), pa.array(left, pa.int32()), pa.array(region, pa.string())], names=["t", "starts", "left", "region"])
+
+    cut = texts.join(by_text, "t").select("t", "text", "places").mapInArrow(run, "t bigint, starts array<int>, left int, region string")
+    return cut.withColumn("rid", F.xxhash64("left", "region"))
 
 
 def _spans_in_shard(frame: pd.DataFrame, k: int, least: int) -> pd.DataFrame:
@@ -147,7 +156,9 @@ def shared_spans(documents: DataFrame, k: int = K, least: int = LEAST, crowd: in
     rows = rows_of(hits)
     texts = long.select("t", "doc_id", "text").join(broadcast_if_small(wanted, rows), ["t", "doc_id"], "left_semi").dropDuplicates(["t"])
     cut = written(regions(texts, hits, k, least), "regions")
-    uses = cut.select("rid", "t", F.col("start"), "left", F.length("region").alias("size"))
+    owners = cut.select("rid", "t")
+    uses = cut.select("rid", "t", F.explode("starts").alias("start"), "left", F.length("region").alias("size"))
+    reach = owners.groupBy("rid").agg(F.min("t").alias("lo_t"), F.max("t").alias("hi_t"))
     one = cut.groupBy("rid").agg(F.first("left").alias("left"), F.first("region").alias("region"))
     left_key = F.when(F.col("left") >= half, F.xxhash64(F.lit(0), F.substring("region", F.col("left") - half + 1, F.lit(k + half))))
     right_key = F.when(F.length("region") >= F.col("left") + k + half, F.xxhash64(F.lit(1), F.substring("region", F.col("left") + 1, F.lit(k + half))))
@@ -162,23 +173,26 @@ def shared_spans(documents: DataFrame, k: int = K, least: int = LEAST, crowd: in
     pairs = written(pairs.groupBy("a", "b").agg(F.max("before").alias("before"), F.max("after").alias("after")), "pairs")
     crowded = _crowded(met.filter(F.col("n") > crowd), k, least)
     # texts with a region in common, and texts with two regions that share a span
-    own = uses.filter(F.col("size") >= least)
-    twice = own.groupBy("rid").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("rid")
-    same = own.join(twice, "rid")
-    a, b = uses.select(F.col("rid").alias("a"), F.col("t").alias("ta"), F.col("start").alias("sa"), F.col("left").alias("la")), uses.select(F.col("rid").alias("b"), F.col("t").alias("tb"), F.col("start").alias("sb"), F.col("left").alias("lb"))
+    twice = reach.filter("lo_t < hi_t").select("rid")
+    same = uses.filter(F.col("size") >= least).join(twice, "rid")
+    a, b = owners.select(F.col("rid").alias("a"), F.col("t").alias("ta")), owners.select(F.col("rid").alias("b"), F.col("t").alias("tb"))
     across = pairs.join(a, "a").join(b, "b").filter("ta != tb")
-    cells = crowded.join(uses, "rid").select("cell", "t", (F.col("start") + F.col("at")).alias("lo")).distinct()
+    # a region's spans all hold its anchor, so the widest of each kind of partner texts are enough, whatever their places
+    both = pairs.select(F.col("a").alias("rid"), F.col("b").alias("other"), "before", "after").unionAll(pairs.select(F.col("b").alias("rid"), F.col("a").alias("other"), "before", "after"))
+    ends = both.join(reach.withColumnRenamed("rid", "other"), "other").groupBy("rid", "before", "after").agg(F.min("lo_t").alias("lo_t"), F.max("hi_t").alias("hi_t"))
+    paired = ends.join(uses, "rid").filter("lo_t != t or hi_t != t")
+    cells = crowded.join(owners, "rid").select("rid", "cell", "at", "t")
     cell_twice = cells.groupBy("cell").agg(F.min("t").alias("x"), F.max("t").alias("y")).filter("x < y").select("cell")
     cells = cells.join(cell_twice, "cell")
+    windows = cells.groupBy("rid").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     ordered = lambda df: df.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"))
     meet = lambda df, on: ordered(df.select(on, F.col("t").alias("ta")).join(df.select(on, F.col("t").alias("tb")), on).filter("ta < tb"))
     text_pairs = ordered(across).unionAll(meet(same.select("rid", "t").distinct(), "rid")).unionAll(meet(cells.select("cell", "t").distinct(), "cell")).distinct()
-    span = lambda t, lo, hi: across.select(F.col(t).alias("t"), lo.alias("lo"), hi.alias("hi"))
+    anchor = F.col("start") + F.col("left")
     spans = (
-        span("ta", F.col("sa") + F.col("la") - F.col("before"), F.col("sa") + F.col("la") + F.col("after"))
-        .unionAll(span("tb", F.col("sb") + F.col("lb") - F.col("before"), F.col("sb") + F.col("lb") + F.col("after")))
+        paired.select("t", (anchor - F.col("before")).alias("lo"), (anchor + F.col("after")).alias("hi"))
         .unionAll(same.select("t", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
-        .unionAll(cells.select("t", "lo", (F.col("lo") + least).alias("hi")))
+        .unionAll(windows.join(uses, "rid").select("t", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + least).alias("hi")))
         .distinct()
     )
     return members, text_pairs, spans

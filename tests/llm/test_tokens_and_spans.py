@@ -58,6 +58,36 @@ def test_spans_equal_brute_force(spark, crowd):
     assert got == pairs_of(docs)
 
 
+def loops():
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnop")
+    text = lambda n: "".join(rng.choice(letters, n))
+    docs = [(0, text(90) * 40), (1, "")]
+    docs[1] = (1, "in front " + docs[0][1] + " behind")
+    for k, period in enumerate((1, 7, 47, 90, 152, 153)):
+        loop = text(period) * (2000 // period)
+        docs += [(10 * (k + 1), text(60) + loop + text(60))]
+        docs += [(10 * (k + 1) + j, text(150) + loop[at : at + n] + text(150)) for j, (at, n) in enumerate([(313, 210), (701, 222), (499, 199), (560, 216)], 1)]
+    return docs
+
+
+@pytest.mark.parametrize("crowd", [2000, 3])
+def test_spans_of_loops_equal_brute_force(spark, crowd):
+    docs = loops()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert pairs_of(docs) == {(r.doc_a, r.doc_b) for r in spans.found_spans(df).collect()}
+    at = collections.defaultdict(set)
+    for i, t in docs:
+        for p in range(len(t) - 199):
+            at[t[p : p + 200]].add(i)
+    want = {i: len({q for p in range(len(t) - 199) if len(at[t[p : p + 200]]) > 1 for q in range(p, p + 200)}) for i, t in docs}
+    members, _, found = spans.shared_spans(df, crowd=crowd)
+    doc, got = {r.t: r.doc_id for r in members.collect()}, collections.defaultdict(set)
+    for r in found.collect():
+        got[doc[r.t]] |= set(range(r.lo, r.hi))
+    assert {i: len(got[i]) for i in want} == want
+
+
 def test_shared_length(spark):
     docs = documents()
     got = {r.doc_id: r for r in spans.shared_length(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
