@@ -3,7 +3,7 @@
 SuperMinHash gives every element a random permutation of the m slots; at rank j the element offers rank j plus a random
 fraction to its slot. An element stops as soon as j passes the largest rank still held in the document's slots, so a
 signature costs a few ranks per element, not m. Bands of equal slots give candidates, exact set comparison verifies
-them, min-label propagation with pointer jumping (a distributed union-find) names the groups.
+them, large and small stars (a distributed union-find) name the groups.
 
 Texts of equal words are one node first: a band bucket holds different texts only, so copies never meet pairwise. They come back when `found_near_duplicates` writes the pairs that the problem defines.
 
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmetry.llm import textkit as tk
+from quillmetry.operators.fingerprints import connected
 from quillmetry.runtime import broadcast_if_small, rows_of, written
 
 #: Slots by band: 48 bands of 4 find a pair of similarity 0.6 with probability 0.9987, one of 0.8 in all but 1e-11.
@@ -163,23 +164,9 @@ def found_near_duplicates(records: DataFrame, k: int = 3, threshold: float = 0.6
     return expand(*near_duplicates(records, k, threshold, min_words))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (its smallest node) of an undirected graph a, b.
-
-    Each round takes the least label of the neighbours and then the label of that label, and writes the labels to the
-    shared folder. It ends when no label changed; a chain of n nodes needs about log n rounds.
-    """
-    edges = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("step"))
-        jump = labels.select(F.col("node").alias("step"), F.col("component").alias("jump"))
-        new = written(stepped.join(jump, "step", "left").select("node", F.least("step", F.coalesce("jump", "step")).alias("component"), (F.least("step", F.coalesce("jump", "step")) != F.col("component")).alias("changed")), "labels")
-        labels = new.select("node", "component")
-        if new.filter("changed").isEmpty():
-            break
-    return labels
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of an undirected graph a, b."""
+    return connected(links)
 
 
 def groups(records: DataFrame, k: int = 3, threshold: float = 0.6, min_words: int = 80) -> DataFrame:

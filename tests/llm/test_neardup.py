@@ -4,8 +4,10 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 
 from quillmetry.llm import neardup as nd
+from quillmetry.operators import fingerprints as fp
 
 
 def shingles(t: str, k: int = 3) -> set:
@@ -45,6 +47,15 @@ def test_groups_are_components(spark):
     assert nd.found_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [nd.components, fp.connected])
+def test_long_chains_are_one_component(spark, parts):
+    ids = np.random.default_rng(7).permutation(500).tolist()
+    links = [(min(p), max(p)) for p in itertools.pairwise(ids)] + [(1000, 1001), (1002, 1002)]
+    got = {r.node: r.component for r in parts(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(range(500), 0) | {1000: 1000, 1001: 1000, 1002: 1002}
+    assert parts(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):
