@@ -54,8 +54,12 @@ def endings(articles: DataFrame) -> DataFrame:
     e = articles.withColumn("t", text).filter("t != ''")
     lines = F.split("t", "\n")
     e = e.withColumn("tail", F.slice(lines, -F.least(F.size(lines), F.lit(TAIL)), F.lit(TAIL))).withColumn("last", F.trim(F.element_at("tail", -1)))
+    e = e.withColumn("before", F.xxhash64(F.slice(lines, 1, F.greatest(F.size(lines) - TAIL, F.lit(0)))))
+    body = lambda x: F.xxhash64("before", F.filter("tail", lambda y: y != x))
+    e = e.withColumn("body", body(F.element_at("tail", -1)))
     return e.select(
-        "id", "author_id", "word_count", "last", F.filter("tail", lambda x: (F.trim(x) != "") & (F.length(x) <= 240)).alias("tail"),
+        "id", "author_id", "word_count", "last", "body",
+        F.transform(F.filter("tail", lambda x: (F.trim(x) != "") & (F.length(x) <= 240)), lambda x: F.struct(x.alias("line"), body(x).alias("body"))).alias("tail"),
         F.length("clean_text").alias("chars"), F.xxhash64("t").alias("text_hash"),
         F.size(F.split(F.regexp_replace("t", r"(?U)\s+", " "), " ")).alias("n_words"),
         F.lower(F.regexp_extract("last", TOKEN, 1)).alias("token"),
@@ -103,6 +107,16 @@ def heading_forms(articles: DataFrame, common: float = 0.02, least: int = 3) ->
     return forms.filter((F.col("c") >= least) & (~F.col("form").isin("", "w", "the w", "w the w"))).select("form"), small_words
 
 
+def furniture(uses: DataFrame, sources: DataFrame, name: str, repeats: int, least: float = 0.001) -> DataFrame:
+    """key: forms in `repeats` different bodies at least, in a share `least` of one source's texts at least, and of whose
+    uses as last line under 10 % show a sign of a cut. A body (the text without the line) counts once, in one source.
+    """
+    each = uses.filter("key is not null").groupBy("key", "body").agg(F.min("source").alias("source"), F.max("cut").alias("cut"))
+    by_source = each.groupBy("key", "source").agg(F.count("*").alias("c"), F.coalesce(F.sum("cut"), F.lit(0.0)).alias("cut"), F.count("cut").alias("lasts"))
+    part = by_source.join(sources, "source").groupBy("key").agg(F.sum("c").alias("c"), F.max(F.col("c") / F.col("texts")).alias("part"), F.sum("cut").alias("cut"), F.sum("lasts").alias("lasts"))
+    return part.filter((F.col("c") >= repeats) & (F.col("part") >= least) & ((F.col("lasts") == 0) | (F.col("cut") < 0.1 * F.col("lasts")))).select(F.col("key").alias(name), F.lit(True).alias(f"is_{name}"))
+
+
 def truncation(articles: DataFrame, repeats: int = 4, short_text: int = 25) -> DataFrame:
     """id, author_id, is_cut, and the evidence: mark, unknown_prefix, fewer_words, common_length. One row per id."""
     a = articles.select("id", "author_id", "title", "clean_text", "word_count")
@@ -110,11 +124,15 @@ def truncation(articles: DataFrame, repeats: int = 4, short_text: int = 25) -> D
     a_cut = F.col("last").rlike(MARK) | F.coalesce(F.col("word_count") > F.col("n_words") * 1.04 + 2, F.lit(False))
     open_end = ends.withColumns({"mark": F.col("last").rlike(MARK), "stop": F.col("last").rlike(STOP)}).filter("mark or not stop")
     # what ends many texts, hardly ever with a sign of a cut, is furniture; so is a line whose head (Tags:) opens many last lines
-    tails = ends.select(F.posexplode("tail").alias("i", "line"), F.size("tail").alias("n"), F.col("last"), a_cut.alias("a_cut")).withColumn("is_last", F.trim("line") == F.col("last"))
-    tails = tails.select(_normal(F.col("line")).alias("normal"), _mask(F.col("line")).alias("mask"), F.when(F.col("is_last") & (F.col("i") == F.col("n") - 1), F.when(F.col("a_cut"), 1.0).otherwise(0.0)).alias("cut"))
-    often = lambda key, name: tails.groupBy(key).agg(F.count("*").alias("c"), F.coalesce(F.avg("cut"), F.lit(0.0)).alias("share")).filter((F.col("c") >= repeats) & (F.col("share") < 0.1)).select(key, F.lit(True).alias(name))
-    lines, masks = often("normal", "repeated"), often("mask", "same_kind").filter(F.col("mask").rlike(r"\p{Ll}{3,}"))
-    heads = ends.filter("head != ''").groupBy("head").agg(F.count("*").alias("c")).filter(F.col("c") >= repeats).select("head", F.lit(True).alias("tagged"))
+    source = F.coalesce(F.col("author_id").cast("string"), F.lit("")).alias("source")
+    sources = ends.groupBy("text_hash").agg(F.min(source).alias("source")).groupBy("source").agg(F.count("*").alias("texts"))
+    tails = ends.select(source, F.posexplode("tail").alias("i", "x"), F.size("tail").alias("n"), F.col("last"), a_cut.alias("a_cut")).withColumns({"line": F.col("x.line"), "body": F.col("x.body")}).withColumn("is_last", F.trim("line") == F.col("last"))
+    masked = F.when(F.col("mask").rlike(r"\p{Ll}{3,}"), F.xxhash64("mask"))
+    tails = tails.withColumn("mask", _mask(F.col("line"))).select("source", "body", F.xxhash64(_normal(F.col("line"))).alias("line_key"), masked.alias("mask_key"), F.when(F.col("is_last") & (F.col("i") == F.col("n") - 1), F.when(F.col("a_cut"), 1.0).otherwise(0.0)).alias("cut"))
+    uses = lambda key: tails.select("source", "body", "cut", F.col(key).alias("key"))
+    lines, masks = furniture(uses("line_key"), sources, "line_key", repeats), furniture(uses("mask_key"), sources, "mask_key", repeats)
+    heads = furniture(ends.filter("head != ''").select(source, "body", F.lit(0.0).alias("cut"), F.col("head").alias("key")), sources, "head", repeats)
+    open_end = open_end.withColumns({"line_key": F.xxhash64("normal"), "mask_key": masked})
     spikes = common_lengths(ends).withColumn("common_length", F.lit(True))
     forms, small = heading_forms(a)
     tokens = open_end.filter("token != ''").select("token").distinct()
@@ -124,16 +142,16 @@ def truncation(articles: DataFrame, repeats: int = 4, short_text: int = 25) -> D
     nodes = trie_nodes(words).join(broadcast_if_small(n_tokens.withColumnRenamed("token", "node"), rows_of(n_tokens)), "node", "left_semi")
     nodes = nodes.select(F.col("node").alias("token"), F.lit(True).alias("is_node"))
     joined = (
-        open_end.join(lines, "normal", "left").join(masks, "mask", "left").join(heads, "head", "left").join(spikes, "chars", "left")
+        open_end.join(lines, "line_key", "left").join(masks, "mask_key", "left").join(heads, "head", "left").join(spikes, "chars", "left")
         .withColumn("form", _template(F.col("last"), small)).join(forms.withColumn("heading", F.lit(True)), "form", "left")
         .join(known, "token", "left").join(nodes, "token", "left")
     )
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     prefix = yes("is_node") & ~yes("known")
     fewer = F.coalesce(F.col("word_count") > F.col("n_words") * 1.04 + 2, F.lit(False))
-    complete = F.col("last").rlike(LIST_ENTRY) | F.col("last").rlike(LINK) | F.col("last").rlike(TAG_LINE) | yes("same_kind") | yes("tagged") | yes("heading")
+    complete = F.col("last").rlike(LIST_ENTRY) | F.col("last").rlike(LINK) | F.col("last").rlike(TAG_LINE) | yes("is_mask_key") | yes("is_head") | yes("heading")
     cut = (
-        F.when(F.col("mark"), ~yes("repeated") & (F.col("n_words") >= 5)).when(prefix | fewer, True).when(yes("repeated"), False)
+        F.when(F.col("mark"), ~yes("is_line_key") & (F.col("n_words") >= 5)).when(prefix | fewer, True).when(yes("is_line_key"), False)
         .when(yes("common_length"), True).when(complete, False).otherwise(F.col("n_words") >= short_text)
     )
     return joined.select("id", "author_id", cut.alias("is_cut"), "mark", prefix.alias("unknown_prefix"), fewer.alias("fewer_words"), yes("common_length").alias("common_length"), "last")

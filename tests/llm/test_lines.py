@@ -69,6 +69,16 @@ def test_truncation_by_trie_and_length(spark):
     assert {r.id for r in truncation.found_truncated(df).collect()} == {"short", "stale", "bar", *(i for i, *_ in many)}
 
 
+def test_furniture_is_counted_by_bodies_and_by_share(spark):
+    words = "The council met on Monday and approved every proposal that the mayor had sent. " * 2
+    copies = [(f"c{i}", f"a{i}", f"{words}\nThe town hall stood empty on Friday while the whole of the board", None) for i in range(6)]
+    sites = [(f"f{i}", "a", f"{words} {i}.\nMore stories about the town", None) for i in range(6)]
+    rare = [(f"r{i}", "big", f"{words} {i}.\nRarely seen words about that day", None) for i in range(4)]
+    rest = [(f"x{i}", "big", f"Report {i} ended.", None) for i in range(5000)]
+    df = spark.createDataFrame([(i, s, "T", t, n) for i, s, t, n in [*copies, *sites, *rare, *rest]], "id string, author_id string, title string, clean_text string, word_count bigint")
+    assert {r.id for r in truncation.found_truncated(df).collect()} == {i for i, *_ in [*copies, *rare]}
+
+
 def page(i: int) -> tuple[str, list[str], list[bool]]:
     rng = np.random.default_rng(i)
     names = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in "rstxz"]
