@@ -8,12 +8,16 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` symbols (rounded up to a power of 2), by prefix doubling."""
+def suffix_array(text: np.ndarray, depth: int, keep: int = 0) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first `depth` symbols (rounded up to a power of 2), by prefix doubling.
+
+    With `keep`, a power of 2 up to depth, also the rank of each suffix by its first `keep` symbols alone.
+    """
     n = len(text)
     _, rank = np.unique(text, return_inverse=True)
     rank = rank.astype(np.int64)
     order, k = np.argsort(rank, kind="stable"), 1
+    kept = rank.copy()
     while k < depth:
         nxt = np.full(n, -1, np.int64)
         nxt[: n - k] = rank[k:]
@@ -22,10 +26,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         sorted_key = key[order]
         new = np.cumsum(np.r_[0, (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
         rank[order] = new
+        k *= 2
+        if k <= keep:
+            kept = rank.copy()
         if new[-1] == n - 1:
             break
-        k *= 2
-    return order
+    return (order, kept) if keep else order
 
 
 class WaveletMatrix:
@@ -60,16 +66,22 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """text: symbols 1.. ; 0 parts the pieces and is never part of a pattern."""
+    """text: symbols 1.. ; 0 parts the pieces and is never part of a pattern. Patterns have `width` + 1 symbols at most."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, width: int):
         self.alphabet, coded = np.unique(text, return_inverse=True)
-        self.text = coded.astype(np.int64)
-        self.sa = suffix_array(self.text, depth)
+        self.text, self.width = coded.astype(np.int64), width
+        keep = 1 << (width.bit_length() - 1)
+        self.sa, self._kept = suffix_array(self.text, width + 2, keep)
+        self._rest = width - keep
         bwt = self.text[self.sa - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=len(self.alphabet)))])
         self.wavelet = WaveletMatrix(bwt, max(1, int(len(self.alphabet) - 1).bit_length()))
 
+    def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of backward search: the intervals of the patterns with the symbols c before them."""
+        return self.first[c] + self.wavelet.rank(c, lo), self.first[c] + self.wavelet.rank(c, hi)
+
     def search(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interval of the suffix array for each pattern text[start:end]; the patterns are pieces of the text itself."""
         lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(self.text), np.int64)
@@ -79,7 +91,15 @@ class FmIndex:
             if not len(live):
                 break
             at[live] -= 1
-            c = self.text[at[live]]
-            lo[live] = self.first[c] + self.wavelet.rank(c, lo[live])
-            hi[live] = self.first[c] + self.wavelet.rank(c, hi[live])
+            lo[live], hi[live] = self.extend(self.text[at[live]], lo[live], hi[live])
         return lo, hi
+
+    def intervals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place of the suffix array, begin and end of the interval of suffixes with the same first `width` symbols."""
+        n = len(self.sa)
+        after = np.full(n, -1, np.int64)
+        after[: n - self._rest] = self._kept[self._rest :] if self._rest else self._kept
+        a, b = self.sa[:-1], self.sa[1:]
+        begins = np.flatnonzero(np.r_[True, (self._kept[a] != self._kept[b]) | (after[a] != after[b])])
+        size = np.diff(np.r_[begins, n])
+        return np.repeat(begins, size), np.repeat(begins + size, size)

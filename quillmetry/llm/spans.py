@@ -2,18 +2,22 @@
 
 1. Winnowing picks an anchor, a K-gram, in every stretch of 200 characters of every text, so two texts with 200
    characters in common have a common anchor inside them, at the same place of both: of equal K-grams, as in loops, all
-   are kept. Anchors of one text only are dropped.
-2. Around each shared anchor the region that can hold such a span is cut. A common span of 200 goes on for at least 76
-   characters to the left or to the right of its anchor, so regions meet only under equal keys of 124 characters. The
-   equal regions of a text, as inside a loop, are one with all their places.
-3. The regions of a shard of keys are indexed; every region's 124 characters are searched backwards over the wavelet
-   matrix. The places found are the candidates, and both directions are compared exactly from there on.
-
-Equal texts, and equal regions, are one until the end: copies never meet pairwise. A key with more than `crowd` regions
-is settled without pairs: its regions meet under hashes of their whole windows of 200 characters instead.
+   are kept. Anchors of one text only are dropped. They only route: what is shared is found by the index.
+2. Around each shared anchor the region that can hold such a span is cut, and goes to the shard of its anchor. The equal
+   regions of a text, as inside a loop, are one with all their places.
+3. A shard indexes its regions (suffix array, wavelet matrix of the Burrows-Wheeler transform). Every region is streamed
+   backwards through the index: the interval of its last 200 characters is searched, then one character is put before
+   and the interval widened to 200 characters again. These matching statistics, cut off at 200, give for each window of
+   200 characters the interval of all its occurrences. An interval with occurrences of two texts is above the threshold:
+   its windows are shared, and its members are linked. Only intervals that no common character extends to the left are
+   reported, since the extended one holds the same members. No pair of regions is ever compared.
+
+Equal texts, and equal regions, are one until the end: copies never meet pairwise. An anchor with more than `crowd`
+different regions would be too much for one index: its windows of 200 characters meet under 128 bits of hashes in place
+of intervals, with the same result. All other spans are compared exactly.
 
 Defined results: null texts and texts under 200 characters share nothing. Texts are read whole, as written, by Unicode
-code point. A doc_id that occurs in several rows is one record per text. Hashes have 64 bits; spans are compared exactly.
+code point. A doc_id that occurs in several rows is one record per text. Texts and regions are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from quillmetry.runtime import broadcast_if_small, rows_of, written
 LEAST = 200
 K = 48
 SHARD_REGIONS = 3000
+#: Different regions of one anchor that an index may hold.
+CROWD = 2000
 
 
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -101,115 +106,97 @@ def regions(texts: DataFrame, hits: DataFrame, k: int = K, least: int = LEAST) -
     return cut.withColumn("rid", F.xxhash64("left", "region"))
 
 
-def _spans_in_shard(frame: pd.DataFrame, k: int, least: int) -> pd.DataFrame:
-    """Pairs of the shard's regions with a common span of `least` around their anchors: a, b, from, to (from the anchor)."""
-    half = (least - k) // 2
+def _spans_in_shard(frame: pd.DataFrame, least: int) -> pd.DataFrame:
+    """The shard's regions with windows of `least` characters that two texts have: rid, first and last of them, intervals.
+
+    frame: rid, region, lo_t and hi_t (the smallest and largest text of the region), shard. One row per region.
+    """
     values = frame["region"].tolist()
     sizes = np.fromiter((len(v) for v in values), np.int64, len(values))
     cp = np.frombuffer("\0".join(values).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32).astype(np.int64) + 1
     begin = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     cp[begin + sizes] = 0
-    anchor = begin + frame["left"].to_numpy()
-    rid, key = frame["rid"].to_numpy(), frame["key"].to_numpy()
-    left = frame["side"].to_numpy() == 0
-    lo, hi = np.where(left, anchor - half, anchor), np.where(left, anchor + k, anchor + k + half)
-    index = FmIndex(cp, k + half)
-    a_lo, a_hi = index.search(lo, hi)
-    count = a_hi - a_lo
-    pattern = np.repeat(np.arange(len(values)), count)
-    offset = np.arange(len(pattern)) - np.repeat(np.cumsum(count) - count, count)
-    found = index.sa[a_lo[pattern] + offset]
-    other = np.searchsorted(begin, found, side="right") - 1
-    same = (found - begin[other] == lo[other] - begin[other]) & (key[other] == key[pattern]) & (rid[pattern] < rid[other])
-    a, b = pattern[same], other[same]
-    reach_left = _reach(index.text, anchor[a] - 1, anchor[b] - 1, -1, begin[a], begin[b], least)
-    reach_right = _reach(index.text, anchor[a], anchor[b], 1, begin[a] + sizes[a], begin[b] + sizes[b], least)
-    good = reach_left + reach_right >= least
-    return pd.DataFrame({"a": rid[a[good]], "b": rid[b[good]], "before": reach_left[good].astype(np.int32), "after": reach_right[good].astype(np.int32)})
-
-
-def _reach(text: np.ndarray, i: np.ndarray, j: np.ndarray, step: int, end_i: np.ndarray, end_j: np.ndarray, most: int) -> np.ndarray:
-    """How many characters agree from i and j on in the direction of step."""
-    n = np.zeros(len(i), np.int64)
-    live = np.arange(len(i))
-    for d in range(most + 1):
-        x, y = i[live] + d * step, j[live] + d * step
-        ok = (x >= end_i[live]) & (y >= end_j[live]) if step < 0 else (x < end_i[live]) & (y < end_j[live])
-        live, x, y = live[ok], x[ok], y[ok]
-        live = live[text[x] == text[y]]
-        if not len(live):
-            break
-        n[live] += 1
-    return n
-
-
-def shared_spans(documents: DataFrame, k: int = K, least: int = LEAST, crowd: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """documents: doc_id, text. Three tables: members (t, doc_id), pairs of texts (ta < tb), and spans (t, from, to)."""
-    half = (least - k) // 2
+    index = FmIndex(cp, least)
+    begins, ends = index.intervals()
+    owner = np.repeat(np.arange(len(values)), sizes + 1)[index.sa]
+    heads = np.flatnonzero(np.r_[True, begins[1:] != begins[:-1]])
+    least_t, most_t = np.minimum.reduceat(frame["lo_t"].to_numpy()[owner], heads), np.maximum.reduceat(frame["hi_t"].to_numpy()[owner], heads)
+    plural = np.repeat(least_t < most_t, np.diff(np.r_[heads, len(begins)]))
+    live = np.flatnonzero(sizes >= least)
+    at = begin + sizes - least
+    lo, hi = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+    lo[live], hi[live] = index.search(at[live], at[live] + least)
+    first, last = np.full(len(values), -1, np.int64), np.full(len(values), -1, np.int64)
+    regions_of, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(live):
+        shared = plural[lo[live]]
+        place = at[live] - begin[live]
+        first[live[shared]] = place[shared]
+        last[live[shared]] = np.maximum(last[live[shared]], place[shared])
+        more = place > 0
+        left, right = index.extend(index.text[at[live] - 1], lo[live], hi[live])
+        ended = shared & ~(more & (right - left == hi[live] - lo[live]))
+        regions_of.append(live[ended])
+        cells.append(lo[live[ended]])
+        lo[live], hi[live] = begins[np.minimum(left, len(begins) - 1)], ends[np.minimum(left, len(ends) - 1)]
+        at[live] -= 1
+        live = live[more]
+    region, cell = np.concatenate(regions_of), np.concatenate(cells)
+    order = np.argsort(region, kind="stable")
+    split = np.split(cell[order], np.searchsorted(region[order], np.arange(1, len(values))))
+    keep = np.flatnonzero(first >= 0)
+    return pd.DataFrame({"rid": frame["rid"].to_numpy()[keep], "first": first[keep].astype(np.int32), "last": last[keep].astype(np.int32), "cells": pd.Series([split[i] for i in keep], dtype=object), "shard": frame["shard"].to_numpy()[keep]})
+
+
+SHARD_SCHEMA = "rid bigint, first int, last int, cells array<bigint>, shard bigint"
+
+
+def shared_spans(documents: DataFrame, k: int = K, least: int = LEAST, crowd: int = CROWD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """documents: doc_id, text. Three tables: members (t, doc_id), cells (c1, c2, t: texts that share a window) and spans (t, lo, hi)."""
     long = documents.filter(F.length("text") >= least).withColumn("t", F.xxhash64("text"))
     members = written(long.select("t", "doc_id").distinct(), "members")
     first = members.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
     found = written(anchors(long, k, least), "anchors")
     shared = written(found.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("h"), "shared")
     hits = written(found.join(broadcast_if_small(shared, rows_of(shared)), "h", "left_semi").select("t", "pos").distinct(), "hits")
-    wanted = hits.select("t").distinct().join(first, "t")
-    rows = rows_of(hits)
-    texts = long.select("t", "doc_id", "text").join(broadcast_if_small(wanted, rows), ["t", "doc_id"], "left_semi").dropDuplicates(["t"])
+    wanted = written(hits.select("t").distinct().join(first, "t"), "wanted")
+    texts = long.select("t", "doc_id", "text").join(broadcast_if_small(wanted, rows_of(wanted)), ["t", "doc_id"], "left_semi").dropDuplicates(["t"])
     cut = written(regions(texts, hits, k, least), "regions")
-    owners = cut.select("rid", "t")
-    uses = cut.select("rid", "t", F.explode("starts").alias("start"), "left", F.length("region").alias("size"))
-    reach = owners.groupBy("rid").agg(F.min("t").alias("lo_t"), F.max("t").alias("hi_t"))
-    one = cut.groupBy("rid").agg(F.first("left").alias("left"), F.first("region").alias("region"))
-    left_key = F.when(F.col("left") >= half, F.xxhash64(F.lit(0), F.substring("region", F.col("left") - half + 1, F.lit(k + half))))
-    right_key = F.when(F.length("region") >= F.col("left") + k + half, F.xxhash64(F.lit(1), F.substring("region", F.col("left") + 1, F.lit(k + half))))
-    keyed = one.select("rid", "left", "region", F.explode(F.array(F.struct(F.lit(0).alias("side"), left_key.alias("key")), F.struct(F.lit(1).alias("side"), right_key.alias("key")))).alias("x"))
-    keyed = written(keyed.select("rid", "left", "region", "x.side", "x.key").filter("key is not null"), "keyed")
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
-    total = sizes.agg(F.sum("n")).collect()[0][0] or 0
-    met = keyed.join(broadcast_if_small(sizes, rows_of(sizes)), "key")
+    uses = cut.select("rid", "t", F.explode("starts").alias("start"))
+    one = cut.filter(F.length("region") >= least).groupBy("rid").agg(F.first("left").alias("left"), F.first("region").alias("region"), F.min("t").alias("lo_t"), F.max("t").alias("hi_t"))
+    one = written(one.withColumn("anchor", F.xxhash64(F.substring("region", F.col("left") + 1, F.lit(k)))), "one")
+    sizes = written(one.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    met = one.join(broadcast_if_small(sizes, rows_of(sizes)), "anchor", "left")
+    # a region without others under its anchor is shared whole, if at all
+    alone = met.filter("n is null and lo_t < hi_t").select("rid", F.lit(0).alias("first"), (F.length("region") - least).alias("last"), F.array(F.struct(F.lit(-1).cast("long").alias("c1"), F.col("rid").alias("c2"))).alias("cells"))
+    total = sizes.filter(F.col("n") <= crowd).agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_REGIONS))
-    indexed = met.filter(F.col("n") <= crowd).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    pairs = indexed.groupBy("shard").applyInPandas(lambda f: _spans_in_shard(f, k, least), "a bigint, b bigint, before int, after int")
-    pairs = written(pairs.groupBy("a", "b").agg(F.max("before").alias("before"), F.max("after").alias("after")), "pairs")
-    crowded = _crowded(met.filter(F.col("n") > crowd), k, least)
-    # texts with a region in common, and texts with two regions that share a span
-    twice = reach.filter("lo_t < hi_t").select("rid")
-    same = uses.filter(F.col("size") >= least).join(twice, "rid")
-    a, b = owners.select(F.col("rid").alias("a"), F.col("t").alias("ta")), owners.select(F.col("rid").alias("b"), F.col("t").alias("tb"))
-    across = pairs.join(a, "a").join(b, "b").filter("ta != tb")
-    # a region's spans all hold its anchor, so the widest of each kind of partner texts are enough, whatever their places
-    both = pairs.select(F.col("a").alias("rid"), F.col("b").alias("other"), "before", "after").unionAll(pairs.select(F.col("b").alias("rid"), F.col("a").alias("other"), "before", "after"))
-    ends = both.join(reach.withColumnRenamed("rid", "other"), "other").groupBy("rid", "before", "after").agg(F.min("lo_t").alias("lo_t"), F.max("hi_t").alias("hi_t"))
-    paired = ends.join(uses, "rid").filter("lo_t != t or hi_t != t")
-    cells = crowded.join(owners, "rid").select("rid", "cell", "at", "t")
-    cell_twice = cells.groupBy("cell").agg(F.min("t").alias("x"), F.max("t").alias("y")).filter("x < y").select("cell")
-    cells = cells.join(cell_twice, "cell")
-    windows = cells.groupBy("rid").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    ordered = lambda df: df.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"))
-    meet = lambda df, on: ordered(df.select(on, F.col("t").alias("ta")).join(df.select(on, F.col("t").alias("tb")), on).filter("ta < tb"))
-    text_pairs = ordered(across).unionAll(meet(same.select("rid", "t").distinct(), "rid")).unionAll(meet(cells.select("cell", "t").distinct(), "cell")).distinct()
-    anchor = F.col("start") + F.col("left")
-    spans = (
-        paired.select("t", (anchor - F.col("before")).alias("lo"), (anchor + F.col("after")).alias("hi"))
-        .unionAll(same.select("t", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
-        .unionAll(windows.join(uses, "rid").select("t", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + least).alias("hi")))
-        .distinct()
-    )
-    return members, text_pairs, spans
-
-
-def _crowded(met: DataFrame, k: int, least: int) -> DataFrame:
-    """The windows of `least` characters around the anchor of regions under a crowded key: rid, cell (their hash), at."""
-    first, last = F.greatest(F.col("left") + k - least, F.lit(0)), F.least(F.col("left"), F.length("region") - least)
-    one = met.dropDuplicates(["rid"]).filter(last >= first)
-    return one.select("rid", F.explode(F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.col("region").substr(i + 1, F.lit(least))).alias("cell")))).alias("x")).select("rid", "x.cell", "x.at")
-
-
-def found_spans(documents: DataFrame) -> DataFrame:
+    indexed = met.filter(F.col("n") <= crowd).select("rid", "region", "lo_t", "hi_t", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    streamed = indexed.groupBy("shard").applyInPandas(lambda f: _spans_in_shard(f, least), SHARD_SCHEMA)
+    streamed = streamed.select("rid", "first", "last", F.transform("cells", lambda c: F.struct(F.col("shard").alias("c1"), c.alias("c2"))).alias("cells"))
+    met_windows = written(alone.unionAll(streamed).unionAll(_crowded(met.filter(F.col("n") > crowd), least)), "windows")
+    cells = met_windows.select("rid", F.explode("cells").alias("c")).join(cut.select("rid", "t"), "rid").select("c.c1", "c.c2", "t").distinct()
+    spans = met_windows.join(uses, "rid").select("t", (F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last") + least).alias("hi")).distinct()
+    return members, cells, spans
+
+
+def _crowded(met: DataFrame, least: int) -> DataFrame:
+    """The regions under crowded anchors, like those of a shard: their shared windows, with two hashes of each as its cell."""
+    starts = F.sequence(F.lit(0), F.length("region") - least)
+    text = lambda i: F.col("region").substr(i + 1, F.lit(least))
+    each = met.select("rid", "lo_t", "hi_t", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(text(i)).alias("c1"), F.xxhash64(F.lit(1), text(i)).alias("c2")))).alias("x")).select("rid", "lo_t", "hi_t", "x.*")
+    plural = each.groupBy("c1", "c2").agg(F.min("lo_t").alias("x"), F.max("hi_t").alias("y")).filter("x < y").select("c1", "c2")
+    return each.join(plural, ["c1", "c2"]).groupBy("rid").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_list(F.struct("c1", "c2")).alias("cells"))
+
+
+def found_spans(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_a < doc_b of all pairs of documents with at least 200 characters in common."""
-    members, pairs, _ = shared_spans(documents)
-    plural = members.join(members.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1").select("t"), "t")
-    inside = plural.withColumnRenamed("doc_id", "x").join(plural.withColumnRenamed("doc_id", "y"), "t").filter("x < y").select("x", "y")
+    members, cells, _ = shared_spans(documents, crowd=crowd)
+    plural = cells.groupBy("c1", "c2").agg(F.min("t").alias("x"), F.max("t").alias("y")).filter("x < y").select("c1", "c2")
+    held = written(cells.join(plural, ["c1", "c2"]), "held")
+    pairs = held.withColumnRenamed("t", "ta").join(held.withColumnRenamed("t", "tb"), ["c1", "c2"]).filter("ta < tb").select("ta", "tb").distinct()
+    many = members.join(members.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1").select("t"), "t")
+    inside = many.withColumnRenamed("doc_id", "x").join(many.withColumnRenamed("doc_id", "y"), "t").filter("x < y").select("x", "y")
     across = pairs.join(members.select(F.col("t").alias("ta"), F.col("doc_id").alias("x")), "ta").join(members.select(F.col("t").alias("tb"), F.col("doc_id").alias("y")), "tb").filter("x != y").select("x", "y")
     return inside.unionAll(across).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 

@@ -5,6 +5,7 @@ import itertools
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,12 +53,43 @@ def documents():
 def test_spans_equal_brute_force(spark, crowd):
     docs = documents()
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    _, text_pairs, _ = spans.shared_spans(df, crowd=crowd)
-    assert text_pairs.count() > 0
-    got = {(r.doc_a, r.doc_b) for r in spans.found_spans(df).collect()}
+    got = {(r.doc_a, r.doc_b) for r in spans.found_spans(df, crowd=crowd).collect()}
     assert got == pairs_of(docs)
 
 
+def test_the_index_decides(spark, monkeypatch):
+    """Without the intervals of the index only regions that are equal as a whole would be left."""
+    docs = documents()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert pairs_of(docs) == {(r.doc_a, r.doc_b) for r in spans.found_spans(df).collect()}
+    index = spans.FmIndex
+    alone = type("Alone", (index,), {"intervals": lambda self: (np.arange(len(self.sa)), np.arange(len(self.sa)) + 1)})
+    frame = pd.DataFrame({"rid": [1, 2], "region": ["x" * 9 + "ab" * 60 + "cd" * 60, "y" * 9 + "ab" * 60 + "cd" * 60], "lo_t": [1, 2], "hi_t": [1, 2], "shard": [0, 0]})
+    assert spans._spans_in_shard(frame, 200)["rid"].tolist() == [1, 2]
+    monkeypatch.setattr(spans, "FmIndex", alone)
+    assert spans._spans_in_shard(frame, 200).empty
+
+
+@pytest.mark.parametrize("period", range(2, 200, 7))
+def test_periods_within_one_shard(period):
+    rng = np.random.default_rng(period)
+    loop = "".join(rng.choice(list("abcdefgh"), period)) * (800 // period + 1)
+    regions = [loop[:352], loop[period // 2 : period // 2 + 352], "#" * 100 + loop[3:203] + "#" * 52, "+" * 100 + loop[5:204] + "+" * 52]
+    frame = pd.DataFrame({"rid": range(4), "region": regions, "lo_t": range(4), "hi_t": range(4), "shard": 0})
+    at = collections.defaultdict(set)
+    for i, t in enumerate(regions):
+        for p in range(len(t) - 199):
+            at[t[p : p + 200]].add(i)
+    want = {i: {p for p in range(len(t) - 199) if len(at[t[p : p + 200]]) > 1} for i, t in enumerate(regions)}
+    got = spans._spans_in_shard(frame, 200).set_index("rid")
+    assert {i: (min(w), max(w)) for i, w in want.items() if w} == {i: (r["first"], r["last"]) for i, r in got.iterrows()}
+    by_cell = collections.defaultdict(set)
+    for i, r in got.iterrows():
+        for c in r["cells"]:
+            by_cell[c].add(i)
+    assert {p for v in by_cell.values() for p in itertools.combinations(sorted(v), 2)} == {p for v in at.values() for p in itertools.combinations(sorted(v), 2)}
+
+
 def loops():
     rng = np.random.default_rng(11)
     letters = list("abcdefghijklmnop")
