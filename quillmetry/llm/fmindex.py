@@ -14,21 +14,27 @@ def suffix_array(text: np.ndarray, depth: int, keep: int = 0) -> np.ndarray | tu
     With `keep`, a power of 2 up to depth, also the rank of each suffix by its first `keep` symbols alone.
     """
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order, k = np.argsort(rank, kind="stable"), 1
-    kept = rank.copy()
-    while k < depth:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - k] = rank[k:]
-        key = rank * (n + 1) + nxt + 1
-        order = np.argsort(key, kind="stable")
+    symbols, rank = np.unique(text, return_inverse=True)
+    rank, k = rank.astype(np.int64) + 1, 1
+    bits = len(symbols).bit_length()  # as many symbols as 63 bits hold are one key, 0 stands behind the end
+    while bits * 2 * k < 64 and k < depth and (not keep or 2 * k <= keep):
+        rank = rank << bits * k
+        rank[: n - k] |= rank[k:] >> bits * k
+        k *= 2
+    kept = order = None
+    key = rank
+    while order is None or k < depth:
+        if order is not None:
+            key = rank * (n + 1)
+            key[: n - k] += rank[k:] + 1
+            k *= 2
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.cumsum(np.r_[0, (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
+        rank = np.empty(n, np.int64)
         rank[order] = new
-        k *= 2
         if k <= keep:
-            kept = rank.copy()
+            kept = rank
         if new[-1] == n - 1:
             break
     return (order, kept) if keep else order
@@ -48,21 +54,24 @@ class WaveletMatrix:
             self.ones.append((words, sums))
             self.zeros.append(int(len(cur) - bit.sum()))
             cur = np.concatenate([cur[bit == 0], cur[bit == 1]])
+        every = np.arange(1 << bits)
+        self.begin = self._down(every, np.zeros_like(every))
 
     def _rank1(self, level: int, at: np.ndarray) -> np.ndarray:
         words, sums = self.ones[level]
         w, r = at >> 6, (at & 63).astype(np.uint64)
         return sums[w] + np.bitwise_count(words[w] & ((np.uint64(1) << r) - np.uint64(1))).astype(np.int64)
 
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where place at of the sequence comes to stand on the last level if it goes the way of symbol."""
+        for i, level in enumerate(range(self.bits - 1, -1, -1)):
+            ones = self._rank1(i, at)
+            at = np.where((symbol >> level) & 1 == 1, self.zeros[i] + ones, at - ones)
+        return at
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often symbol stands before place at, for arrays of both."""
-        lo, hi = np.zeros_like(at), at
-        for i, level in enumerate(range(self.bits - 1, -1, -1)):
-            bit = (symbol >> level) & 1
-            lo1, hi1 = self._rank1(i, lo), self._rank1(i, hi)
-            one = bit == 1
-            lo, hi = np.where(one, self.zeros[i] + lo1, lo - lo1), np.where(one, self.zeros[i] + hi1, hi - hi1)
-        return hi - lo
+        return self._down(symbol, at) - self.begin[symbol]
 
 
 class FmIndex:
@@ -80,7 +89,9 @@ class FmIndex:
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the intervals of the patterns with the symbols c before them."""
-        return self.first[c] + self.wavelet.rank(c, lo), self.first[c] + self.wavelet.rank(c, hi)
+        both = np.concatenate([c, c])
+        got = self.first[both] + self.wavelet.rank(both, np.concatenate([lo, hi]))
+        return got[: len(c)], got[len(c) :]
 
     def search(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interval of the suffix array for each pattern text[start:end]; the patterns are pieces of the text itself."""
