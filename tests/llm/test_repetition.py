@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillmetry.llm import repetition as rp
 from quillmetry.llm import textkit as tk
@@ -36,31 +38,80 @@ def test_counts_are_exact():
     assert list(zip(got["n_words"].tolist(), got["n_repeated"].tolist())) == [brute(t) for t in texts]
 
 
-def test_labels_lose_no_case():
-    texts = corpus()
-    got = rp.repetition_of(pa.array(texts, pa.string()))
-    share = got["n_repeated"] / np.maximum(got["n_words"], 1)
-    least = (0.25 - rp.LINE_SHARE) / (1 - rp.LINE_SHARE)
-    assert ((share < 0.25) | (got["content_share"] <= 1 - least + 1e-9)).all()
+def paths(n):
+    return itertools.product((0, 1), repeat=n)
 
 
-def test_viterbi_is_the_best_labelling():
-    rng = np.random.default_rng(0)
-    crf = rp.LineCrf(rng.normal(size=rp.N_FEATURES), 0.7)
-    for n in range(1, 8):
-        x = rp.line_features(rng.random(n), rng.integers(0, 80, n))
-        gain = x @ crf.emission
-        score = lambda y: sum(g for g, b in zip(gain, y) if b) - crf.switch * sum(a != b for a, b in zip(y, y[1:]))
-        best = max(score([k >> i & 1 for i in range(n)]) for k in range(2**n))
-        assert abs(score(crf.decode(x, np.zeros(n, int)).tolist()) - best) < 1e-9
+def score(crf, x, y):
+    return sum(g for g, b in zip(x @ crf.emission, y) if b) + sum(crf.chain[a, b] for a, b in zip(y, y[1:]))
 
 
-def test_field_can_be_fitted():
+def random_lines(rng, n):
+    return rp.line_features(rng.random(n), rng.random(n), rng.random(n) < 0.5, rng.random(n), rng.integers(0, 80, n))
+
+
+def test_viterbi_is_the_best_labelling():
+    rng = np.random.default_rng(0)
+    crf = rp.LineCrf(rng.normal(size=rp.N_FEATURES), rng.normal(size=(2, 2)))
+    sizes = [3, 1, 7, 5]
+    x, doc = random_lines(rng, sum(sizes)), np.repeat(np.arange(4), sizes)
+    got = crf.decode(x, doc)
+    for d, n in enumerate(sizes):
+        part = x[doc == d]
+        assert abs(score(crf, part, got[doc == d].astype(int).tolist()) - max(score(crf, part, y) for y in paths(n))) < 1e-9
+
+
+def test_forward_backward_is_the_sum_over_all_labellings():
+    rng = np.random.default_rng(3)
+    crf = rp.LineCrf(rng.normal(size=rp.N_FEATURES), rng.normal(size=(2, 2)))
+    sizes = [4, 6, 1]
+    x, doc = random_lines(rng, sum(sizes)), np.repeat(np.arange(3), sizes)
+    total, p, moves = crf.expected(x, doc)
+    want, want_p, want_moves = 0.0, [], np.zeros((2, 2))
+    for d, n in enumerate(sizes):
+        weights = {y: np.exp(score(crf, x[doc == d], y)) for y in paths(n)}
+        z = sum(weights.values())
+        want += np.log(z)
+        want_p += [sum(w for y, w in weights.items() if y[i]) / z for i in range(n)]
+        for y, w in weights.items():
+            for a, b in zip(y, y[1:]):
+                want_moves[a, b] += w / z
+    assert total == pytest.approx(want) and p == pytest.approx(want_p) and moves == pytest.approx(want_moves)
+
+
+def looping_corpus(rng, n):
+    """Stories of distinct lines, a third of them with a stretch of lines that repeat in part."""
+    out = []
+    for i in range(n):
+        lines = [" ".join(f"w{rng.integers(0, 4000)}" for _ in range(rng.integers(6, 25))) for _ in range(10)]
+        if i % 3 == 0:
+            for k in range(4, 9):
+                lines[k] = " ".join([*lines[3].split()[: rng.integers(4, 9)], *lines[k].split()[: rng.integers(0, 14)]])
+        out.append("\n".join(lines))
+    return pa.array(out)
+
+
+def test_fitted_field_on_lines_held_out():
     rng = np.random.default_rng(1)
-    share, words = np.where(rng.random(2000) < 0.5, 0, rng.random(2000)), rng.integers(1, 90, 2000)
-    x, doc, label = rp.line_features(share, words), np.repeat(np.arange(200), 10), share >= rp.LINE_SHARE
-    fitted = rp.fit_crf(x[:1000], doc[:1000], label[:1000]).bounded()
-    assert (fitted.decode(x[1000:], doc[1000:]) == label[1000:]).mean() > 0.97
+    train, held = rp.lines_of(looping_corpus(rng, 150)), rp.lines_of(looping_corpus(rng, 150))
+    crf = rp.fit_crf(train.x, train.doc, rp.labels_of(train))
+    label = rp.labels_of(held)
+    accuracy = lambda c: (c.decode(held.x, held.doc) == label).mean()
+    assert accuracy(crf) > 0.97
+    assert accuracy(crf) > accuracy(rp.LineCrf(crf.emission, np.zeros((2, 2))))  # the chain adds to what each line shows
+
+
+def test_chain_and_content_share_decide(spark):
+    rng = np.random.default_rng(5)
+    texts = looping_corpus(rng, 60).to_pylist()
+    df = spark.createDataFrame([("t", str(i), t) for i, t in enumerate(texts)], "src string, id string, text string")
+    x, doc = random_lines(rng, 2000), np.repeat(np.arange(200), 10)
+    alone = rp.LineCrf(rp.DEFAULT_CRF.emission, np.zeros((2, 2)))
+    assert (alone.decode(x, doc) != rp.DEFAULT_CRF.decode(x, doc)).mean() > 0.01
+    want = {str(i) for i, t in enumerate(texts) if (c := brute(t))[1] >= 0.25 * c[0]}
+    assert want and {r.id for r in rp.found_repetition(df).collect()} == want
+    nothing = rp.LineCrf(np.full(rp.N_FEATURES, -1.0), np.zeros((2, 2)))
+    assert rp.found_repetition(df, crf=nothing).count() == 0
 
 
 def test_query_edges(spark):
