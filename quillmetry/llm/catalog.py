@@ -123,6 +123,18 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mixed(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), targets), targets)
 
 
+@query("p9_budget_mix")
+def p9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of three quarters of the sources' tokens: the exponent is bisected to the repetition limits."""
+    return mixing.mixed(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), table(spark, sf_dir, "mix_targets"), budget=0.75)
+
+
+@query("p9_weights")
+def p9_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights at the targets, at the budget of p9_budget_mix and at an entropy half-way, each with its exponent."""
+    return mixing.weights_report(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), table(spark, sf_dir, "mix_targets"))
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.found_spans(_documents(spark, sf_dir))

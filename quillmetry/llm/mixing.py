@@ -2,9 +2,11 @@
 
 Sizes are tokens of the public tokenizer. Weights lie on the path from the sources' token shares q (exponent 0) to the
 targets t (exponent 1), w ~ q * (t / q) ** a: the shares' ratio to the targets is the base that is exponentiated. For a
-given budget the largest exponent is bisected at which no source needs more than its max_repeats passes. Without a
-budget, the budget is the largest at which the exponent 1, that is the targets themselves, keeps that limit, so every
-source reaches its target share. A target entropy may be given instead; it is met by bisecting the same exponent.
+given budget the largest exponent is bisected at which no source needs more than its max_repeats passes (query p9_budget_mix:
+three quarters of all tokens, which small sources can't keep up with at their targets). Without a budget, it is the
+largest at which the exponent 1, that is the targets themselves, keeps that limit, so every source reaches its target
+share. A target entropy may be given instead; it is met by bisecting the same exponent, and the budget is then the
+largest within the limit.
 
 A source's budget is cut into whole passes and a rest. The rest is taken from a seeded permutation of hash blocks:
 blocks in their order as long as they fit, then documents of the block at the edge, by running sums within that block
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmetry.llm import tokenizer
-from quillmetry.runtime import written
+from quillmetry.runtime import broadcast_if_small, written
 
 #: Blocks per source: a block of a source of N documents has about N / BLOCKS of them.
 BLOCKS = 4096
+#: Sources of a mix: their plan is made on the driver. More are an error.
+MOST_SOURCES = 100_000
 
 
 def sizes(documents: DataFrame, text: str = "text", path: str = tokenizer.RANKS) -> DataFrame:
@@ -75,8 +79,8 @@ def plan_weights(tokens: dict[str, int], targets: dict[str, tuple[float, int]],
         weights = exponent_weights(share, goal, a)
         return weights, budget or int(min(cap[s] / w for s, w in weights.items()) + 1e-6), a
     if budget is None:
-        return goal, int(min(cap[s] / goal[s] for s in goal) + 1e-6), 1.0
-    fits = lambda x: all(budget * w <= cap[s] * (1 + 1e-12) for s, w in exponent_weights(share, goal, x).items())
+        budget = int(min(cap[s] / goal[s] for s in goal) + 1e-6)
+    fits = lambda x: all(budget * w <= cap[s] * (1 + 1e-9) for s, w in exponent_weights(share, goal, x).items())
     a = bisect_exponent(fits)
     return exponent_weights(share, goal, a), budget, a
 
@@ -88,9 +92,9 @@ def mix(docs: DataFrame, weights: dict[str, float], budget: int, tokens: dict[st
     for s, w in sorted(weights.items()):
         want = min(round(budget * w), tokens[s] * caps[s])
         rows.append((s, want // tokens[s], want % tokens[s]))
-    plan = spark.createDataFrame(rows, "source string, passes bigint, rest bigint")
+    plan = broadcast_if_small(spark.createDataFrame(rows, "source string, passes bigint, rest bigint"), len(rows))
     key = F.xxhash64(F.lit(seed), "doc_id")
-    own = docs.join(F.broadcast(plan), "source").withColumns({"key": key, "block": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(BLOCKS))})
+    own = docs.join(plan, "source").withColumns({"key": key, "block": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(BLOCKS))})
     order = F.xxhash64(F.lit(seed + 2), "source", "block")
     before = Window.partitionBy("source").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = own.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("block_rest")).withColumn("place", order)
@@ -106,19 +110,46 @@ def mix(docs: DataFrame, weights: dict[str, float], budget: int, tokens: dict[st
 
 def _dimension(sized: DataFrame, targets: DataFrame) -> tuple[dict[str, int], dict[str, tuple[float, int]]]:
     """Tokens by source and targets; only the sources that have a target, whose table is a small dimension."""
-    goal = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("t"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("r")).filter("source is not null")
-    by = sized.join(goal.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    return {r.source: r.n for r in by.collect()}, {r.source: (r.t, r.r) for r in goal.collect()}
+    goal = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("t"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("r")).filter("source is not null").dropDuplicates(["source"])
+    held = goal.limit(MOST_SOURCES + 1).collect()
+    if len(held) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources in the mix")
+    by = sized.join(goal.select("source"), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    return {r.source: r.n for r in by.collect()}, {r.source: (r.t, r.r) for r in held}
 
 
-def mixed(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42, path: str = tokenizer.RANKS) -> DataFrame:
-    """doc_id, source, n_tokens, copies of every document used in the mix."""
+def planned(documents: DataFrame, targets: DataFrame, budget: int | float | None, target_entropy: float | None, path: str) -> tuple:
+    """Sizes, tokens and targets by source, weights, budget and exponent. A fractional budget is a share of all tokens of the mix's sources."""
     sized = sizes(documents, path=path)
     tokens, goal = _dimension(sized, targets)
-    weights, total, _ = plan_weights(tokens, goal, budget)
+    if isinstance(budget, float):
+        budget = round(budget * sum(n for s, n in tokens.items() if goal[s][0] > 0))
+    return sized, tokens, goal, *plan_weights(tokens, goal, budget, target_entropy)
+
+
+def mixed(documents: DataFrame, targets: DataFrame, budget: int | float | None = None, target_entropy: float | None = None, seed: int = 42, path: str = tokenizer.RANKS) -> DataFrame:
+    """doc_id, source, n_tokens, copies of every document used in the mix."""
+    sized, tokens, goal, weights, total, _ = planned(documents, targets, budget, target_entropy, path)
     return mix(sized, weights, total, tokens, {s: r for s, (_, r) in goal.items()}, seed)
 
 
+def weights_report(documents: DataFrame, targets: DataFrame, budget: int | float | None = 0.75, path: str = tokenizer.RANKS) -> DataFrame:
+    """Weights by source of three plans: the targets, the budget, and the entropy half-way between token shares and targets.
+
+    plan, source, tokens, token_share, target_share, weight, exponent (bisected), budget in tokens, passes over the source.
+    """
+    sized, tokens, goal, *_ = planned(documents, targets, None, None, path)
+    whole = sum(n for s, n in tokens.items() if goal[s][0] > 0)
+    weigh = lambda b, e: plan_weights(tokens, goal, b, e)
+    plans = {"targets": weigh(None, None), "budget": weigh(round(budget * whole) if isinstance(budget, float) else budget, None)}
+    share, full = exponent_weights, plans["targets"][0]
+    if full:
+        own = {s: tokens[s] / whole for s in full}
+        plans["entropy"] = weigh(None, (entropy(share(own, full, 0.0)) + entropy(share(own, full, 1.0))) / 2)
+    rows = [(name, s, tokens[s], tokens[s] / whole, float(goal[s][0]), w, a, total, total * w / tokens[s]) for name, (weights, total, a) in plans.items() for s, w in sorted(weights.items())]
+    return sized.sparkSession.createDataFrame(rows, "plan string, source string, tokens bigint, token_share double, target_share double, weight double, exponent double, budget bigint, passes double")
+
+
 def report(used: DataFrame, targets: DataFrame) -> DataFrame:
     """Each source's target, documents, tokens, mean and largest number of copies, and its actual share of the mix."""
     by = used.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))

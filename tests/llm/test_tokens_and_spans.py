@@ -144,6 +144,10 @@ def test_weights():
     w, _, _ = mixing.plan_weights(tokens, goal, target_entropy=0.5)
     assert mixing.entropy(w) == pytest.approx(0.5, abs=1e-6)
     assert mixing.plan_weights({}, goal) == ({}, 0, 1.0)
+    # the exponent decides: a budget that the targets can't fill moves every weight towards the token shares
+    full, large, half = mixing.plan_weights(tokens, goal)[0], mixing.plan_weights(tokens, goal, budget=1090), mixing.plan_weights(tokens, goal, budget=1000)
+    assert 0 < large[2] < half[2] < 1 and large[0]["a"] > half[0]["a"] > full["a"]
+    assert 1000 * half[0]["b"] == pytest.approx(400) and 1090 * large[0]["b"] == pytest.approx(400)
 
 
 def test_mix_reaches_its_shares(spark):
