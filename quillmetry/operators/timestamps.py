@@ -1,17 +1,26 @@
 """Mixed timestamp formats and zones to one UTC instant (problem 3).
 
-A value is read by every format whose pattern it matches. Only the order of day and month in all-number slash dates
-leaves two readings; expectation-maximisation over the two orders per source decides it. The mixture starts from the
-source's documented order as a Dirichlet prior, values with one valid reading add to the evidence, and the posterior
-picks the reading. Everything is a column expression; the mixture needs one small aggregate per source.
+Every value has one reading per valid parse: each format whose pattern it fits, either order of day and month in an
+all-number slash date, every meaning of a zone abbreviation that has several, each unit of a bare integer that gives a
+plausible year. Each source is a mixture over these interpretations. Expectation-maximisation fits its weights: a value
+adds to each of its readings in proportion to weight and documentation; values with a single reading are the evidence
+that settles the others. The posterior picks the reading and marks what stays unresolved.
+
+Documentation (the source's order of dates, its own zone, the length of integers) is a likelihood of TRUST for the
+reading that agrees with it and of 1 - TRUST for one that doesn't, per value: it weighs the same at every size, and a
+source without documentation is decided by its own values alone. Readings of one format never compete with those of
+another, so the mixture falls apart into the formats and only values with several readings and their siblings matter.
 
 Defined results: null, empty, blank and meaningless values, impossible dates and impossible times give no instant.
-A value whose best posterior is under `certain` keeps its best reading and is marked `ambiguous`. A null or unknown
-zone of the source is read as UTC. Repeated rows give equal rows; extra columns are left alone.
+A value whose best posterior is under `certain` keeps its best reading and is marked `ambiguous`; of equal posteriors the
+first reading is taken (month first, the unit by length, the first meaning listed). A null or unknown zone of the source
+is read as UTC. Repeated rows give equal rows and count as evidence each; extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +32,22 @@ _NAME_DAY = r"^(?:[A-Za-z]+,? )?([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})(?:,? (?:a
 _SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:,? (?:at )?(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([AaPp])\.?[Mm]\.?)?)?(?: ([Zz]|[+-]\d{2}:?\d{2}|[A-Za-z]{3,5}))?$"
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-#: Offsets in minutes of zone abbreviations; IST and CST are read in the zone of the source.
+#: Offsets in minutes of zone abbreviations with one meaning.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180,
-    "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
-    "IST": 330, "JST": 540, "AEST": 600, "AEDT": 660,
+    "EST": -300, "EDT": -240, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
+    "JST": 540, "AEST": 600, "AEDT": 660,
+}
+#: Abbreviations with several meanings: the zone that each belongs to, and its offset. The first without a zone is the usual one.
+MEANINGS = {
+    "IST": (("Asia/Kolkata", 330), ("Europe/Dublin", 60), ("Asia/Jerusalem", 120)),
+    "CST": (("America/Chicago", -360), ("Asia/Shanghai", 480)),
 }
-#: Where an abbreviation means something else in the zone named.
-ABBREVIATIONS_BY_ZONE = {("Europe/Dublin", "IST"): 60, ("Asia/Jerusalem", "IST"): 120, ("Asia/Shanghai", "CST"): 480}
+#: Documented readings have this likelihood, others the rest.
+TRUST = 0.99
 DAY_US = 86_400_000_000
+#: Microseconds of 1990 and 2100: a bare integer is read in another unit than its length says only in between.
+PLAUSIBLE = (631_152_000_000_000, 4_102_444_800_000_000)
 
 
 #: For each format its pattern and where year, month, day, hour, minute, second, fraction, half of day and zone stand.
@@ -55,26 +71,34 @@ def _days(y: Column, m: Column, d: Column) -> Column:
     return F.when(ok, F.unix_date(F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d))))
 
 
-def _offset(zone: Column, tz: Column) -> Column:
-    """Offset from UTC in minutes of a written zone in capitals; null for none or an unknown one."""
+def _offsets(zone: Column, tz: Column) -> Column:
+    """Array of name, offset from UTC in minutes and documentation of each meaning of a written zone in capitals."""
     sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
     digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
-    table = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
-    named = F.element_at(table, zone)
-    for (where, name), minutes in ABBREVIATIONS_BY_ZONE.items():
-        named = F.when((tz == where) & (zone == name), F.lit(minutes)).otherwise(named)
     numeric = sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int"))
-    return F.when(zone == "Z", F.lit(0)).when(zone.rlike(r"^[+-]"), numeric).otherwise(named)
+    table = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
+    one = F.when(zone == "Z", F.lit(0)).when(zone.rlike(r"^[+-]"), numeric).otherwise(F.element_at(table, zone))
+    meaning = lambda name, minutes, doc: F.struct(name.alias("name"), minutes.alias("minutes"), doc.alias("doc"))
+    out = F.array(meaning(F.lit(""), one, F.lit(1.0)))
+    for name, places in MEANINGS.items():
+        own = F.array_contains(F.array(*[F.lit(where) for where, _ in places]), tz)
+        first = [F.when(own, tz == where).otherwise(F.lit(k == 0)) for k, (where, _) in enumerate(places)]
+        out = F.when(zone == name, F.array(*[meaning(F.lit(f"{name}{minutes:+d}"), F.lit(minutes), F.when(tz.isNull(), F.lit(0.5)).when(f, F.lit(TRUST)).otherwise(F.lit(1 - TRUST))) for f, (_, minutes) in zip(first, places)])).otherwise(out)
+    return out
+
 
+def _reading(name: Column, us: Column, doc: Column) -> Column:
+    return F.struct(name.alias("name"), us.alias("us"), doc.cast("double").alias("doc"))
 
-def _read(value: Column, tz: Column) -> Column:
-    """Struct of format, one (the instant if there is a single reading), md and dm (the two orders of a slash date)."""
-    nothing = F.lit(None).cast("long")
+
+def _read(value: Column, tz: Column, order: Column) -> Column:
+    """Array of the value's readings: name, instant in microseconds and likelihood of the documentation."""
+    none = F.array().cast("array<struct<name:string,us:bigint,doc:double>>")
 
     def with_parts(v: Column, kind: Column) -> Column:
         parts = F.lit(None).cast("string")
-        for name, (pattern, order) in _FORMATS.items():
-            parts = F.when(kind == name, F.regexp_replace(v, pattern, order)).otherwise(parts)
+        for name, (pattern, places) in _FORMATS.items():
+            parts = F.when(kind == name, F.regexp_replace(v, pattern, places)).otherwise(parts)
         return _let(F.split(parts, r"\|", -1), lambda p: _let(fields(p), lambda f: _let(walls(f), lambda w: instants(kind, f, w))))
 
     def fields(p: Column) -> Column:
@@ -89,19 +113,23 @@ def _read(value: Column, tz: Column) -> Column:
         fits = f["h"].between(0, 23) & f["mi"].between(0, 59) & f["s"].between(0, 59)
         clock = F.when(f["no_time"], F.lit(0).cast("long")).when(fits, (f["h"] * 3600 + f["mi"] * 60 + f["s"]).cast("long") * 1_000_000 + f["us"])
         wall = lambda c, m, d: _days(f["y"], m, d).cast("long") * DAY_US + c
-        return _let(clock, lambda c: F.struct(wall(c, f["m"], f["d"]).alias("md"), wall(c, f["d"], f["m"]).alias("dm"), _offset(f["zone"], tz).alias("off")))
+        return _let(clock, lambda c: F.struct(wall(c, f["m"], f["d"]).alias("md"), wall(c, f["d"], f["m"]).alias("dm")))
 
     def instants(kind: Column, f: Column, w: Column) -> Column:
         local = lambda x: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(x), F.coalesce(tz, F.lit("UTC"))))
-        at = lambda x: F.when(f["zone"].isNull(), local(x)).when(w["off"].isNotNull(), x - w["off"].cast("long") * 60_000_000)
-        slash = kind == "slash"
-        return _let(at(w["md"]), lambda md: F.struct(kind.alias("format"), F.when(~slash, md).alias("one"), F.when(slash, md).alias("md"), F.when(slash, at(w["dm"])).alias("dm")))
+        agrees = lambda o: F.when(F.upper(order) == o, F.lit(TRUST)).when(F.upper(order).isin("MDY", "DMY"), F.lit(1 - TRUST)).otherwise(F.lit(0.5))
+        wall = lambda name, x, doc: F.struct(name.alias("name"), x.alias("x"), doc.alias("doc"))
+        slash = F.array(wall(F.lit("slash:md"), w["md"], agrees("MDY")), wall(F.lit("slash:dm"), w["dm"], agrees("DMY")))
+        both = F.when(kind == "slash", slash).otherwise(F.array(wall(kind, w["md"], F.lit(1.0))))
+        at = lambda x: F.when(f["zone"].isNull(), F.array(_reading(x["name"], local(x["x"]), x["doc"]))).otherwise(F.transform(_offsets(f["zone"], tz), lambda o: _reading(F.concat(x["name"], F.when(o["name"] == "", F.lit("")).otherwise(F.concat(F.lit(":"), o["name"]))), x["x"] - o["minutes"].cast("long") * 60_000_000, x["doc"] * o["doc"])))
+        return F.flatten(F.transform(both, at))
 
     def of_kind(v: Column, kind: Column) -> Column:
-        unit = F.when(F.length(v) == 10, 1_000_000).when(F.length(v) == 13, 1_000).otherwise(1)
-        epoch = F.struct(kind.alias("format"), (v.try_cast("long") * unit).alias("one"), nothing.alias("md"), nothing.alias("dm"))
-        none = F.struct(kind.alias("format"), nothing.alias("one"), nothing.alias("md"), nothing.alias("dm"))
-        return F.when(kind.isNull(), none).when(kind == "epoch", epoch).otherwise(with_parts(v, kind))
+        n = v.try_cast("long")
+        unit = lambda name, digits, size: _reading(F.lit(f"epoch:{name}"), F.when((n >= PLAUSIBLE[0] // size) & (n < PLAUSIBLE[1] // size), n * size), F.when(F.length(v) == digits, F.lit(TRUST)).otherwise(F.lit(1 - TRUST)))
+        by_length = _reading(F.concat(F.lit("epoch:"), F.when(F.length(v) == 10, "s").when(F.length(v) == 13, "ms").otherwise("us")), n * F.when(F.length(v) == 10, 1_000_000).when(F.length(v) == 13, 1_000).otherwise(1), F.lit(TRUST))
+        others = F.filter(F.array(unit("s", 10, 1_000_000), unit("ms", 13, 1_000), unit("us", 16, 1)), lambda r: r["doc"] < 0.5)
+        return F.when(kind.isNull(), none).when(kind == "epoch", F.concat(F.array(by_length), others)).otherwise(with_parts(v, kind))
 
     def kind_of(v: Column) -> Column:
         kind = F.when(v.rlike(r"^\d{10}$|^\d{13}$|^\d{16}$"), F.lit("epoch"))
@@ -109,55 +137,68 @@ def _read(value: Column, tz: Column) -> Column:
             kind = kind.when(v.rlike(pattern), F.lit(name))
         return kind
 
-    return _let(F.trim(F.regexp_replace(value, r"\s+", " ")), lambda v: _let(kind_of(v), lambda kind: of_kind(v, kind)))
+    read = _let(F.trim(F.regexp_replace(value, r"\s+", " ")), lambda v: _let(kind_of(v), lambda kind: of_kind(v, kind)))
+    return F.filter(F.coalesce(read, none), lambda r: r["us"].isNotNull())
 
 
-def readings(values: DataFrame, value: str, tz: str) -> DataFrame:
-    """Add _format, one, md and dm to each value.
+def readings(values: DataFrame, value: str, tz: str, order: str) -> DataFrame:
+    """Add _r, the readings of each value.
 
     Java's rule for local times gives the first of two equal wall clocks and the old offset in a gap. The generator
     keeps filters on the result from being pushed into copies of the parser.
     """
-    out = values.select("*", F.explode(F.array(_read(F.col(value), F.col(tz)))).alias("_r"))
-    return out.select(*values.columns, F.col("_r.format").alias("_format"), "_r.one", "_r.md", "_r.dm")
+    return values.select("*", F.explode(F.array(_read(F.col(value), F.col(tz), F.col(order)))).alias("_r"))
+
+
+def fit_weights(sets: list[list[str]], docs: list[list[float]], counts: np.ndarray, steps: int = 50, pseudo: float = 0.5) -> dict[str, float]:
+    """EM of one source: sets of readings that values have, their documentation, and how many values have each set."""
+    names = sorted({x for s in sets for x in s})
+    at = {x: i for i, x in enumerate(names)}
+    like = np.zeros((len(sets), len(names)))
+    for i, (s, d) in enumerate(zip(sets, docs)):
+        for x, p in zip(s, d):
+            like[i, at[x]] = p
+    w = np.full(len(names), 1 / len(names))
+    for _ in range(steps):
+        share = like * w
+        share *= (counts / share.sum(1))[:, None]
+        w = (share.sum(0) + pseudo) / (counts.sum() + pseudo * len(names))
+    return dict(zip(names, w.tolist()))
 
 
-def order_mixture(parsed: DataFrame, source: str, order: str, prior_weight: float = 1e6, steps: int = 25) -> DataFrame:
-    """Weight of month-first dates per source by EM: source, w_md. One row per source.
+def format_mixture(read: DataFrame, source: str) -> DataFrame:
+    """_source, weights (a map of reading to weight): the EM of each source, over counts of equal sets of readings.
 
-    The sufficient statistics are three counts per source (only month-first valid, only day-first, both). Each step
-    shares the values with both readings by the present weight (E) and renormalises with the prior (M).
+    The counts are aggregated before they meet; a source has as many sets as there are combinations of readings.
     """
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    md, dm = F.col("md").isNotNull(), F.col("dm").isNotNull()
-    stats = parsed.groupBy(source).agg(n(md & ~dm).alias("n_md"), n(dm & ~md).alias("n_dm"), n(md & dm).alias("n_both"), F.first(order, ignorenulls=True).alias("_order"))
-    start = F.when(F.upper("_order") == "MDY", 1.0).when(F.upper("_order") == "DMY", 0.0).otherwise(0.5)
-    weight = F.when(F.col("_order").isNull(), 1.0).otherwise(prior_weight)
-    step = lambda w, _: (weight * start + F.col("n_md") + F.col("n_both") * w) / (weight + F.col("n_md") + F.col("n_dm") + F.col("n_both"))
-    return stats.select(source, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start.cast("double"), step).alias("w_md"))
+    names = F.transform("_r", lambda r: F.concat_ws("=", r["name"], r["doc"].cast("string")))
+    sets = read.filter(F.size("_r") > 0).groupBy(F.col(source).cast("string").alias("_source"), F.array_join(names, "|").alias("readings")).agg(F.count("*").alias("n"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        split = [[x.rsplit("=", 1) for x in s.split("|")] for s in frame["readings"]]
+        w = fit_weights([[n for n, _ in s] for s in split], [[float(d) for _, d in s] for s in split], frame["n"].to_numpy(float))
+        return pd.DataFrame({"_source": [frame["_source"].iloc[0]], "names": [list(w)], "w": [list(w.values())]})
+
+    fitted = sets.groupBy("_source").applyInPandas(run, "_source string, names array<string>, w array<double>")
+    return fitted.select("_source", F.map_from_arrays("names", "w").alias("weights"))
 
 
-def normalise_timestamps(values: DataFrame, value: str, source: str, tz: str, order: str, certain: float = 0.9, prior_weight: float = 1e6) -> DataFrame:
+def normalise_timestamps(values: DataFrame, value: str, source: str, tz: str, order: str, certain: float = 0.9) -> DataFrame:
     """Add instant_us, format, posterior and ambiguous to each row of values.
 
-    The sources are a dimension: their mixture has a row per source, so it is joined by hash with no broadcast hint.
+    Formats don't compete, so the mixture is fitted on the values of those formats that can have several readings. The
+    sources are a dimension: their mixture has a row per source, so it is joined by hash with no broadcast hint.
     """
-    parsed = readings(values, value, tz)
-    slash = readings(values.filter(F.col(value).contains("/")), value, tz).filter(F.col("md").isNotNull() | F.col("dm").isNotNull())
-    weights = order_mixture(slash, source, order, prior_weight).withColumnRenamed(source, "_source")
-    joined = parsed.join(weights, F.col(source).eqNullSafe(F.col("_source")), "left")
-    w = F.coalesce(F.col("w_md"), F.lit(0.5))
-    p_md = F.when(F.col("dm").isNull(), 1.0).when(F.col("md").isNull(), 0.0).otherwise(w)
-    same = F.col("md") == F.col("dm")
-    posterior = F.when(F.col("md").isNull() & F.col("dm").isNull(), 1.0).when(same, 1.0).otherwise(F.greatest(p_md, 1 - p_md))
-    slash_us = F.when(p_md >= 0.5, F.col("md")).otherwise(F.col("dm"))
-    instant = F.coalesce(F.col("one"), slash_us)
-    fmt = F.when(F.col("_format") != "slash", F.col("_format")).when(p_md >= 0.5, F.lit("md")).otherwise(F.lit("dm"))
-    return (
-        joined.withColumns({"instant_us": instant, "format": F.when(instant.isNotNull(), fmt), "posterior": F.when(instant.isNotNull(), posterior)})
-        .withColumn("ambiguous", F.col("instant_us").isNotNull() & (F.col("posterior") < certain))
-        .drop("_format", "one", "md", "dm", "w_md", "_source")
-    )
+    several = F.col(value).rlike(r"/|^\s*\d{10,16}\s*$|(?i)\b(?:" + "|".join(MEANINGS) + r")\b")
+    weights = format_mixture(readings(values.filter(several), value, tz, order), source)
+    joined = readings(values, value, tz, order).join(weights, F.col(source).cast("string").eqNullSafe(F.col("_source")), "left")
+    scored = F.transform("_r", lambda r: F.struct((r["doc"] * F.coalesce(F.try_element_at(F.col("weights"), r["name"]), F.lit(1e-9))).alias("p"), r["name"].alias("name"), r["us"].alias("us")))
+    best = F.aggregate("_s", F.element_at("_s", 1), lambda a, r: F.when(r["p"] > a["p"], r).otherwise(a))
+    mass = lambda at: F.aggregate("_s", F.lit(0.0), lambda a, r: a + F.when(F.lit(at is None) | (r["us"] == at if at is not None else F.lit(True)), r["p"]).otherwise(0.0))
+    out = joined.withColumn("_s", scored).withColumn("_b", F.when(F.size("_s") == 1, F.element_at("_s", 1)).when(F.size("_s") > 1, best))
+    posterior = F.when(F.size("_s") == 1, F.lit(1.0)).when(F.size("_s") > 1, mass(F.col("_b.us")) / mass(None))
+    out = out.withColumns({"instant_us": F.col("_b.us"), "format": F.col("_b.name"), "posterior": posterior})
+    return out.withColumn("ambiguous", F.col("instant_us").isNotNull() & (F.col("posterior") < certain)).drop("_r", "_s", "_b", "weights", "_source")
 
 
 FIELDS = ["published_date", "modified_date", "scraped_at"]

@@ -21,3 +21,11 @@ def p3_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = ts.article_times(table(spark, sf_dir, "articles"), table(spark, sf_dir, "authors"), table(spark, sf_dir, "outlets")).dropDuplicates(["id", "field"])
     out = ts.normalise_timestamps(long, "value", "outlet", "tz_name", "date_order")
     return out.groupBy("outlet", "field", F.coalesce("format", F.lit("none")).alias("format")).agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("ambiguous"))
+
+
+@query("p3_mixture")
+def p3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the interpretations of each outlet's times, fitted to the values alone, without the documented orders."""
+    long = ts.article_times(table(spark, sf_dir, "articles"), table(spark, sf_dir, "authors"), table(spark, sf_dir, "outlets")).dropDuplicates(["id", "field"])
+    read = ts.readings(long.withColumn("date_order", F.lit(None).cast("string")), "value", "tz_name", "date_order")
+    return ts.format_mixture(read, "outlet").select(F.col("_source").alias("outlet"), F.explode("weights").alias("reading", "weight"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,34 @@ def test_mixture_learns_the_order_and_marks_doubt(spark):
     assert got["b", "04/05/2013"].ambiguous and not got["a", "13/02/2011"].ambiguous
 
 
+def test_the_mixture_decides(spark):
+    """Values of a source that deny its documented order a hundredfold decide, at any size; a few strays don't."""
+    late = [("s", f"{d:02d}/{m:02d}/2012", "UTC", "MDY") for d in range(13, 28) for m in range(1, 13)]
+    doubtful = ("s", "04/05/2012", "UTC", "MDY")
+    for times, want in ((1, us(2012, 5, 4)), (7, us(2012, 5, 4))):
+        df = spark.createDataFrame([*late * times, doubtful], "source string, value string, tz string, ord string")
+        got = ts.normalise_timestamps(df, "value", "source", "tz", "ord").filter("value = '04/05/2012'").first()
+        assert got.instant_us == want and got.posterior > 0.5
+    few = [("s", "13/05/2012", "UTC", "MDY"), *[("s", f"0{m}/{d}/2012", "UTC", "MDY") for m in range(1, 9) for d in range(13, 20)], doubtful]
+    df = spark.createDataFrame(few, "source string, value string, tz string, ord string")
+    assert ts.normalise_timestamps(df, "value", "source", "tz", "ord").filter("value = '04/05/2012'").first().instant_us == us(2012, 4, 5)
+
+
+def test_abbreviations_with_several_meanings(spark):
+    rows = [("a", "28 June 2013 7:41 AM IST", "Europe/Dublin"), ("b", "28 June 2013 7:41 AM IST", "Asia/Jerusalem"), ("c", "28 June 2013 7:41 AM IST", None), ("d", "28 June 2013 07:41 CST", "Asia/Shanghai")]
+    df = spark.createDataFrame([(*r, "MDY") for r in rows], "source string, value string, tz string, ord string")
+    got = {r.source: r for r in ts.normalise_timestamps(df, "value", "source", "tz", "ord").collect()}
+    assert [got[k].instant_us for k in "abd"] == [us(2013, 6, 28, 6, 41), us(2013, 6, 28, 5, 41), us(2013, 6, 27, 23, 41)]
+    assert got["c"].ambiguous and got["c"].instant_us == us(2013, 6, 28, 2, 11)
+
+
+def test_em_finds_the_maximum_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    sets, docs, n = [["md"], ["dm"], ["md", "dm"]], [[0.5], [0.5], [0.5, 0.5]], rng.integers(1, 60, 3).astype(float)
+    w = ts.fit_weights(sets, docs, n, steps=500, pseudo=0.0)
+    assert w["md"] == pytest.approx(n[0] / (n[0] + n[1]), abs=1e-6)
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([("1295092214", "s", "UTC", "MDY", 7)], "value string, source string, tz string, ord string, extra int")
     assert ts.normalise_timestamps(df, "value", "source", "tz", "ord").first().extra == 7
