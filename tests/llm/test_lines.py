@@ -100,6 +100,56 @@ def test_page_bodies(spark):
     assert bp.boilerplate_lines(df.limit(0), pages.limit(0)).count() == 0
 
 
+def pages_with_furniture(n, rng):
+    """Pages whose body stands in a container of unique lines, beside a menu, a long notice, tags and links that vary."""
+    notice = " ".join(f"clause{k}" for k in range(90))
+    word = lambda: f"w{rng.integers(0, 9999)}"
+    out = []
+    for _ in range(n):
+        body = [" ".join(word() for _ in range(14)) for _ in range(5)]
+        tags, link = f"Tags: {word()}, {word()}", f"Related: {word()} {word()} {word()}"
+        menu = ["Home News", "Most read", " ".join(word() for _ in range(5))]
+        page = [("nav", menu[0]), ("div.story", body[0]), ("div.story", body[1]), ("div.more", link), *[("div.story", x) for x in body[2:]], ("div.tags", tags), ("aside", menu[1]), ("aside", menu[2]), ("footer", notice)]
+        text = [menu[0], *body, link, tags, menu[2], notice]
+        out.append((page, "\n".join(text), {1, 7, 8, 9, 10}))
+    return out
+
+
+def test_covered_lines_equal_brute_force():
+    rng = np.random.default_rng(8)
+    pool = [" ".join(f"p{rng.integers(0, 40)}" for _ in range(int(n))) for n in (1, 2, 5, 62, 63, 64, 65, 200)]
+    docs = [[str(rng.choice(pool)) if rng.random() < 0.3 else f"own {i} {k} " + str(rng.integers(0, 9)) for k in range(6)] + ["", "!?"] for i in range(12)]
+    covered, _ = bp.covered_lines(docs)
+    key = lambda x: tuple(re.findall(r"[^\W_]+", bp.form_of(x).replace("#", " 0 ")))
+    seen = collections.defaultdict(set)
+    for i, d in enumerate(docs):
+        for x in d:
+            seen[key(x)].add(i)
+    for d, c in zip(docs, covered):
+        assert [bool(k) for x, k in zip(d, c) if key(x)] == [len(seen[key(x)]) >= 3 for x in d if key(x)]
+    assert bp.covered_lines([]) == ([], []) and [len(c) for c in bp.covered_lines([[], []])[0]] == [0, 0]
+
+
+def test_what_is_covered_decides(monkeypatch):
+    made = pages_with_furniture(40, np.random.default_rng(6))
+    ids, texts = [str(i) for i in range(40)], [t for _, t, _ in made]
+    pages = ["\x1e".join(f"{c}\x1f{t}" for c, t in p) for p, _, _ in made]
+    want = {(str(i), k) for i, (_, _, bad) in enumerate(made) for k in bad}
+    assert set(bp.shard_lines(ids, texts, pages)) == want
+    real = bp.covered_lines
+    monkeypatch.setattr(bp, "covered_lines", lambda s: tuple([np.zeros_like(c) for c in part] for part in real(s)))
+    assert not set(bp.shard_lines(ids, texts, pages))
+
+
+def test_lost_pages_follow_the_others():
+    made = pages_with_furniture(60, np.random.default_rng(7))
+    ids, texts = [str(i) for i in range(60)], [t for _, t, _ in made]
+    pages = [None if i % 6 == 0 else "\x1e".join(f"{c}\x1f{t}" for c, t in p) for i, (p, _, _) in enumerate(made)]
+    got = set(bp.shard_lines(ids, texts, pages))
+    want = {(str(i), k) for i, (_, _, bad) in enumerate(made) for k in bad}
+    assert len(got ^ want) <= 0.05 * len(want)
+
+
 def test_suffix_array_and_fm_index():
     rng = np.random.default_rng(0)
     text = np.r_[rng.integers(1, 5, 300), 0, rng.integers(1, 5, 200), 0]
