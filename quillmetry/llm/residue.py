@@ -1,8 +1,10 @@
 """Template residue and error-page text (problem 5).
 
 Placeholders are found by one small grammar per delimiter, filler text by runs of filler words, error and script
-notices by lines that consist of the notice. Code blocks and inline code are blanked first, and a record whose
-placeholders all stand right after words that talk about template syntax is a tutorial and no case.
+notices by lines that consist of the notice. Code blocks (closed fences only: a stray fence hides nothing) and inline
+code are blanked first. Placeholders right after words that talk about template syntax are discounted one by one
+(context); a text in which half of the placeholders are, and in which such words are TALK of all words or more (density),
+is a tutorial, and none of its placeholders counts.
 Prose that only mentions a 404 error, lorem ipsum or JavaScript never forms a whole notice line or a filler run.
 
 All rules are column expressions over the whole text, with cheap containment tests before the regular expressions.
@@ -16,22 +18,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_NAME = r"[A-Za-z_][\w.\- ]{0,60}"
+_NAME = r"[A-Za-z_][\w.\- ]*"
 #: A grammar for each pair of delimiters: what must occur in the text, and the placeholder itself.
 PLACEHOLDERS = {
-    "double_brace": ("{{", r"\{\{\{?[#/^&>]? ?" + _NAME + r"(?:\|[^{}\n]{0,60})? ?\}\}"),
-    "brace_percent": ("{%", r"\{%-? ?[a-z]+[^%\n]{0,80}-?%\}"),
+    "double_brace": ("{{", r"\{\{\{?[#/^&>]? ?" + _NAME + r"(?:\|[^{}\n]*)? ?\}\}"),
+    "brace_percent": ("{%", r"\{%-? ?[a-z]+[^%\n]*-?%\}"),
     "dollar_brace": ("${", r"\$\{ ?" + _NAME + r"\}"),
     "hash_brace": ("#{", r"#\{ ?" + _NAME + r"\}"),
     "brace": ("{", r"(?<![{$#%\w])\{[a-z][a-z]*(?:_[a-z0-9]+)*\}(?!\})"),
-    "angle_percent": ("<%", r"<%[=\-]? ?[^%\n]{1,80}%>"),
-    "percent_name": ("%(", r"%\([A-Za-z_]\w{0,40}\)[sdif]"),
-    "percent_pair": ("%", r"(?<![\w%])%{1,2}[A-Z][A-Z_]{2,40}%{1,2}"),
-    "underscores": ("__", r"(?<![\w])__[A-Z][A-Z_]{1,40}__(?!\w)"),
-    "bars": ("|", r"(?:\|[A-Z][A-Z_]{2,40}\||\*\|[A-Z][A-Z_:]{2,40}\|\*)"),
-    "double_bracket": ("[[", r"\[\[[^\[\]\n]{1,80}\]\]"),
-    "bracket": ("[", r"\[(?:INSERT|TK|TKTK|PLACEHOLDER|NAME|DATE|CITY|YOUR|Your|Insert|insert|ADD|TBD|XX)(?: [^\[\]\n]{1,60})?\]|\[object Object\]"),
-    "angle": ("<", r"<[A-Z]{3,20}_\d{1,4}>|<(?:INSERT|NAME|PLACEHOLDER)[A-Z _]{0,30}>"),
+    "angle_percent": ("<%", r"<%[=\-]? ?[^%\n]+%>"),
+    "percent_name": ("%(", r"%\([A-Za-z_]\w*\)[sdif]"),
+    "percent_pair": ("%", r"(?<![\w%])%{1,2}[A-Z][A-Z_]{2,}%{1,2}"),
+    "underscores": ("__", r"(?<![\w])__[A-Z][A-Z_]+__(?!\w)"),
+    "bars": ("|", r"(?:\|[A-Z][A-Z_]{2,}\||\*\|[A-Z][A-Z_:]{2,}\|\*)"),
+    "double_bracket": ("[[", r"\[\[[^\[\]\n]+\]\]"),
+    "bracket": ("[", r"\[(?:INSERT|TK|TKTK|PLACEHOLDER|NAME|DATE|CITY|YOUR|Your|Insert|insert|ADD|TBD|XX)(?: [^\[\]\n]+)?\]|\[object Object\]"),
+    "angle": ("<", r"<[A-Z]{3,}_\d+>|<(?:INSERT|NAME|PLACEHOLDER)[A-Z _]*>"),
     "blank_date": ("XX/", r"\bXX/XX/XX(?:XX)?\b"),
     "copy_marks": ("TK", r"\bTK(?: TK)+\b|\bDek TK\b|\bTKTK\b"),
 }
@@ -54,8 +56,11 @@ NOTICE_LINES = [
     r"</?noscript>.*", r"(?:please |bitte )?(?:enable|activate|turn on|aktivieren sie|active|activa|activez|habilite) (?:the )?(?:javascript|java script|scripts|cookies)\b.*", r"you need to (?:turn on|enable|activate) (?:scripts|javascript)\b.*",
     r"(?:this|the) (?:site|page|app|website) (?:works only|requires|needs)\b.{0,20}(?:scripts|javascript)\b.*", r"javascript (?:is|must be) (?:disabled|required|enabled|not enabled)\b.*", r"(?:your browser|javascript) .{0,30}(?:does not support|is not supported|is disabled)\b.*",
 ]
-_CODE = r"(?s)```.*?(?:```|$)|`[^`\n]{1,200}`|<(?:code|pre)\b.*?</(?:code|pre)>"
+_CODE = r"(?s)```.*?```|(?<!`)`[^`\n]+`(?!`)|<(?:code|pre)\b.*?</(?:code|pre)>"
 _TUTORIAL = r"(?i)\b(?:template (?:syntax|tag|engine|language|variable)s?|placeholder (?:syntax|like|such as|named)|merge tags? (?:like|such as)|variables? (?:like|such as|named)|the (?:literal|string|token|tag|marker|macro) )[^\n]{0,40}$"
+#: Words that talk about templates, and the share of all words from which on they make a text a tutorial.
+_TALK = r"(?i)\b(?:templates?|placeholders?|merge tags?|variables?|syntax|markup|macros?|snippets?|tokens?)\b"
+TALK = 0.02
 
 
 def _lines(patterns: list[str]) -> str:
@@ -75,9 +80,12 @@ def residue(records: DataFrame, text: str) -> DataFrame:
     for needle, pattern in PLACEHOLDERS.values():
         talk = _TUTORIAL[:-1].replace(r"[^\n]{0,40}", r"[^\n{}\[\]<>%|]{0,40}") + "[\"'“‘]?(?-i:" + pattern + ")"
         discussed = discussed + F.when(t.contains(needle), mention(talk)).otherwise(0)
-    out = out.withColumns({"placeholders": count - discussed, "has_filler": t.rlike(FILLER_RUN), "has_stock": t.rlike(_lines(STOCK_LINES)), "has_notice": t.rlike(_lines(NOTICE_LINES))})
+    words = F.size(F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " "))
+    counts = F.struct(count.alias("all"), discussed.alias("discussed"))
+    out = out.withColumn("_n", F.element_at(F.transform(F.array(counts), lambda c: F.when(c["all"] == 0, 0).when((c["discussed"] * 2 >= c["all"]) & (mention(_TALK) >= TALK * words), 0).otherwise(c["all"] - c["discussed"])), 1))
+    out = out.withColumns({"placeholders": F.col("_n"), "has_filler": t.rlike(FILLER_RUN), "has_stock": t.rlike(_lines(STOCK_LINES)), "has_notice": t.rlike(_lines(NOTICE_LINES))})
     out = out.withColumn("has_placeholder", F.col("placeholders") > 0)
-    return out.withColumn("is_residue", F.col("has_placeholder") | F.col("has_filler") | F.col("has_stock") | F.col("has_notice")).drop("_t")
+    return out.withColumn("is_residue", F.col("has_placeholder") | F.col("has_filler") | F.col("has_stock") | F.col("has_notice")).drop("_t", "_n")
 
 
 def found_residue(articles: DataFrame) -> DataFrame:

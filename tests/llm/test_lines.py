@@ -15,12 +15,12 @@ from quillmetry.llm.fmindex import FmIndex, WaveletMatrix, suffix_array
 STORY = "The board approved the budget on Friday after a long debate in the town hall. Nobody opposed it."
 
 
-@pytest.mark.parametrize("text", ["Dear {{ first_name }}, hello", "a ${article.section} b", "x #{county} y", "see %HEADLINE% now", "for %(name)s now", "__CITY__ council", "at <%= byline %> end", "{% if region %} x", "|FNAME| wrote", "[[source needed: NAME]]", "[INSERT QUOTE HERE]", "[TK percent] of", "[Your Name] said", "said <PERSON_1> today", "on XX/XX/XXXX at", "[object Object] voted", "TK TK TK", "Lorem ipsum dolor sit amet, consectetur elit.", "404 Not Found\nThe page you are looking for was moved.", "Please enable JavaScript to continue reading.", "<noscript>This site works only with scripts switched on.</noscript>", "Access denied", "Loading...", "[HTTP_ERROR:403]", "Story.\n\nBody copy goes here"])
+@pytest.mark.parametrize("text", ["Dear {{ first_name }}, hello", "a ${article.section} b", "x #{county} y", "see %HEADLINE% now", "for %(name)s now", "__CITY__ council", "at <%= byline %> end", "{% if region %} x", "|FNAME| wrote", "[[source needed: NAME]]", "[INSERT QUOTE HERE]", "[TK percent] of", "[Your Name] said", "said <PERSON_1> today", "on XX/XX/XXXX at", "[object Object] voted", "TK TK TK", "Lorem ipsum dolor sit amet, consectetur elit.", "404 Not Found\nThe page you are looking for was moved.", "Please enable JavaScript to continue reading.", "<noscript>This site works only with scripts switched on.</noscript>", "Access denied", "Loading...", "[HTTP_ERROR:403]", "Story.\n\nBody copy goes here", "A story.\n```\nDear {{ first_name }}, hello", "Dear {{ " + "very_" * 20 + "long_name }}, hello", "The template is ready for the council meeting on Monday evening, when members will discuss roads and water, she said. Dear {{ name }}, we met. Dear {{ name }}, bye."])
 def test_residue(spark, text):
     assert residue.found_residue(spark.createDataFrame([("a", f"{text}")], "id string, clean_text string")).count() == 1
 
 
-@pytest.mark.parametrize("text", [None, "", "  ", STORY, STORY + " The page returned a 404 error for 6 days, she said.", 'I saw the words access denied and a request to enable JavaScript," she recalled.', "The lorem ipsum on slide 9 was a joke.", "We [the board] never saw it [sic] before.", "Use `{{ name }}` in the template.", "```\n{{ name }} ${x}\n```\nThat is the syntax.", "The brochure still held placeholder text.", "Prices rose 5 % and 7 % {unlike before}."])
+@pytest.mark.parametrize("text", [None, "", "  ", STORY, STORY + " The page returned a 404 error for 6 days, she said.", 'I saw the words access denied and a request to enable JavaScript," she recalled.', "The lorem ipsum on slide 9 was a joke.", "We [the board] never saw it [sic] before.", "Use `{{ name }}` in the template.", "```\n{{ name }} ${x}\n```\nThat is the syntax.", "The brochure still held placeholder text.", "Prices rose 5 % and 7 % {unlike before}.", "Use template variables like {{ name }} or {{ title }} in templates. The syntax of a placeholder: {{ other }}."])
 def test_no_residue(spark, text):
     assert residue.found_residue(spark.createDataFrame([("a", text)], "id string, clean_text string")).count() == 0
 
