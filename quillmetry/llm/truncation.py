@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quillmetry.runtime import broadcast_if_small, rows_of, written
 
-#: Lines at the end of a text from which the forms of furniture are learned.
-TAIL = 12
+#: Longer lines are prose or notices: their form is their exact text, not what is left after masking names and numbers.
+PROSE = 240
 MARK = r"(?:…|\.\.\.|&hellip;?|\[…\]|\[\.\.\.\]|\(more\))$"
 STOP = r"[.!?。！？]$|[.!?。！？,]?[)\]\"”»’'“」]+$"
 LIST_ENTRY = r"^(?:[-–•*·] |\d{1,3}[.)] )"
@@ -52,14 +52,15 @@ def endings(articles: DataFrame) -> DataFrame:
     """One row per article: its last line, last token, lengths and what its end looks like."""
     text = F.regexp_replace(F.coalesce(F.col("clean_text"), F.lit("")), r"(?U)\s+$", "")
     e = articles.withColumn("t", text).filter("t != ''")
-    lines = F.split("t", "\n")
-    e = e.withColumn("tail", F.slice(lines, -F.least(F.size(lines), F.lit(TAIL)), F.lit(TAIL))).withColumn("last", F.trim(F.element_at("tail", -1)))
-    e = e.withColumn("before", F.xxhash64(F.slice(lines, 1, F.greatest(F.size(lines) - TAIL, F.lit(0)))))
-    body = lambda x: F.xxhash64("before", F.filter("tail", lambda y: y != x))
-    e = e.withColumn("body", body(F.element_at("tail", -1)))
+    e = e.withColumn("lines", F.split("t", "\n")).withColumn("last", F.trim(F.element_at("lines", -1)))
+    # a body is the text without one of its lines, named by the sum of the other lines' hashes
+    part = lambda x: F.xxhash64(x) % (1 << 40)
+    e = e.withColumn("sum", F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + part(x)))
+    body = lambda x: F.col("sum") - part(x)
+    e = e.withColumn("body", body(F.element_at("lines", -1)))
     return e.select(
         "id", "author_id", "word_count", "last", "body",
-        F.transform(F.filter("tail", lambda x: (F.trim(x) != "") & (F.length(x) <= 240)), lambda x: F.struct(x.alias("line"), body(x).alias("body"))).alias("tail"),
+        F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.struct(F.when(F.length(x) <= PROSE, x).alias("line"), F.when(F.length(x) > PROSE, F.xxhash64(F.trim(x))).alias("long"), body(x).alias("body"))).alias("lines"),
         F.length("clean_text").alias("chars"), F.xxhash64("t").alias("text_hash"),
         F.size(F.split(F.regexp_replace("t", r"(?U)\s+", " "), " ")).alias("n_words"),
         F.lower(F.regexp_extract("last", TOKEN, 1)).alias("token"),
@@ -126,16 +127,18 @@ def truncation(articles: DataFrame, repeats: int = 4, short_text: int = 25) -> D
     # what ends many texts, hardly ever with a sign of a cut, is furniture; so is a line whose head (Tags:) opens many last lines
     source = F.coalesce(F.col("author_id").cast("string"), F.lit("")).alias("source")
     sources = ends.groupBy("text_hash").agg(F.min(source).alias("source")).groupBy("source").agg(F.count("*").alias("texts"))
-    tails = ends.select(source, F.posexplode("tail").alias("i", "x"), F.size("tail").alias("n"), F.col("last"), a_cut.alias("a_cut")).withColumns({"line": F.col("x.line"), "body": F.col("x.body")}).withColumn("is_last", F.trim("line") == F.col("last"))
-    masked = F.when(F.col("mask").rlike(r"\p{Ll}{3,}"), F.xxhash64("mask"))
-    tails = tails.withColumn("mask", _mask(F.col("line"))).select("source", "body", F.xxhash64(_normal(F.col("line"))).alias("line_key"), masked.alias("mask_key"), F.when(F.col("is_last") & (F.col("i") == F.col("n") - 1), F.when(F.col("a_cut"), 1.0).otherwise(0.0)).alias("cut"))
+    tails = ends.select(source, F.posexplode("lines").alias("i", "x"), F.size("lines").alias("n"), F.col("last"), a_cut.alias("a_cut")).withColumns({"line": F.col("x.line"), "long": F.col("x.long"), "body": F.col("x.body")}).withColumn("is_last", F.coalesce(F.trim("line") == F.col("last"), F.col("long") == F.xxhash64("last")))
+    masked = lambda line: F.when((F.length(line) <= PROSE) & F.col("mask").rlike(r"\p{Ll}{3,}"), F.xxhash64("mask"))
+    tails = tails.withColumn("mask", _mask(F.col("line"))).select("source", "body", F.coalesce("long", F.xxhash64(_normal(F.col("line")))).alias("line_key"), masked("line").alias("mask_key"), F.when(F.col("is_last") & (F.col("i") == F.col("n") - 1), F.when(F.col("a_cut"), 1.0).otherwise(0.0)).alias("cut"))
     uses = lambda key: tails.select("source", "body", "cut", F.col(key).alias("key"))
     lines, masks = furniture(uses("line_key"), sources, "line_key", repeats), furniture(uses("mask_key"), sources, "mask_key", repeats)
     heads = furniture(ends.filter("head != ''").select(source, "body", F.lit(0.0).alias("cut"), F.col("head").alias("key")), sources, "head", repeats)
-    open_end = open_end.withColumns({"line_key": F.xxhash64("normal"), "mask_key": masked})
+    # texts without a head or a token get a key of their own, which nothing matches: one empty key would be a hot one
+    own = lambda c: F.when(F.col(c) == "", F.concat(F.lit("\x01"), F.col("id").cast("string"))).otherwise(F.col(c))
+    open_end = open_end.withColumns({"head": own("head"), "token": own("token"), "line_key": F.when(F.length("last") > PROSE, F.xxhash64("last")).otherwise(F.xxhash64("normal")), "mask_key": masked("last")})
     spikes = common_lengths(ends).withColumn("common_length", F.lit(True))
     forms, small = heading_forms(a)
-    tokens = open_end.filter("token != ''").select("token").distinct()
+    tokens = open_end.filter(~F.startswith("token", F.lit("\x01"))).select("token").distinct()
     words = written(vocabulary(a), "words")
     known = tokens.join(words.withColumnRenamed("word", "token"), "token", "left_semi").withColumn("known", F.lit(True))
     n_tokens = written(tokens, "tokens")
