@@ -5,7 +5,8 @@ fraction to its slot. An element stops as soon as j passes the largest rank stil
 signature costs a few ranks per element, not m. Bands of equal slots give candidates, exact set comparison verifies
 them, large and small stars (a distributed union-find) name the groups.
 
-Texts of equal words are one node first: a band bucket holds different texts only, so copies never meet pairwise. They come back when `found_near_duplicates` writes the pairs that the problem defines.
+Texts of equal words are one node first: a band bucket holds different texts only, so copies never meet pairwise,
+and buckets of very many texts are split into blocks. They come back when `found_near_duplicates` writes the pairs that the problem defines.
 
 Defined results: null and empty texts, and texts under `min_words` words, belong to no pair and no group. Repeated
 rows of one id count once. Texts of any length are read whole. Ties don't arise: the threshold is compared exactly.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmetry.llm import textkit as tk
+from quillmetry.llm.pairs import meet
 from quillmetry.operators.fingerprints import connected
 from quillmetry.runtime import broadcast_if_small, rows_of, written
 
@@ -118,10 +120,8 @@ def classes(records: DataFrame, k: int, min_words: int) -> tuple[DataFrame, Data
 
 
 def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes that share a band. One shuffle of the cells serves both sides of the join."""
-    cells = bands.select("node", F.explode("bands").alias("cell"))
-    a, b = cells.withColumnRenamed("node", "a"), cells.withColumnRenamed("node", "b")
-    return a.join(b.hint("merge"), "cell").filter("a < b").select("a", "b").distinct()
+    """Distinct pairs a < b of nodes that share a band; a cell of many nodes is split into blocks."""
+    return meet(bands.select("node", F.explode("bands").alias("cell")), ["cell"], "node")
 
 
 def verified_pairs(records: DataFrame, members: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -147,9 +147,7 @@ def near_duplicates(records: DataFrame, k: int = 5, threshold: float = 0.8, min_
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs id_a < id_b of the ids behind the links and within the classes of copies."""
-    m = members.groupBy("node").agg(F.count("*").alias("n"))
-    plural = members.join(m.filter("n > 1").select("node"), "node")
-    inside = plural.withColumnRenamed("id", "x").join(plural.withColumnRenamed("id", "y"), "node").filter("x < y").select("x", "y")
+    inside = meet(members.select("node", "id"), ["node"], "id").select(F.col("a").alias("x"), F.col("b").alias("y"))
     across = (
         links.select("a", "b")
         .join(members.select(F.col("node").alias("a"), F.col("id").alias("x")), "a")

@@ -56,7 +56,8 @@ def repeated_lines(records: DataFrame, source: str, least: int = 6, min_words: i
     """source, id, line_no, documents: each place of a line that stands in `least` or more documents of one source."""
     lines = written(source_lines(records, source, min_words), "lines")
     counted, held = frequent_lines(lines, least)
-    return held.join(counted, ["source", "key"]).select("source", "id", "line_no", "documents").distinct()
+    counted = written(counted, "counted")
+    return held.join(broadcast_if_small(counted, rows_of(counted)), ["source", "key"]).select("source", "id", "line_no", "documents").distinct()
 
 
 def found_repeated_lines(articles: DataFrame) -> DataFrame:

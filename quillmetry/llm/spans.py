@@ -10,7 +10,8 @@
    and the interval widened to 200 characters again. These matching statistics, cut off at 200, give for each window of
    200 characters the interval of all its occurrences. An interval with occurrences of two texts is above the threshold:
    its windows are shared, and its members are linked. Only intervals that no common character extends to the left are
-   reported, since the extended one holds the same members. No pair of regions is ever compared.
+   reported, since the extended one holds the same members. No pair of regions is ever compared;
+   only p10_found, whose result is pairs, pairs the members in the end.
 
 Equal texts, and equal regions, are one until the end: copies never meet pairwise. An anchor with more than `crowd`
 different regions would be too much for one index: its windows of 200 characters meet under 128 bits of hashes in place
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from quillmetry.llm import textkit as tk
 from quillmetry.llm.fmindex import FmIndex
+from quillmetry.llm.pairs import meet
 from quillmetry.runtime import broadcast_if_small, rows_of, written
 
 LEAST = 200
@@ -192,11 +194,8 @@ def _crowded(met: DataFrame, least: int) -> DataFrame:
 def found_spans(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_a < doc_b of all pairs of documents with at least 200 characters in common."""
     members, cells, _ = shared_spans(documents, crowd=crowd)
-    plural = cells.groupBy("c1", "c2").agg(F.min("t").alias("x"), F.max("t").alias("y")).filter("x < y").select("c1", "c2")
-    held = written(cells.join(plural, ["c1", "c2"]), "held")
-    pairs = held.withColumnRenamed("t", "ta").join(held.withColumnRenamed("t", "tb"), ["c1", "c2"]).filter("ta < tb").select("ta", "tb").distinct()
-    many = members.join(members.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1").select("t"), "t")
-    inside = many.withColumnRenamed("doc_id", "x").join(many.withColumnRenamed("doc_id", "y"), "t").filter("x < y").select("x", "y")
+    pairs = meet(written(cells, "cells"), ["c1", "c2"], "t").select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+    inside = meet(members, ["t"], "doc_id").select(F.col("a").alias("x"), F.col("b").alias("y"))
     across = pairs.join(members.select(F.col("t").alias("ta"), F.col("doc_id").alias("x")), "ta").join(members.select(F.col("t").alias("tb"), F.col("doc_id").alias("y")), "tb").filter("x != y").select("x", "y")
     return inside.unionAll(across).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 

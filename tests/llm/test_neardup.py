@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quillmetry.llm import neardup as nd
+from quillmetry.llm import pairs
 from quillmetry.operators import fingerprints as fp
 
 
@@ -74,3 +75,11 @@ def test_signature_ignores_order_and_repeats():
     a = nd.super_minhash(el, np.zeros(len(el), int), 1, 192)
     twice = np.concatenate([el[::-1], el])
     assert (a == nd.super_minhash(twice, np.zeros(len(twice), int), 1, 192)).all()
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_hot_keys_are_split_without_loss(spark, block):
+    rows = [(k, v) for k, n in (("hot", 40), ("b", 5), ("c", 1)) for v in range(n)] + [(None, 1), (None, 2), ("b", 3), ("d", 2)]
+    got = sorted((r.a, r.b) for r in pairs.meet(spark.createDataFrame(rows, "k string, v int"), ["k"], "v", block).collect())
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    assert pairs.meet(spark.createDataFrame([], "k string, v int"), ["k"], "v", block).count() == 0
