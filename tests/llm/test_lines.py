@@ -20,7 +20,7 @@ def test_residue(spark, text):
     assert residue.found_residue(spark.createDataFrame([("a", f"{text}")], "id string, clean_text string")).count() == 1
 
 
-@pytest.mark.parametrize("text", [None, "", "  ", STORY, STORY + " The page returned a 404 error for 6 days, she said.", 'I saw the words access denied and a request to enable JavaScript," she recalled.', "The lorem ipsum on slide 9 was a joke.", "We [the board] never saw it [sic] before.", "Use `{{ name }}` in the template.", "```\n{{ name }} ${x}\n```\nThat is the syntax.", "The brochure still held placeholder text.", "Prices rose 5 % and 7 % {unlike before}.", "Use template variables like {{ name }} or {{ title }} in templates. The syntax of a placeholder: {{ other }}."])
+@pytest.mark.parametrize("text", [None, "", "  ", STORY, STORY + " The page returned a 404 error for 6 days, she said.", 'I saw the words access denied and a request to enable JavaScript," she recalled.', "The lorem ipsum on slide 9 was a joke.", "We [the board] never saw it [sic] before.", "Use `{{ name }}` in the template.", "```\n{{ name }} ${x}\n```\nThat is the syntax.", "The brochure still held placeholder text.", "Prices rose 5 % and 7 % {unlike before}.", "Use template variables like {{ name }} or {{ title }} in templates. The placeholder syntax is {{ other }}."])
 def test_no_residue(spark, text):
     assert residue.found_residue(spark.createDataFrame([("a", text)], "id string, clean_text string")).count() == 0
 
