@@ -9,40 +9,56 @@ from pyspark.sql import functions as F
 
 from quillmetry.operators import documents as docs
 from quillmetry.plans.catalog import query
-from quillmetry.plans.dialect import both
+from quillmetry.plans.dialect import both, spelled
 from quillmetry.plans.dialect import rounded as R
 from quillmetry.plans.text_queries import LETTERS, cosine, vec
 from quillmetry.sources.tables import table
 
 
-@both("trailing_peers", "documents")
-def _(d):
-    """Earlier documents of the same source within 90 days: an equality on the source with a residual range."""
-    x = f"(select doc_id, source, cast({d.ntz('published_at')} as date) as day from {d.t('documents')} where published_at is not null and source is not null)"
-    return f"select a.doc_id, count(*) as peers, min(b.doc_id) as first_peer from {x} a join {x} b on a.source = b.source and b.day < a.day and {d.days('a.day', 'b.day')} <= 90 group by 1"
-
-
-@both("self_similarity", "documents")
-def _(d):
-    """Mean TF-IDF cosine of a document to its peers of the last 30 days, from five peers on; weights are of the source."""
-    return f"""with w as (select doc_id, source, cast({d.ntz('published_at')} as date) as day, {d.all('lower(text)', LETTERS)} as w from {d.t('documents')} where published_at is not null and source is not null and text is not null),
- t as (select doc_id, source, day, {d.explode}(w) as term from w),
- f as (select doc_id, source, day, term, count(*) as tf from t group by 1, 2, 3, 4),
- n as (select source, cast(count(distinct doc_id) as double) as n from f group by 1),
- g as (select source, term, cast(count(*) as double) as df from f group by 1, 2),
- i as (select f.doc_id, f.source, f.day, f.term, f.tf * (ln((1 + n.n) / (1 + g.df)) + 1) as x from f join n on f.source = n.source join g on f.source = g.source and f.term = g.term),
- l as (select doc_id, sqrt(sum(x * x)) as len from i group by 1),
- u as (select i.doc_id, i.source, i.day, i.term, i.x / l.len as x from i join l on i.doc_id = l.doc_id),
- p as (select a.doc_id as a, b.doc_id as b from (select distinct doc_id, source, day from u) a join (select distinct doc_id, source, day from u) b on a.source = b.source and b.day < a.day and {d.days('a.day', 'b.day')} <= 30),
- s as (select p.a, p.b, sum(x.x * y.x) as sim from p join u x on x.doc_id = p.a join u y on y.doc_id = p.b and y.term = x.term group by 1, 2)
- select p.a as doc_id, count(*) as peers, {R('case when count(*) >= 5 then avg(coalesce(s.sim, 0)) end')} as similarity from p left join s on p.a = s.a and p.b = s.b group by 1"""
+@spelled("trailing_peers", "select a.doc_id, count(*) as peers, min(b.doc_id) as first_peer from documents a join documents b on a.source = b.source and cast(b.published_at as date) < cast(a.published_at as date) and cast(a.published_at as date) - cast(b.published_at as date) <= 90 group by 1", "documents")
+def _():
+    """Earlier documents of the same source within 90 days, by a range frame: no pair of documents is formed."""
+    frame = "over (partition by source order by day range between 90 preceding and 1 preceding)"
+    return f"select * from (select doc_id, count(*) {frame} as peers, min(doc_id) {frame} as first_peer from (select doc_id, source, unix_date(cast(cast(published_at as timestamp_ntz) as date)) as day from {{documents}} where published_at is not null and source is not null) x) y where peers > 0"
+
+
+SELF_SIMILARITY_SQL = r"""
+with d as (select doc_id, source, cast(published_at as date) as day, regexp_extract_all(lower(text), '[\pL]+') as w from documents where published_at is not null and source is not null and text is not null),
+f as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d) group by all),
+p as (select a.doc_id as a, b.doc_id as m from d a join d b on a.source = b.source and (a.doc_id = b.doc_id or (b.day < a.day and a.day - b.day <= 30))),
+c as (select a, count(*) - 1 as peers from p group by all),
+g as (select p.a, f.term, count(*) as df from p join f on p.m = f.doc_id group by all),
+x as (select p.a, p.m, f.term, f.tf * (ln((1 + c.peers + 1) / (1.0 + g.df)) + 1) as x from p join c on p.a = c.a and c.peers >= 5 join f on p.m = f.doc_id join g on g.a = p.a and g.term = f.term),
+l as (select a, m, sqrt(sum(x * x)) as len from x group by all),
+s as (select u.a, v.m, sum(u.x * v.x) as dot from x u join x v on u.a = v.a and u.term = v.term and u.m = u.a and v.m <> v.a group by all),
+r as (select p.a, avg(coalesce(s.dot / (lu.len * lv.len), 0)) as similarity from p join c on c.a = p.a and c.peers >= 5 left join s on s.a = p.a and s.m = p.m left join l lu on lu.a = p.a and lu.m = p.a left join l lv on lv.a = p.a and lv.m = p.m where p.m <> p.a group by all)
+select c.a as doc_id, c.peers, r.similarity from c left join r on c.a = r.a where c.peers > 0"""
+
+
+@spelled("self_similarity", SELF_SIMILARITY_SQL, "documents")
+def _():
+    """Mean TF-IDF cosine of a document to its peers of the last 30 days, from five peers on; every document has its own
+    weights, fitted on itself and its peers."""
+    return r"""
+with d as (select doc_id, source, unix_date(cast(cast(published_at as timestamp_ntz) as date)) as day, regexp_extract_all(lower(text), r'[\pL]+', 0) as w from {documents} where published_at is not null and source is not null and text is not null),
+f as (select doc_id, term, count(*) as tf from (select doc_id, explode(w) as term from d) group by 1, 2),
+blocks as (select doc_id, source, day, explode(array(floor(day / 30), floor(day / 30) + 1)) as block from d),
+q as (select a.doc_id as a, b.doc_id as m from (select *, floor(day / 30) as block from d) a join blocks b on a.source = b.source and a.block = b.block and b.day < a.day and a.day - b.day <= 30),
+c as (select a, count(*) as peers from q group by 1),
+p as (select q.a, q.m, c.peers from q join c on q.a = c.a where c.peers >= 5 union all select a, a, peers from c where peers >= 5),
+t as (select p.a, p.m, p.peers, f.term, f.tf from p join f on p.m = f.doc_id),
+x as (select a, m, term, tf * (ln((2 + peers) / (1D + count(*) over (partition by a, term))) + 1) as x from t),
+l as (select a, m, sqrt(sum(x * x)) as len from x group by 1, 2),
+s as (select a, m, sum(x * own) as dot from (select a, m, x, max(case when m = a then x end) over (partition by a, term) as own from x) y where m <> a group by 1, 2),
+n as (select s.a, s.m, s.dot / (lu.len * lv.len) as sim from s join l lu on lu.a = s.a and lu.m = s.a join l lv on lv.a = s.a and lv.m = s.m)
+select c.a as doc_id, c.peers, case when c.peers >= 5 then coalesce(z.total, 0D) / c.peers end as similarity from c left join (select a, sum(coalesce(sim, 0)) as total from n group by 1) z on c.a = z.a"""
 
 
 @both("bigram_perplexity", "documents")
 def _(d):
     """Perplexity of each document under add-one bigrams of the whole corpus, in place of a neural model."""
     pair = d.map(d.seq("1", f"{d.size}(w) - 1"), "i", d.struct(a=d.at("w", "i"), b=d.at("w", "i + 1")))
-    return f"with w as (select doc_id, {d.all('lower(text)', LETTERS)} as w from {d.t('documents')} where text is not null), e as (select doc_id, {d.explode}({pair}) as p from w), b as (select doc_id, p.a as a, p.b as b, count(*) as c from e group by 1, 2, 3), c2 as (select a, b, cast(sum(c) as double) as n from b group by 1, 2), c1 as (select a, sum(n) as n from c2 group by 1), v as (select cast(count(distinct b) as double) as v from c2), s as (select b.doc_id, sum(b.c * ln((c2.n + 1) / (c1.n + v.v))) as ll, cast(sum(b.c) as double) as n from b join c2 on b.a = c2.a and b.b = c2.b join c1 on b.a = c1.a cross join v group by 1) select doc_id, round(exp(-ll / n) + 1e-9, 4) as perplexity from s"
+    return f"with w as (select doc_id, {d.all('lower(text)', LETTERS)} as w from {d.t('documents')} where text is not null), e as (select doc_id, {d.explode}({pair}) as p from w), b as (select doc_id, p.a as a, p.b as b, count(*) as c from e group by 1, 2, 3), c2 as (select a, b, cast(sum(c) as double) as n from b group by 1, 2), c1 as (select a, sum(n) as n from c2 group by 1), v as (select cast(count(distinct b) as double) as v from c2), s as (select b.doc_id, sum(b.c * ln((c2.n + 1) / (c1.n + v.v))) as ll, cast(sum(b.c) as double) as n from b join c2 on b.a = c2.a and b.b = c2.b join c1 on b.a = c1.a cross join v group by 1) select doc_id, exp(-ll / n) as perplexity from s"
 
 
 @both("drift_summary", "embeddings")

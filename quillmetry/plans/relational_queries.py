@@ -6,8 +6,11 @@ events are a dense series per user; customer, nation and region are the dimensio
 
 from __future__ import annotations
 
-from quillmetry.plans.dialect import both
+from quillmetry.operators import ranks
+from quillmetry.plans.catalog import query
+from quillmetry.plans.dialect import both, spelled
 from quillmetry.plans.dialect import rounded as R
+from quillmetry.sources.tables import table
 
 ORD = "partition by o_custkey order by o_orderdate, o_orderkey"
 EV = "partition by user_id order by ts, event_id"
@@ -177,11 +180,25 @@ def _(d):
     return f"with w as (select o_custkey as k, min(cast(o_orderdate as date)) as lo, {d.plus('min(cast(o_orderdate as date))', 90)} as hi from {o} group by 1), m as (select distinct o_custkey as k, cast({d.month('o_orderdate')} as date) as first_day from {o}) select w.k, count(*) as months from w join m on w.k = m.k and m.first_day <= w.hi and cast({d.plus('m.first_day', 27)} as date) >= w.lo group by 1"
 
 
-@both("signal_attribution", "orders", "customer")
-def _(d):
-    """Share of control entities with an overlapping window, taken from 1, averaged over the target's windows."""
-    w = f"select o.o_custkey as k, o.o_orderkey as wid, c.c_mktsegment as seg, o.o_orderdate as lo, {d.plus('o.o_orderdate', 5)} as hi from {d.t('orders')} o join {d.t('customer')} c on o.o_custkey = c.c_custkey where o.o_orderpriority = '1-URGENT'"
-    return f"with w as ({w}), n as (select count(distinct k) as n from w where seg = 'BUILDING'), t as (select t.k, t.wid, count(distinct b.k) as hits from (select * from w where seg = 'MACHINERY') t left join (select * from w where seg = 'BUILDING') b on {d.month('b.lo')} = {d.month('t.lo')} and b.lo <= t.hi and t.lo <= b.hi group by 1, 2) select t.k, {R('avg(1 - t.hits / cast(n.n as double))')} as signal from t cross join n group by 1"
+ATTRIBUTION_SQL = """
+with w as (select o.o_custkey as k, o.o_orderkey as wid, c.c_mktsegment as seg, o.o_orderdate as lo, o.o_orderdate + interval 5 day as hi from orders o join customer c on o.o_custkey = c.c_custkey where o.o_orderpriority = '1-URGENT'),
+n as (select count(distinct k) as n from w where seg = 'BUILDING'),
+t as (select t.k, t.wid, count(distinct b.k) as hits from w t left join w b on b.seg = 'BUILDING' and b.lo <= t.hi and t.lo <= b.hi where t.seg = 'MACHINERY' group by 1, 2)
+select t.k, case when any_value(n.n) = 0 then 1.0 else avg(1 - t.hits / cast(n.n as double)) end as signal from t cross join n group by 1"""
+
+
+@spelled("signal_attribution", ATTRIBUTION_SQL, "orders", "customer")
+def _():
+    """Share of control entities with an overlapping window, taken from 1, averaged over the target's windows.
+
+    Windows meet in blocks of their own width of days: two that overlap have a block in common.
+    """
+    return """
+with w as (select o.o_custkey as k, o.o_orderkey as wid, c.c_mktsegment as seg, o.o_orderdate as lo, o.o_orderdate + interval '5' day as hi from {orders} o join {customer} c on o.o_custkey = c.c_custkey where o.o_orderpriority = '1-URGENT'),
+x as (select *, explode(sequence(floor(unix_date(cast(lo as date)) / 5), floor(unix_date(cast(hi as date)) / 5))) as block from w),
+n as (select count(distinct k) as n from w where seg = 'BUILDING'),
+h as (select t.k, t.wid, count(distinct b.k) as hits from x t join x b on t.block = b.block and t.seg = 'MACHINERY' and b.seg = 'BUILDING' and b.lo <= t.hi and t.lo <= b.hi group by 1, 2)
+select w.k, case when any_value(n.n) = 0 then 1D else avg(1 - coalesce(h.hits, 0) / cast(n.n as double)) end as signal from w left join h on w.k = h.k and w.wid = h.wid cross join n where w.seg = 'MACHINERY' group by 1"""
 
 
 @both("bisect_index", "events")
@@ -254,83 +271,21 @@ def _(d):
     return f"with x as (select o_custkey, o_orderpriority as family, o_orderkey, o_totalprice, row_number() over (partition by o_custkey, o_orderpriority order by o_totalprice desc, o_orderkey) as r from {d.t('orders')}) select o_custkey, family, o_orderkey, o_totalprice from x where r = 1"
 
 
-@both("era_counts", "articles")
-def _(d):
-    """Counts per named era and the dominant one, ties to the earliest."""
-    y = d.group("coalesce(url, '')", r"-([0-9]+)/$", 1)
-    return f"with x as (select distinct id, cast(coalesce(nullif({y}, ''), '0') as bigint) as v from {d.t('articles')}), b as (select case when v < 200 then 'a_first' when v < 600 then 'b_second' when v < 900 then 'c_third' else 'd_last' end as era from x) select era, count(*) as n, rank() over (order by count(*) desc, era) = 1 as dominant from b group by era"
-
-
-@both("corpus_hash", "articles")
-def _(d):
-    """Digest of all content hashes in order; missing ones are left out."""
-    joined = d.join(d.gather("content_hash", "content_hash"), "|")
-    return f"select substr({d.sha(joined)}, 1, 12) as digest from (select distinct id, content_hash from {d.t('articles')} where coalesce(content_hash, '') <> '' and not is_duplicate) x"
-
-
-@both("error_kinds_top50", "articles")
-def _(d):
-    key = d.sub("substr(coalesce(clean_text, ''), 1, 200)", "[0-9a-f]" * 6 + "+", "#")
-    return f"select kind, count(*) as n from (select distinct id, {key} as kind from {d.t('articles')} where coalesce(word_count, 0) < 12) x group by kind order by n desc, kind limit 50"
-
-
-@both("confusion_metrics", "articles")
-def _(d):
-    """Rates of a flag against a rule, 0 where a denominator is 0."""
-    r = lambda a, b: R(f"coalesce({d.div(a, b)}, 0)")
-    return f"with x as (select distinct id, is_duplicate as p, word_count < 250 as t from {d.t('articles')}), c as (select cast(count(case when p and t then 1 end) as double) as tp, cast(count(case when not p and t then 1 end) as double) as fn, cast(count(case when p and not t then 1 end) as double) as fp, cast(count(case when not p and not t then 1 end) as double) as tn from x) select {r('tp', 'tp + fn')} as sensitivity, {r('tn', 'tn + fp')} as specificity, {r('tp', 'tp + fp')} as precision_, {r('2 * tp', '2 * tp + fp + fn')} as f1 from c"
-
-
-@both("class_separation", "events")
-def _(d):
-    return f"select {R('m1')} as human, {R('m2')} as machine, {R('m2 - m1')} as gap, m2 - m1 >= 0.05 as separated from (select avg(case when event_type = 'click' then value end) as m1, avg(case when event_type = 'error' then value end) as m2 from {d.t('events')}) x"
-
-
-@both("cohort_summary", "customer")
-def _(d):
-    return f"select c_mktsegment, count(*) as n, round(avg(c_acctbal) + 1e-9, 4) as mean, max(c_acctbal) as top from {d.t('customer')} group by 1"
-
-
-@both("changes_per_month", "orders")
-def _(d):
-    return f"select {d.month('o_orderdate')} as month, count(*) as n from {d.t('orders')} where o_totalprice > 200000 group by 1"
-
-
-@both("zero_filled_categories", "orders")
-def _(d):
-    """Counts over a fixed list of categories."""
-    cats = " union all ".join(f"select '{c}' as p" for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"))
-    return f"select c.p as category, count(o.o_orderkey) as n from ({cats}) c left join {d.t('orders')} o on o.o_orderpriority = c.p group by 1"
-
-
-@both("feature_correlation", "events")
-def _(d):
-    return f"select event_type, {R('corr(value, cast(hour(ts) as double))')} as r, {R('corr(value, cast(event_id as double))')} as trend from {d.t('events')} group by 1"
-
-
-@both("survey_ranking", "customer")
-def _(d):
-    """Rank by score, missing ones last, ties by name."""
-    return f"select c_custkey, row_number() over (order by coalesce(c_acctbal, -1) desc, c_name) as rank_ from {d.t('customer')}"
-
+@spelled("era_counts", "with b as (select o_custkey, o_orderdate < timestamp '1993-06-01' as a, o_orderdate >= timestamp '1993-06-01' and o_orderdate < timestamp '1995-01-01' as b, o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1997-03-01' as c, o_orderdate >= timestamp '1997-03-01' as d from orders), n as (select o_custkey, sum(a::int)::bigint as n1, sum(b::int)::bigint as n2, sum(c::int)::bigint as n3, sum(d::int)::bigint as n4 from b group by 1) select *, case greatest(n1, n2, n3, n4) when n1 then 'first' when n2 then 'second' when n3 then 'third' else 'fourth' end as dominant from n", "orders")
+def _():
+    """Each entity's dates counted in four eras, and the era that holds most of them, ties to the earliest."""
+    return """
+with e as (select o_custkey, case when o_orderdate < timestamp_ntz'1993-06-01 00:00:00' then 1 when o_orderdate < timestamp_ntz'1995-01-01 00:00:00' then 2 when o_orderdate < timestamp_ntz'1997-03-01 00:00:00' then 3 else 4 end as era from {orders}),
+c as (select o_custkey, era, count(*) as n from e group by 1, 2)
+select o_custkey, coalesce(sum(n) filter (where era = 1), 0) as n1, coalesce(sum(n) filter (where era = 2), 0) as n2, coalesce(sum(n) filter (where era = 3), 0) as n3, coalesce(sum(n) filter (where era = 4), 0) as n4, element_at(array('first', 'second', 'third', 'fourth'), max_by(era, struct(n, -era))) as dominant from c group by 1"""
 
-@both("most_prolific", "articles")
-def _(d):
-    """Author of the most articles per outlet host."""
-    host = d.group("coalesce(url, '')", r"^https?://([^/]+)/", 1)
-    return f"with c as (select {host} as host, author_id, count(distinct id) as n from {d.t('articles')} group by 1, 2), r as (select host, author_id, n, row_number() over (partition by host order by n desc, author_id) as r from c) select host, author_id, n from r where r = 1"
 
-
-@both("primary_vs_adjusted", "orders")
-def _(d):
-    """Two counts per entity and whether the second falls below half of the first."""
-    return f"select o_custkey, count(*) as primary_, count(case when o_orderstatus = 'F' then 1 end) as adjusted, count(case when o_orderstatus = 'F' then 1 end) < count(*) / 2.0 as downgrade from {d.t('orders')} group by 1"
-
-
-@both("adjusted_or_raw", "orders")
-def _(d):
-    """Adjusted rows of an entity, or its raw ones where it has no adjusted row."""
-    return f"with x as (select o_custkey, o_orderkey, o_orderstatus = 'P' as adjusted, max(case when o_orderstatus = 'P' then 1 else 0 end) over (partition by o_custkey) as any_ from {d.t('orders')}) select o_custkey, o_orderkey from x where (any_ = 1 and adjusted) or (any_ = 0 and not adjusted)"
+@query("corpus_hash", "select substr(sha256(string_agg(content_hash, '|' order by content_hash)), 1, 12) as digest from (select distinct id, content_hash from articles where coalesce(content_hash, '') <> '' and not is_duplicate) x")
+def corpus_hash(spark, sf_dir):
+    """Digest of all content hashes in order; missing ones are left out. A digest has one order: the hashes are sorted by
+    ranges in parallel and then read once as a stream, never gathered."""
+    rows = table(spark, sf_dir, "articles", ["id", "content_hash", "is_duplicate"]).filter("coalesce(content_hash, '') <> '' and not is_duplicate")
+    return ranks.ordered_digest(rows.select("id", "content_hash").distinct(), "content_hash")
 
 
 # ---- windows ----
@@ -343,17 +298,36 @@ def _(d):
     return f"select event_id, {R(mean)} as mean, {R(std)} as std, {R(f'{mean} - 1.96 * {std}')} as lo, {R(f'{mean} + 1.96 * {std}')} as hi from {d.t('events')}"
 
 
-@both("section_residualized", "events")
-def _(d):
-    """Values less their section's mean plus the entity's, where at least two sections have ten rows."""
-    return f"with x as (select event_id, user_id, value, count(*) over (partition by user_id, event_type) as n, avg(value) over (partition by user_id, event_type) as s, avg(value) over (partition by user_id) as g from {d.t('events')}), y as (select *, max(case when n >= 10 then 1 else 0 end) over (partition by user_id) as some_ from x) select event_id, {R('case when some_ = 1 and n >= 10 then value - s + g else value end')} as adjusted from y"
+RESIDUALIZED_SQL = """
+with g as (select user_id, event_type, count(*) as n, avg(value) as m from events group by all),
+e as (select user_id, count(*) as eligible from g where n >= 10 group by all),
+a as (select user_id, avg(value) as m from events group by all)
+select x.event_id, case when e.eligible >= 2 and g.n >= 10 then x.value - g.m + a.m else x.value end as adjusted
+from events x join g on g.user_id = x.user_id and g.event_type = x.event_type join a on a.user_id = x.user_id left join e on e.user_id = x.user_id"""
 
 
-@both("trailing_counts", "events")
-def _(d):
-    """Rows of the entity in the closed 7 and 30 days up to each row."""
-    w = lambda k: f"count(*) over (partition by user_id order by ts range between interval {k} days preceding and current row)"
-    return f"select event_id, {w(7)} as last_7, {w(30)} as last_30 from {d.t('events')}"
+@spelled("section_residualized", RESIDUALIZED_SQL, "events")
+def _():
+    """Values less their section's mean plus the entity's, in sections of ten rows, where at least two sections have them."""
+    return """
+with x as (select event_id, user_id, event_type, value, count(*) over (partition by user_id, event_type) as n, avg(value) over (partition by user_id, event_type) as s, avg(value) over (partition by user_id) as g from {events}),
+y as (select *, size(collect_set(case when n >= 10 then event_type end) over (partition by user_id)) as eligible from x)
+select event_id, case when eligible >= 2 and n >= 10 then value - s + g else value end as adjusted from y"""
+
+
+TRAILING_SQL = """
+with l as (select l_suppkey as k, l_orderkey as o, l_linenumber as i, l_partkey as p, l_extendedprice as x, cast(l_shipdate as date) as d from lineitem)
+select a.o as l_orderkey, a.i as l_linenumber, a.p as l_partkey, a.x as l_extendedprice, count(*) filter (where a.d - b.d <= 7) as last_7, count(*) as last_30
+from l a join l b on a.k = b.k and b.d <= a.d and a.d - b.d <= 30 and (b.d < a.d or (b.o, b.i, b.p, b.x) <= (a.o, a.i, a.p, a.x)) group by all"""
+
+
+@spelled("trailing_counts", TRAILING_SQL, "lineitem")
+def _():
+    """Rows of the entity in the closed 7 and 30 days up to each row, itself included; of rows of the same day only those
+    not behind it in sequence count, which a range frame alone would take in."""
+    frame = lambda k: f"count(*) over (partition by l_suppkey order by d range between {k} preceding and current row)"
+    later = "(count(*) over (partition by l_suppkey, d) - row_number() over (partition by l_suppkey, d order by l_orderkey, l_linenumber, l_partkey, l_extendedprice))"
+    return f"select l_orderkey, l_linenumber, l_partkey, l_extendedprice, {frame(7)} - {later} as last_7, {frame(30)} - {later} as last_30 from (select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, unix_date(cast(l_shipdate as date)) as d from {{lineitem}}) x"
 
 
 @both("inter_arrival_gap", "events")
@@ -362,12 +336,13 @@ def _(d):
     return f"select event_id, {R(gap)} as days from {d.t('events')}"
 
 
-@both("adaptive_window_days", "events")
-def _(d):
-    """Six times the upper median gap, at least 14, between 30 and 180 days."""
-    gap = f"({d.micros('ts')} - lag({d.micros('ts')}) over ({EV})) / 8.64e10"
-    upper = d.at(d.gather("gap", "gap"), "floor(count(*) / 2) + 1")
-    return f"with g as (select user_id, {gap} as gap from {d.t('events')}), m as (select user_id, {upper} as mid from g where gap is not null group by 1) select user_id, cast(least(180, greatest(30, greatest(14, round(mid * 6)))) as bigint) as days from m"
+@spelled("adaptive_window_days", "with g as (select user_id, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 8.64e10 as gap from events), m as (select user_id, list_sort(list(gap))[len(list(gap)) // 2 + 1] as mid from g where gap is not null group by 1) select user_id, cast(least(180, greatest(30, greatest(14, round_even(mid * 6, 0)))) as bigint) as days from m", "events")
+def _():
+    """Six times the upper median gap, rounded half to even, at least 14, between 30 and 180 days."""
+    return """
+with g as (select user_id, (timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) - lag(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)) over (partition by user_id order by ts, event_id)) / 8.64e10 as gap from {events}),
+r as (select user_id, gap, row_number() over (partition by user_id order by gap) as i, count(*) over (partition by user_id) as n from g where gap is not null)
+select user_id, cast(least(180, greatest(30, greatest(14, bround(gap * 6, 0)))) as bigint) as days from r where i = n div 2 + 1"""
 
 
 @both("collapse_adjacent", "events")

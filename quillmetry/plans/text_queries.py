@@ -6,8 +6,13 @@ quotation mark. Features of documents use the documents table; vectors the embed
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quillmetry.operators import drift, ranks
+from quillmetry.plans.catalog import query
 from quillmetry.plans.dialect import both
 from quillmetry.plans.dialect import rounded as R
+from quillmetry.sources.tables import table
 
 #: Phrases of generated prose, of which * stands for some run of characters.
 MARKERS = ["it's important to note", "it's worth noting", "delve", "in today's * landscape", "at its core", "a testament to", "in an era of", "plays a crucial role", "it should be noted", "offers a unique", "is a game-changer"]
@@ -81,17 +86,26 @@ def _(d):
     return f"select doc_id, {R(f'({hits}) / n')} as per_sentence from (select doc_id, lower(text) as t, cast({_sentences(d)} as double) as n from {d.t('documents')} where trim(coalesce(text, '')) <> '') x"
 
 
+#: The first-person words and the phrases of formulas.
+FIRST_PERSON = ["i", "me", "my", "mine", "we", "us", "our", "ours"]
+OPENING_FORMULAS, CLOSING_FORMULAS = ["in a recent", "it remains to be seen"], ["only time will tell"]
+
+
+def _among(d, words: str, listed: list[str]) -> str:
+    """How many of the words are listed: no word boundary of a pattern, which the engines set differently beside accents."""
+    held = ", ".join(f"'{w}'" for w in listed)
+    return f"cast({d.size}({d.keep(words, 'x', f'x in ({held})')}) as bigint)"
+
+
 @both("first_person_ratio", "documents")
 def _(d):
-    hits = d.count("lower(text)", r"\b(?:i|me|my|mine|we|us|our|ours)\b")
-    n = f"{d.size}({d.all('lower(text)', LETTERS)})"
-    return f"select doc_id, {R(f'{hits} / cast({n} as double)')} as ratio from {d.t('documents')} where text is not null and {n} > 0"
+    return f"with w as (select doc_id, {d.all('lower(text)', LETTERS)} as w from {d.t('documents')} where text is not null) select doc_id, {R(f'{_among(d, chr(119), FIRST_PERSON)} / cast({d.size}(w) as double)')} as ratio from w where {d.size}(w) > 0"
 
 
 @both("formula_scores", "documents")
 def _(d):
     hit = lambda p: f"case when {d.like('lower(text)', p)} then 1.0 else 0.0 end"
-    a, b, c = hit(r"\bin a recent\b"), hit(r"\bit remains to be seen\b"), hit(r"\bonly time will tell\b")
+    (a, b), (c,) = ([hit(rf"\b{x}\b") for x in listed] for listed in (OPENING_FORMULAS, CLOSING_FORMULAS))
     return f"select doc_id, {R(f'least(1, ({a} + {b}) / 2)')} as opening, {R(c)} as closing from {d.t('documents')} where text is not null"
 
 
@@ -137,14 +151,16 @@ def _(d):
     return f"with w as (select doc_id, {w} as w, cast({_sentences(d)} as double) as s from {d.t('documents')} where trim(coalesce(text, '')) <> ''), y as (select doc_id, cast({d.size}(w) as double) as n, s, {d.total(d.map('w', 'x', 'cast(length(x) as double)'))} as chars, {d.total(d.map(syl, 'x', 'cast(x as double)'))} as syl, cast({d.size}({d.keep(syl, 'x', 'x >= 3')}) as double) as hard from w where {d.size}(w) > 0) select doc_id, {R('0.39 * n / s + 11.8 * syl / n - 15.59')} as flesch_kincaid, {R('5.88 * chars / n - 29.6 * s / n - 15.8')} as coleman_liau, {R('0.4 * (n / s + 100 * hard / n)')} as gunning_fog, {R('1.043 * sqrt(hard * 30 / s) + 3.1291')} as smog from y"
 
 
+AUXILIARIES = ["was", "were", "been", "being", "is", "are", "be"]
+CLAUSE_MARKS = ["that", "which", "who", "because", "while", "although", "when", "after", "before", "since"]
+
+
 @both("clause_proxies", "documents")
 def _(d):
-    """Conjunctions per word, sentences with a passive form, clause marks per sentence: proxies for a parser's labels."""
-    conj = d.count("lower(text)", r"\b(?:" + "|".join(CONJUNCTIONS) + r")\b")
-    passive = d.count("lower(text)", r"\b(?:was|were|been|being|is|are|be)\s+[a-z]+(?:ed|en)\b")
-    marks = d.count("lower(text)", r"\b(?:that|which|who|because|while|although|when|after|before|since)\b")
-    n = f"greatest(1, {d.size}({d.all('lower(text)', LETTERS)}))"
-    return f"select doc_id, {R(f'{conj} / cast({n} as double)')} as conjunctions, {R(f'{passive} / cast({_sentences(d)} as double)')} as passive, {R(f'{marks} / cast({_sentences(d)} as double)')} as clauses from {d.t('documents')} where trim(coalesce(text, '')) <> ''"
+    """Conjunctions per word, auxiliaries before a word in -ed or -en per sentence, clause marks per sentence: proxies for a parser's labels."""
+    held = ", ".join(f"'{w}'" for w in AUXILIARIES)
+    follows = d.keep(d.seq("1", f"{d.size}(w) - 1"), "i", f"{d.at('w', 'i')} in ({held}) and ({d.at('w', 'i + 1')} like '_%ed' or {d.at('w', 'i + 1')} like '_%en')")
+    return f"with w as (select doc_id, {d.all('lower(text)', LETTERS)} as w, cast({_sentences(d)} as double) as s from {d.t('documents')} where trim(coalesce(text, '')) <> '') select doc_id, {R(f'{_among(d, chr(119), CONJUNCTIONS)} / cast(greatest(1, {d.size}(w)) as double)')} as conjunctions, {R(f'{d.size}({follows}) / s')} as passive, {R(f'{_among(d, chr(119), CLAUSE_MARKS)} / s')} as clauses from w"
 
 
 @both("word_bigram_top30", "documents")
@@ -224,10 +240,24 @@ def _(d):
     return f"with v as ({vec(d)}), o as (select vec_id, row_number() over (partition by label order by vec_id) as r from {d.t('embeddings')}), b as (select v.label, v.pos, avg(v.v) as m from v join o on v.vec_id = o.vec_id where o.r <= 20 group by 1, 2) select v.vec_id, {R(cosine('v.v', 'b.m'))} as similarity from v join b on v.label = b.label and v.pos = b.pos group by 1"
 
 
-@both("intra_month_dispersion", "embeddings")
-def _(d):
-    """Mean distance of an entity's vectors of a month from their centroid; a single one has none."""
-    return f"with v as ({vec(d)}), c as (select label, month, pos, avg(v) as m from v group by 1, 2, 3), s as (select v.vec_id, v.label, v.month, {cosine('v.v', 'c.m')} as sim from v join c on v.label = c.label and v.month = c.month and v.pos = c.pos group by 1, 2, 3) select label, month, {R('case when count(*) < 2 then 0.0 else avg(1 - sim) end')} as dispersion from s group by 1, 2"
+DISPERSION_SQL = """
+with e as (select vec_id, label, cast(floor(vec_id / 50) as int) as month, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+p as (select 'month' as period, label, month, vec_id, v from e union all select 'all', label, cast(null as int), vec_id, v from e),
+g as (select period, label, month, count(*) as n from p group by all),
+d as (select a.period, a.label, a.month, avg(1 - list_cosine_similarity(a.v, b.v)) as d from p a join p b on a.period = b.period and a.label = b.label and a.month is not distinct from b.month and a.vec_id < b.vec_id group by all),
+c as (select period, label, month, pos, avg(x) as m from (select period, label, month, unnest(v) as x, generate_subscripts(v, 1) as pos from p) group by all),
+l as (select period, label, month, list(m order by pos) as m from c group by all),
+f as (select p.period, p.label, p.month, avg(1 - list_cosine_similarity(p.v, l.m)) as d from p join l on p.period = l.period and p.label = l.label and p.month is not distinct from l.month group by all)
+select g.period, g.label, g.month, case when g.n < 2 then 0.0 when g.n <= 20 then d.d else f.d end as dispersion
+from g left join d on g.period = d.period and g.label = d.label and g.month is not distinct from d.month
+left join f on g.period = f.period and g.label = f.label and g.month is not distinct from f.month"""
+
+
+@query("intra_month_dispersion", DISPERSION_SQL)
+def intra_month_dispersion(spark, sf_dir):
+    """Dispersion of an entity's vectors by month and over all: none under 2, mean distance of all pairs up to 20 vectors,
+    mean distance to the centroid beyond. Only groups of 20 vectors at most are ever paired."""
+    return drift.dispersion(table(spark, sf_dir, "embeddings"))
 
 
 @both("section_distance_matrix", "embeddings")
@@ -275,28 +305,37 @@ def _(d):
 PSEUDO_P = "(event_id % 997 + 1) / 1000.0"
 
 
-@both("bh_adjusted", "events")
-def _(d):
+def _tests(spark, sf_dir):
+    return table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"]).select("event_id", "user_id", F.col("event_type").alias("fam"), F.expr(f"cast({PSEUDO_P} as double)").alias("p"))
+
+
+def _bh_sql(keys: str, rows: str, part: str) -> str:
+    """The checking engine's form: smallest p n / rank of this and every later rank, found by a running minimum from the end."""
+    over = f"partition by {part} " if part else ""
+    return f"with t as ({rows}), r as (select *, row_number() over ({over}order by p, k) as rk, count(*) over ({over}) as n from t), m as (select *, min(p * n / rk) over ({over}order by rk desc rows between unbounded preceding and current row) as low from r) select {keys}, least(1.0, low) as q from m"
+
+
+@query("bh_adjusted", _bh_sql("k as event_id", f"select event_id as k, cast({PSEUDO_P} as double) as p from events", ""))
+def bh_adjusted(spark, sf_dir):
     """Benjamini-Hochberg over all tests: p n / rank, then the running minimum from the largest p, 1 at most."""
-    p = f"select event_id, event_type as fam, {PSEUDO_P} as p from {d.t('events')}"
-    return f"with t as ({p}), r as (select *, row_number() over (order by p, event_id) as rk, count(*) over () as n from t) select event_id, {R('least(1, min(p * n / rk) over (order by rk rows between current row and unbounded following))')} as q from r"
+    return ranks.benjamini_hochberg(_tests(spark, sf_dir).select("event_id", "p"), "p", "event_id").select("event_id", "q")
 
 
-@both("bh_grouped", "events")
-def _(d):
-    p = f"select event_id, event_type as fam, {PSEUDO_P} as p from {d.t('events')}"
-    return f"with t as ({p}), r as (select *, row_number() over (partition by fam order by p, event_id) as rk, count(*) over (partition by fam) as n from t) select event_id, fam, {R('least(1, min(p * n / rk) over (partition by fam order by rk rows between current row and unbounded following))')} as q from r"
+@query("bh_grouped", _bh_sql("k as event_id, fam", f"select event_id as k, event_type as fam, cast({PSEUDO_P} as double) as p from events", "fam"))
+def bh_grouped(spark, sf_dir):
+    return ranks.benjamini_hochberg(_tests(spark, sf_dir).select("event_id", "fam", "p"), "p", "event_id", ["fam"]).select("event_id", "fam", "q")
 
 
-@both("bonferroni", "events")
-def _(d):
-    return f"select event_id, {R(f'least(1, {PSEUDO_P} * count(*) over ())')} as q from {d.t('events')}"
+@query("bonferroni", f"select event_id, least(1.0, cast({PSEUDO_P} as double) * (select count(*) from events)) as q from events")
+def bonferroni(spark, sf_dir):
+    return ranks.bonferroni(_tests(spark, sf_dir).select("event_id", "p"), "p").select("event_id", "q")
 
 
-@both("cross_entity_bh", "events")
-def _(d):
+@query("cross_entity_bh", _bh_sql("k as user_id, fam", f"select user_id as k, event_type as fam, min(cast({PSEUDO_P} as double)) as p from events group by 1, 2", "fam"))
+def cross_entity_bh(spark, sf_dir):
     """Each entity's smallest p per family, corrected over the entities of the family."""
-    return f"with m as (select user_id, event_type as fam, min({PSEUDO_P}) as p from {d.t('events')} group by 1, 2), r as (select *, row_number() over (partition by fam order by p, user_id) as rk, count(*) over (partition by fam) as n from m) select user_id, fam, {R('least(1, min(p * n / rk) over (partition by fam order by rk rows between current row and unbounded following))')} as q from r"
+    least = _tests(spark, sf_dir).groupBy("user_id", "fam").agg(F.min("p").alias("p"))
+    return ranks.benjamini_hochberg(least, "p", "user_id", ["fam"]).select("user_id", "fam", "q")
 
 
 @both("section_contrast_t", "events")
@@ -308,10 +347,12 @@ def _(d):
 @both("target_vs_controls", "orders", "customer")
 def _(d):
     """Each segment against all the others pooled: means and Welch's t, with three rows or more on both sides."""
-    return f"with x as (select c.c_mktsegment as s, o.o_totalprice as v from {d.t('orders')} o join {d.t('customer')} c on o.o_custkey = c.c_custkey), a as (select s, cast(count(*) as double) as n, sum(v) as t1, sum(v * v) as t2 from x group by 1), t as (select sum(n) as n, sum(t1) as t1, sum(t2) as t2 from a), b as (select a.s, a.n, a.t1 / a.n as m, (a.t2 - a.t1 * a.t1 / a.n) / (a.n - 1) as v, t.n - a.n as n2, (t.t1 - a.t1) / (t.n - a.n) as m2, ((t.t2 - a.t2) - power(t.t1 - a.t1, 2) / (t.n - a.n)) / (t.n - a.n - 1) as v2 from a cross join t) select s, round(m + 1e-9, 3) as mean, round(m2 + 1e-9, 3) as pooled, round((m - m2) / sqrt(v / n + v2 / n2) + 1e-9, 4) as t from b where n >= 3 and n2 >= 3"
+    return f"with x as (select c.c_mktsegment as s, o.o_totalprice as v from {d.t('orders')} o join {d.t('customer')} c on o.o_custkey = c.c_custkey), a as (select s, cast(count(*) as double) as n, sum(v) as t1, sum(v * v) as t2 from x group by 1), t as (select sum(n) as n, sum(t1) as t1, sum(t2) as t2 from a), b as (select a.s, a.n, a.t1 / a.n as m, (a.t2 - a.t1 * a.t1 / a.n) / (a.n - 1) as v, t.n - a.n as n2, (t.t1 - a.t1) / (t.n - a.n) as m2, ((t.t2 - a.t2) - power(t.t1 - a.t1, 2) / (t.n - a.n)) / (t.n - a.n - 1) as v2 from a cross join t) select s, cast(m as double) as mean, cast(m2 as double) as pooled, cast((m - m2) / sqrt(v / n + v2 / n2) as double) as t from b where n >= 3 and n2 >= 3"
 
 
-@both("permutation_p", "events")
-def _(d):
-    """Empirical p of one entity's mean among those of the others."""
-    return f"with m as (select user_id, avg(value) as v from {d.t('events')} group by 1) select a.user_id, {R('(sum(case when b.v >= a.v then 1 else 0 end) + 1) / cast(count(*) + 1 as double)')} as p from m a join m b on a.user_id <> b.user_id group by 1"
+@query("permutation_p", "with m as (select user_id, avg(value) as v from events group by 1) select a.user_id, (sum(case when b.user_id <> a.user_id and b.v >= a.v then 1 else 0 end) + 1) / cast(count(*) as double) as p from m a cross join m b group by 1")
+def permutation_p(spark, sf_dir):
+    """Empirical p of one entity's mean among those of the others: the others at least as large, and itself, of all."""
+    means = table(spark, sf_dir, "events", ["user_id", "value"]).groupBy("user_id").agg(F.avg("value").alias("v"))
+    return ranks.share_at_least(means, "v").select("user_id", "p")
+
