@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import glob
 import math
 import os
@@ -34,6 +35,8 @@ def plain(x):
         return None if math.isnan(x) else float(x)
     if isinstance(x, np.ndarray | list):
         return tuple(plain(i) for i in x)
+    if type(x) is datetime.date:
+        x = pd.Timestamp(x)
     return x.item() if isinstance(x, np.generic) else str(x) if isinstance(x, pd.Timestamp) else x
 
 
