@@ -198,17 +198,18 @@ def split_tests(s: DataFrame, at: Callable[[np.ndarray], int], least: int = 10,
     return per_series(s, f, TESTS)
 
 
-def cluster_permutation(s: DataFrame, threshold: float, window: int = 10, n: int = 200, seed: int = 42) -> DataFrame:
-    """How dense a series' alarms stand, against as many places drawn at random: density, null's mean, p."""
+def cluster_permutation(s: DataFrame, threshold: float, n: int = 1000, seed: int = 42) -> DataFrame:
+    """How dense a series' alarms stand in a tenth of it, against as many places drawn at random: density, null's mean, p."""
 
-    def density(idx: np.ndarray) -> int:
+    def density(idx: np.ndarray, window: int) -> int:
         return int((np.searchsorted(idx, idx + window, "left") - np.arange(len(idx))).max()) if len(idx) else 0
 
     def f(x: np.ndarray) -> list[tuple]:
         alarms = np.flatnonzero(x > threshold)
         rng = np.random.default_rng(seed)
-        null = np.array([density(np.sort(rng.choice(len(x), len(alarms), replace=False))) for _ in range(n)])
-        seen = density(alarms)
+        window = max(1, len(x) // 10)
+        null = np.array([density(np.sort(rng.choice(len(x), len(alarms), replace=False)), window) for _ in range(n)])
+        seen = density(alarms, window)
         return [(seen, float(null.mean()), float(((null >= seen).sum() + 1) / (n + 1)))]
 
     return per_series(s, f, "entity bigint, density int, null_mean double, p double")
@@ -223,3 +224,17 @@ def decompose(x: np.ndarray, period: int = 30) -> list[tuple]:
     place = np.arange(n) % p
     seasonal = (np.bincount(place, weights=x - trend) / np.bincount(place))[place]
     return [(i + 1, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(trend, seasonal, x - trend - seasonal))]
+
+
+def null_breaks(entities: DataFrame, length: int = 500, penalty: float = 5.0, seed: int = 42) -> DataFrame:
+    """entities: entity. Breaks that PELT finds in one series of normal values per entity, drawn from a seed of its own."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for e in b["entity"]:
+                x = np.random.default_rng([seed, int(e)]).normal(size=length)
+                out.append(len(pelt(x, penalty * float(x.std()))))
+            yield pd.DataFrame({"entity": b["entity"], "breaks": out})
+
+    return entities.select("entity").mapInPandas(run, "entity bigint, breaks int")

@@ -1,7 +1,8 @@
 """Bit fingerprints of texts, banded near-duplicate candidates and connected groups.
 
 A fingerprint has 128 bits in four bands of 32: per bit the sign of the votes of all character 3- and 4-grams, hashed
-with xxh128. Texts within three differing bits share a band whole, so equality of a band finds all of them.
+with xxh128. Texts within `most` differing bits agree wholly on one of most + 1 pieces of the 128 bits, so equality of a
+piece finds all of them, whatever the distance asked for.
 """
 
 from __future__ import annotations
@@ -10,44 +11,131 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmetry.operators.pairs import meet
 from quillmetry.runtime import written
 
+#: Characters whose grams are in memory at a time.
+CHUNK = 100_000
+
+
+def _normal(text: str | None) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text or "").split())
+
+
+def _grams(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of all 3- and 4-grams of the texts as bytes, each distinct gram hashed once, and the text of each gram.
+
+    A text without grams is one gram itself, an empty one a NUL.
+    """
+    sizes = np.fromiter((len(v) for v in values), np.int64, len(values))
+    cp = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, code = np.unique(cp, return_inverse=True)
+    text_of = np.repeat(np.arange(len(values)), sizes)
+    digests, owners = [], []
+    for n in (3, 4):
+        last = len(cp) - n + 1
+        if last <= 0:
+            continue
+        inside = np.flatnonzero(text_of[:last] == text_of[n - 1 :])
+        key = np.zeros(last, np.uint64)
+        for k in range(n):
+            key = key * np.uint64(len(letters) + 1) + code[k : k + last].astype(np.uint64)
+        _, first, which = np.unique(key[inside], return_index=True, return_inverse=True)
+        at = inside[first]
+        raw = [xxhash.xxh128_digest(cp[i : i + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) for i in at.tolist()]
+        digests.append(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 16)[which])
+        owners.append(text_of[inside])
+    short = np.flatnonzero(sizes < 3)
+    if len(short):
+        raw = [xxhash.xxh128_digest((values[i] or "\x00").encode("utf-8", "surrogatepass")) for i in short.tolist()]
+        digests.append(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 16))
+        owners.append(short)
+    return np.concatenate(digests), np.concatenate(owners)
+
+
+def simhash_bands_of(texts: list[str | None]) -> np.ndarray:
+    """Four bands of each text, lowest first. A bit without a majority is 0. More than 65,535 letters don't meet in a chunk."""
+    values = [_normal(t) for t in texts]
+    if not values:
+        return np.zeros((0, 4), np.uint64)
+    digests, owner = _grams(values)
+    order = np.argsort(owner, kind="stable")
+    bits = np.unpackbits(digests[order], axis=1)
+    counts = np.bincount(owner, minlength=len(values))
+    votes = 2 * np.add.reduceat(bits, np.r_[0, np.cumsum(counts)[:-1]], axis=0, dtype=np.int64) - counts[:, None]
+    weights = np.uint64(1) << np.arange(32, dtype=np.uint64)
+    return ((votes > 0).reshape(-1, 4, 32) * weights).sum(2, dtype=np.uint64)
+
 
 def simhash_bands(text: str) -> list[int]:
-    """Four bands, lowest first. Short texts hash as a whole, empty ones as a NUL. A bit without a majority is 0."""
-    t = " ".join(unicodedata.normalize("NFKC", text or "").split())
-    grams = [t[i : i + n] for n in (3, 4) for i in range(len(t) - n + 1)] or [t or "\x00"]
-    digests = np.frombuffer(b"".join(xxhash.xxh128_digest(g.encode()) for g in grams), np.uint8).reshape(-1, 16)
-    votes = 2 * np.unpackbits(digests, axis=1).astype(np.int64).sum(0) - len(grams)
-    bits = (votes > 0).astype(np.uint64)
-    return [int((bits[32 * k : 32 * k + 32] << np.arange(32, dtype=np.uint64)).sum()) for k in range(4)]
+    return [int(x) for x in simhash_bands_of([text])[0]]
 
 
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, bands of texts that aren't null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "bands": [simhash_bands(t) for t in b[text]]})
+            texts, lo, out = b.column(text).to_pylist(), 0, []
+            while lo < len(texts):
+                hi, chars = lo, 0
+                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= CHUNK):
+                    chars += len(texts[hi])
+                    hi += 1
+                out.append(simhash_bands_of(texts[lo:hi]))
+                lo = hi
+            flat = np.concatenate(out).reshape(-1) if out else np.zeros(0, np.uint64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * 4, pa.int32()), pa.array(flat.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(key), bands], names=[key, "bands"])
+
+    return docs.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, bands array<bigint>")
+
 
-    return docs.filter(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, bands array<bigint>")
+def to_hex(bands: Column) -> Column:
+    """A fingerprint as 32 hexadecimal digits, the highest band first."""
+    return F.array_join(F.transform(F.reverse(bands), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+
+
+def from_hex(text: Column) -> Column:
+    """The bands of 32 hexadecimal digits; null for anything else."""
+    band = lambda k: F.conv(F.substring(text, 25 - 8 * k, 8), 16, 10).cast("long")
+    return F.when(text.rlike("^[0-9a-fA-F]{32}$"), F.array(*[band(k) for k in range(4)]))
+
+
+def distance(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(4)), F.lit(0))
+
+
+def _pieces(bands: Column, n: int) -> Column:
+    """The 128 bits in n pieces, each with its number: two prints that differ in under n bits have one in common."""
+    word = lambda lo, hi: F.concat_ws("", *[F.substring(F.lpad(F.bin(bands[k]), 32, "0"), 33 - min(hi - 32 * k, 32), min(hi - 32 * k, 32) - max(lo - 32 * k, 0)) for k in range(4) if lo < 32 * k + 32 and hi > 32 * k])
+    cuts = [round(i * 128 / n) for i in range(n + 1)]
+    return F.array(*[F.struct(F.lit(i).alias("pos"), F.xxhash64(word(cuts[i], cuts[i + 1])).alias("cell")) for i in range(n)])
 
 
 def near_pairs(prints: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """Pairs a < b within `most` differing bits (3 at most: beyond it a shared band isn't certain), equal prints once per class."""
-    if most > 3:
-        raise ValueError("bands of 32 bits find distances up to 3 only")
-    first = prints.groupBy("bands").agg(F.min(key).alias("id"))
-    cells = first.select("id", "bands", F.posexplode("bands").alias("pos", "cell"))
-    a, b = cells.alias("a"), cells.alias("b")
-    bits = sum((F.bit_count(F.col("a.bands")[k].bitwiseXOR(F.col("b.bands")[k])) for k in range(4)), F.lit(0))
-    joined = a.join(b, (F.col("a.pos") == F.col("b.pos")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")))
-    return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), bits.alias("distance")).filter(F.col("distance") <= most).distinct()
+    """Pairs a < b within `most` differing bits, with the distance; equal prints are one class, named by its smallest key.
+
+    `print_classes` gives the members of the classes. Pieces that very many prints share are split into blocks.
+    """
+    if not 0 <= most <= 31:
+        raise ValueError("distances of 0 to 31 bits")
+    first = written(prints.groupBy("bands").agg(F.min(key).alias("id")), "prints")
+    cells = first.select("id", F.explode(_pieces(F.col("bands"), most + 1)).alias("x")).select("x.pos", "x.cell", "id")
+    pairs = meet(cells, ["pos", "cell"], "id")
+    side = lambda name: first.select(F.col("id").alias(name), F.col("bands").alias(f"{name}_bands"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", distance(F.col("a_bands"), F.col("b_bands")))
+    return met.filter(F.col("distance") <= most).select("a", "b", "distance")
+
+
+def print_classes(prints: DataFrame, key: str) -> DataFrame:
+    """key, class (smallest key of equal prints) of every row."""
+    return prints.join(prints.groupBy("bands").agg(F.min(key).alias("class")), "bands").select(key, "class")
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -56,13 +56,38 @@ def stl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("null_calibration")
 def null_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks that PELT finds in 200 series of 500 normal values, where there is none."""
-    grid = spark.range(200).select(F.col("id").alias("entity"), F.explode(F.sequence(F.lit(1), F.lit(500))).alias("i")).withColumn("value", F.randn(42))
-    return cp.per_series(grid, lambda x: [(len(cp.pelt(x, 5.0 * float(x.std()))),)], "entity bigint, breaks int").groupBy("breaks").agg(F.count("*").alias("series"))
+    null = cp.null_breaks(spark.range(200).withColumnRenamed("id", "entity"))
+    return null.groupBy("breaks").agg(F.count("*").alias("series"))
+
+
+def _article_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(fp.fingerprints(table(spark, sf_dir, "articles", ["id", "clean_text"]).dropDuplicates(["id"]), "id", "clean_text"), "prints")
 
 
 @query("simhash_pairs")
 def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fp.near_pairs(fp.fingerprints(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text"), "doc_id")
+    """Pairs of classes of articles whose prints differ in up to three bits."""
+    return fp.near_pairs(_article_prints(spark, sf_dir), "id")
+
+
+@query("simhash_pairs_wide")
+def simhash_pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same up to seven bits: more and shorter pieces, still no comparison of all pairs."""
+    return fp.near_pairs(_article_prints(spark, sf_dir), "id", 7)
+
+
+@query("simhash_classes")
+def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of the classes of equal prints."""
+    return fp.print_classes(_article_prints(spark, sf_dir), "id")
+
+
+@query("earliest_of_duplicates")
+def earliest_of_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document that was published first, ties to the smallest id; nulls come last."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "published_at"])
+    groups = fp.duplicate_groups(docs, "doc_id", "text")
+    return groups.join(docs.select("doc_id", "published_at"), "doc_id").groupBy("component").agg(F.min_by("doc_id", F.struct(F.col("published_at").isNull(), "published_at", "doc_id")).alias("kept"), F.count("*").alias("n"))
 
 
 @query("duplicate_components")
