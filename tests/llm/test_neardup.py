@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quillmetry.llm import neardup as nd
-from quillmetry.llm import pairs
+from quillmetry.operators import pairs
 from quillmetry.operators import fingerprints as fp
 
 
