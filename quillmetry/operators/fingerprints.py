@@ -20,56 +20,47 @@ from quillmetry.operators.pairs import meet
 from quillmetry.runtime import written
 
 #: Characters whose grams are in memory at a time.
-CHUNK = 100_000
+CHUNK = 1_000_000
 
 
 def _normal(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text or "").split())
 
 
-def _grams(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of all 3- and 4-grams of the texts as bytes, each distinct gram hashed once, and the text of each gram.
+def _bits(grams: list[str]) -> np.ndarray:
+    digests = b"".join(xxhash.xxh128_digest(g.encode("utf-8", "surrogatepass")) for g in grams)
+    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1)
 
-    A text without grams is one gram itself, an empty one a NUL.
+
+def simhash_bands_of(texts: list[str | None]) -> np.ndarray:
+    """Four bands of each text, lowest first. A bit without a majority is 0.
+
+    Each distinct gram of the texts is hashed once. A text without grams is one gram itself, an empty one a NUL. More
+    than 65,535 different letters don't meet in a chunk.
     """
+    values = [_normal(t) for t in texts]
     sizes = np.fromiter((len(v) for v in values), np.int64, len(values))
+    at = np.r_[0, np.cumsum(sizes)]
     cp = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)
     letters, code = np.unique(cp, return_inverse=True)
-    text_of = np.repeat(np.arange(len(values)), sizes)
-    digests, owners = [], []
+    votes, counts = np.zeros((len(values), 128), np.int64), np.zeros(len(values), np.int64)
     for n in (3, 4):
         last = len(cp) - n + 1
         if last <= 0:
             continue
-        inside = np.flatnonzero(text_of[:last] == text_of[n - 1 :])
         key = np.zeros(last, np.uint64)
         for k in range(n):
             key = key * np.uint64(len(letters) + 1) + code[k : k + last].astype(np.uint64)
-        _, first, which = np.unique(key[inside], return_index=True, return_inverse=True)
-        at = inside[first]
-        raw = [xxhash.xxh128_digest(cp[i : i + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) for i in at.tolist()]
-        digests.append(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 16)[which])
-        owners.append(text_of[inside])
-    short = np.flatnonzero(sizes < 3)
-    if len(short):
-        raw = [xxhash.xxh128_digest((values[i] or "\x00").encode("utf-8", "surrogatepass")) for i in short.tolist()]
-        digests.append(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 16))
-        owners.append(short)
-    return np.concatenate(digests), np.concatenate(owners)
-
-
-def simhash_bands_of(texts: list[str | None]) -> np.ndarray:
-    """Four bands of each text, lowest first. A bit without a majority is 0. More than 65,535 letters don't meet in a chunk."""
-    values = [_normal(t) for t in texts]
-    if not values:
-        return np.zeros((0, 4), np.uint64)
-    digests, owner = _grams(values)
-    order = np.argsort(owner, kind="stable")
-    bits = np.unpackbits(digests[order], axis=1)
-    counts = np.bincount(owner, minlength=len(values))
-    votes = 2 * np.add.reduceat(bits, np.r_[0, np.cumsum(counts)[:-1]], axis=0, dtype=np.int64) - counts[:, None]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        bits = _bits([cp[i : i + n].tobytes().decode("utf-32-le", "surrogatepass") for i in first.tolist()])
+        for i in np.flatnonzero(sizes >= n).tolist():
+            mine = which[at[i] : at[i + 1] - n + 1]
+            votes[i] += bits[mine].sum(0, dtype=np.int64)
+            counts[i] += len(mine)
+    for i in np.flatnonzero(sizes < 3).tolist():
+        votes[i], counts[i] = _bits([values[i] or "\x00"])[0], 1
     weights = np.uint64(1) << np.arange(32, dtype=np.uint64)
-    return ((votes > 0).reshape(-1, 4, 32) * weights).sum(2, dtype=np.uint64)
+    return ((2 * votes > counts[:, None]).reshape(-1, 4, 32) * weights).sum(2, dtype=np.uint64)
 
 
 def simhash_bands(text: str) -> list[int]:
