@@ -74,6 +74,29 @@ def normal_sf2(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def u_exact_sf2(u: float, m: int, n: int) -> float:
+    """Two-sided exact p of the rank-sum statistic without ties, from the number of ways to reach each value."""
+    if m > n:
+        m, n = n, m
+    ways = np.zeros(m * n + 1)
+    ways[0] = 1.0
+    for i in range(1, m + 1):
+        ways[n + i :] -= ways[: -(n + i)].copy() if n + i < len(ways) else 0.0  # times 1 - x**(n + i)
+        for r in range(i):
+            ways[r::i] = np.cumsum(ways[r::i])  # by 1 - x**i
+    top = int(math.ceil(max(u, m * n - u)))
+    return float(min(1.0, 2 * ways[top:].sum() / ways.sum()))
+
+
+def bh(p: list[float]) -> list[float]:
+    """Benjamini-Hochberg of a short list, in its order."""
+    x = np.asarray(p, float)
+    order = np.argsort(-x, kind="stable")
+    out = np.empty(len(x))
+    out[order] = np.minimum(1.0, np.minimum.accumulate(x[order] * len(x) / np.arange(len(x), 0, -1)))
+    return out.tolist()
+
+
 def kolmogorov_sf(x: float) -> float:
     """Asymptotic survival function of the two-sample statistic."""
     if x < 0.2:

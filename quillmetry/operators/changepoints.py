@@ -164,7 +164,7 @@ def bootstrap_ci(a: np.ndarray, b: np.ndarray, n: int = 1000, alpha: float = 0.0
 
 
 def two_sample(a: np.ndarray, b: np.ndarray) -> list[tuple[str, float, float]]:
-    """Welch's t, Mann-Whitney U (normal with ties and continuity) and Kolmogorov-Smirnov: name, statistic, p."""
+    """Welch's t, Mann-Whitney U (exact for a side of eight at most without ties, else normal with ties and continuity) and Kolmogorov-Smirnov: name, statistic, p."""
     va, vb, na, nb = a.var(ddof=1), b.var(ddof=1), len(a), len(b)
     q = va / na + vb / nb
     t = (b.mean() - a.mean()) / math.sqrt(q) if q > 0 else 0.0
@@ -176,9 +176,10 @@ def two_sample(a: np.ndarray, b: np.ndarray) -> list[tuple[str, float, float]]:
     n = na + nb
     sd = math.sqrt(na * nb / 12 * ((n + 1) - ((counts**3 - counts).sum()) / (n * (n - 1))))
     z = max(0.0, abs(u - na * nb / 2) - 0.5) / sd if sd > 0 else 0.0
+    exact = min(na, nb) <= 8 and len(counts) == n  # a small side without ties
     grid = np.sort(both)
     ks = np.abs(np.searchsorted(np.sort(a), grid, "right") / na - np.searchsorted(np.sort(b), grid, "right") / nb).max()
-    return [("welch", float(t), special.t_sf2(float(t), float(df)) if q > 0 else 1.0), ("mann_whitney", float(u), special.normal_sf2(z)), ("ks", float(ks), special.kolmogorov_sf(float(ks) * math.sqrt(na * nb / n)))]
+    return [("welch", float(t), special.t_sf2(float(t), float(df)) if q > 0 else 1.0), ("mann_whitney", float(u), special.u_exact_sf2(float(u), na, nb) if exact else special.normal_sf2(z)), ("ks", float(ks), special.kolmogorov_sf(float(ks) * math.sqrt(na * nb / n)))]
 
 
 TESTS = "entity bigint, at int, test string, statistic double, p double, d double, ci_lo double, ci_hi double, skipped string"

@@ -57,16 +57,29 @@ def bonferroni(df: DataFrame, p: str, q: str = "q") -> DataFrame:
     return df.crossJoin(F.broadcast(n)).withColumn(q, F.least(F.lit(1.0), F.col(p) * F.col("_n"))).drop("_n")
 
 
+def with_sum_before(df: DataFrame, value: str, weight: str, groups: list[str] | None = None, before: str = "before") -> DataFrame:
+    """Add the sum of the weights of all smaller values of the group. One row per group and value."""
+    groups = groups or []
+    r = ranked(df, [value], groups, rank="_k", total="_m")
+    sums = r.groupBy(*groups, "_range").agg(F.sum(weight).alias("_s"))
+    earlier = Window.partitionBy(*groups, F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_earlier"))
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    own = Window.partitionBy(*groups, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = r.withColumn("_own", F.coalesce(F.sum(weight).over(own), F.lit(0))).join(sums, same)
+    return out.select(*df.columns, (F.col("_own") + F.col("_earlier")).alias(before))
+
+
 def share_at_least(df: DataFrame, value: str, p: str = "p") -> DataFrame:
     """Add p: of all rows the share whose value is at least the row's (itself among them): an empirical tail probability.
 
-    Values are counted first, so equal ones are one row, then ranked; no row meets another.
+    Values are counted first, so equal ones are one row, then ranked; no row meets another. Null values have no p.
     """
-    counts = ranked(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c")), ["_v"], rank="_k", total="_m")
-    sums = counts.groupBy("_range").agg(F.sum("_c").alias("_s"))
-    sums = sums.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_later"), F.sum("_s").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    own = F.sum("_c").over(Window.partitionBy("_range").orderBy(F.desc("_v")))
-    tail = counts.withColumn("_own", own).join(sums, F.col("_range") == F.col("_r")).select("_v", ((F.col("_own") + F.col("_later")) / F.col("_all")).alias(p))
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counts")
+    total = counts.agg(F.sum("_c").alias("_all"))
+    tail = with_sum_before(counts, "_v", "_c").crossJoin(F.broadcast(total)).select("_v", (1 - F.col("before") / F.col("_all")).alias(p))
     return df.join(tail, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
