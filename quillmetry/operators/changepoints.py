@@ -22,20 +22,44 @@ def finite(values: np.ndarray) -> np.ndarray:
     return np.where(good, values, np.median(values[good]) if good.any() else 0.0)
 
 
+#: Longest series of the kernel cost: its table of pairs is quadratic.
+MOST_KERNEL = 4000
+
+
+def _kernel_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the kernel over every square of pairs from the origin."""
+    n = len(x)
+    if n > MOST_KERNEL:
+        raise ValueError(f"the kernel cost takes series of {MOST_KERNEL} values at most")
+    gaps = (x[:, None] - x[None, :]) ** 2
+    middle = float(np.median(gaps[np.triu_indices(n, 1)]))
+    kernel = np.exp(-np.clip(gaps / middle if middle > 0 else gaps, 1e-2, 1e2))
+    np.fill_diagonal(kernel, 1.0)
+    out = np.zeros((n + 1, n + 1))
+    out[1:, 1:] = kernel.cumsum(0).cumsum(1)
+    return out
+
+
 def pelt(x: np.ndarray, penalty: float, min_size: int = 5, jump: int = 5, cost: str = "l2") -> list[int]:
     """Optimal breaks of a series by pruned dynamic programming over multiples of `jump`, penalised per break.
 
-    l2: squared deviations from the segment's mean; l1: absolute deviations from its median.
+    l2: squared deviations from the segment's mean; l1: absolute deviations from its median; rbf: distances under a
+    Gaussian kernel as wide as the median squared distance, from a table of all pairs (MOST_KERNEL values at most).
     """
     n = len(x)
     if n < 2 * min_size:
         return []
+    if cost == "rbf":
+        square = _kernel_sums(x)
     s1, s2 = np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(x * x)]
 
     def costs(starts: np.ndarray, end: int) -> np.ndarray:
         if cost == "l2":
             m = end - starts
             return s2[end] - s2[starts] - (s1[end] - s1[starts]) ** 2 / m
+        if cost == "rbf":
+            m = end - starts
+            return m - (square[end, end] - square[starts, end] - square[end, starts] + square[starts, starts]) / m
         return np.array([np.abs(x[a:end] - np.median(x[a:end])).sum() for a in starts])
 
     ends = [e for e in range(0, n, jump) if e >= min_size] + [n]
@@ -57,52 +81,100 @@ def pelt(x: np.ndarray, penalty: float, min_size: int = 5, jump: int = 5, cost:
     return out[::-1]
 
 
-def bocpd(x: np.ndarray, hazard: float = 1 / 250, drop: float = 0.5, min_run: int = 5, cooldown: int = 3, merge: int = 2) -> list[tuple[int, float]]:
-    """Bayesian online detection: the posterior of the run length under a normal-inverse-gamma model with constant hazard.
+class RunLengths:
+    """Posterior of the run length, one value at a time, under a constant hazard.
 
-    A change is told where the most probable run length falls under `drop` of the one before, once that was `min_run`;
-    tells within `merge` of the last one are one, of the highest confidence. The confidence is the new mode's posterior.
+    student: unknown mean and variance (normal-inverse-gamma), the prior from the first ten values, or 80 where those are
+    flat. normal: known variance, that of the first 80 values. The state is the posterior, the prior and the running sums.
     """
-    n = len(x)
-    if n < max(6, min_run + 2):
-        return []
-    mu0, beta0 = float(x[:10].mean()), 0.5 * float(x[:10].var())
-    if beta0 < 0.5e-12:
-        beta0 = 0.5 * float(x[:80].var())
-    beta0 = max(beta0, 1e-12)
-    r = np.arange(1, n + 1, dtype=float)
-    alpha = 1 + r / 2
-    kappa = 1 + r
-    norm = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alpha])
-    s1, s2 = np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(x * x)]
-    log_pi = np.zeros(1)
-    map_before, last, told = 0, -(10**9), []
-    for t in range(1, n):
-        k = np.arange(1, t + 1)
-        m = (s1[t] - s1[t - k]) / k
-        ss = np.maximum(s2[t] - s2[t - k] - k * m * m, 0)
-        kap, al = kappa[:t], alpha[:t]
-        mu = (mu0 + k * m) / kap
-        beta = beta0 + 0.5 * ss + 0.5 * k * (m - mu0) ** 2 / kap
-        scale = beta * (kap + 1) / (al * kap)
-        pred = norm[:t] - 0.5 * np.log(2 * al * math.pi * scale) - (al + 0.5) * np.log1p((x[t] - mu) ** 2 / (2 * al * scale))
-        joint = log_pi + pred
+
+    def __init__(self, first: np.ndarray, hazard: float, predictive: str = "student", room: int = 64):
+        self.mu0, spread = float(first[:10].mean()), float(first[:10].var())
+        self.sigma2 = max(float(first[:80].var()), 1e-12)
+        self.beta0 = 0.5 * (spread if spread >= 1e-12 else self.sigma2)
+        self.hazard, self.predictive, self.t = hazard, predictive, 1
+        self.log_pi = np.zeros(1)
+        self.s1, self.s2 = np.zeros(room + 1), np.zeros(room + 1)
+        self._grow(room)
+        self.s1[1], self.s2[1] = first[0], first[0] ** 2
+
+    def _grow(self, room: int) -> None:
+        if room + 1 > len(self.s1):
+            self.s1, self.s2 = (np.concatenate([s, np.zeros(room + 1 - len(s))]) for s in (self.s1, self.s2))
+        k = np.arange(1, len(self.s1), dtype=float)
+        self.k, self.alpha, self.kappa = k, 1 + k / 2, 1 + k
+        self.norm = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in self.alpha])
+
+    def step(self, value: float) -> np.ndarray:
+        """Take the next value; the log posterior of run lengths 0, 1, ..."""
+        t = self.t
+        if t + 1 >= len(self.s1):
+            self._grow(2 * len(self.s1))
+        k, total = self.k[:t], self.s1[t] - self.s1[t - 1 :: -1][:t]
+        if self.predictive == "normal":
+            inverse = 1 / (4 * self.sigma2) + k / self.sigma2
+            mean, var = (self.mu0 / (4 * self.sigma2) + total / self.sigma2) / inverse, 1 / inverse + self.sigma2
+            pred = -0.5 * (np.log(2 * math.pi * var) + (value - mean) ** 2 / var)
+        else:
+            m = total / k
+            ss = np.maximum(self.s2[t] - self.s2[t - 1 :: -1][:t] - k * m * m, 0)
+            kap, al = self.kappa[:t], self.alpha[:t]
+            beta = self.beta0 + 0.5 * ss + 0.5 * k * (m - self.mu0) ** 2 / kap
+            scale = np.maximum(beta * (kap + 1) / (al * kap), 1e-300)
+            pred = self.norm[:t] - 0.5 * np.log(2 * al * math.pi * scale) - (al + 0.5) * np.log1p((value - (self.mu0 + k * m) / kap) ** 2 / (2 * al * scale))
+        joint = self.log_pi + pred
         top = joint.max()
-        new = np.concatenate([[math.log(hazard) + top + math.log(np.exp(joint - top).sum())], math.log1p(-hazard) + joint])
+        new = np.concatenate([[math.log(self.hazard) + top + math.log(np.exp(joint - top).sum())], math.log1p(-self.hazard) + joint])
         top = new.max()
-        log_pi = new - (top + math.log(np.exp(new - top).sum()))
+        self.log_pi = new - (top + math.log(np.exp(new - top).sum()))
+        self.s1[t + 1], self.s2[t + 1] = self.s1[t] + value, self.s2[t] + value * value
+        self.t = t + 1
+        return self.log_pi
+
+
+class Alarms:
+    """Tells a change where the most probable run length falls under `drop` of the one before, once that was `min_run`."""
+
+    def __init__(self, drop: float = 0.5, min_run: int = 5, cooldown: int = 3):
+        self.drop, self.min_run, self.cooldown, self.before, self.last = drop, min_run, cooldown, 0, -(10**9)
+
+    def see(self, t: int, log_pi: np.ndarray) -> float | None:
         now = int(log_pi.argmax())
-        if map_before >= min_run and now < drop * map_before and t - last >= cooldown:
-            told.append((t, float(np.exp(log_pi[now]))))
-            last = t
-        map_before = now
-    out: list[tuple[int, float]] = []
-    for at, p in told:
-        if out and at - out[-1][0] <= merge:
-            out[-1] = max(out[-1], (at, p), key=lambda z: z[1])
+        told = self.before >= self.min_run and now < self.drop * self.before and t - self.last >= self.cooldown
+        self.before = now
+        if not told:
+            return None
+        self.last = t
+        return float(np.exp(log_pi[now]))
+
+
+def merged(told: list[tuple[int, float]], within: int) -> list[tuple[int, float]]:
+    """Runs of alarms each `within` places of the one before it, as the one of highest confidence; ties are the first."""
+    runs: list[list[tuple[int, float]]] = []
+    for x in told:
+        if runs and x[0] - runs[-1][-1][0] <= within:
+            runs[-1].append(x)
         else:
-            out.append((at, p))
-    return out
+            runs.append([x])
+    return [max(r, key=lambda z: z[1]) for r in runs]
+
+
+def bocpd(x: np.ndarray, hazard: float = 1 / 250, drop: float = 0.5, min_run: int = 5, cooldown: int = 3, merge: int = 2, predictive: str = "student", read_out: str = "reset", threshold: float = 0.5) -> list[tuple[int, float]]:
+    """Bayesian online detection over a whole series: place and confidence of each change.
+
+    reset: falls of the most probable run length, with the posterior of the new one; alarms within `merge` are one.
+    legacy: places where the probability of a new run reaches `threshold` (a constant hazard pins it to the hazard).
+    """
+    n = len(x)
+    if n < (max(6, min_run + 2) if read_out == "reset" else 6):
+        return []
+    runs, alarms, told = RunLengths(x, hazard, predictive, n), Alarms(drop, min_run, cooldown), []
+    for t in range(1, n):
+        log_pi = runs.step(float(x[t]))
+        p = alarms.see(t, log_pi) if read_out == "reset" else (float(np.exp(log_pi[0])) if np.exp(log_pi[0]) >= threshold else None)
+        if p is not None:
+            told.append((t, p))
+    return merged(told, merge) if read_out == "reset" else told
 
 
 def series(df: DataFrame, entity: str, order: list[str], value: str, least: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ import sqlite3
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,33 +44,128 @@ def page_metadata(pages: DataFrame, source: str = "html") -> DataFrame:
     """Add title, section, tags and the headline of linked data; what a page doesn't have is null."""
     one = lambda p: F.nullif(F.regexp_extract(source, p, 1), F.lit(""))
     linked = F.regexp_extract(source, r'(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)
+    named = lambda kind, name: F.coalesce(one(rf'(?i)<meta[^>]*(?:property|name)="{kind}:{name}"[^>]*content="([^"]*)"'), one(rf'(?i)<meta[^>]*content="([^"]*)"[^>]*(?:property|name)="{kind}:{name}"'))
     return pages.withColumns({
-        "meta_title": one(r"(?is)<title>([^<]*)</title>"),
-        "meta_section": one(r'(?i)<meta[^>]*property="og:section"[^>]*content="([^"]*)"'),
+        "meta_title": F.coalesce(named("og", "title"), one(r"(?is)<title>([^<]*)</title>")),
+        "meta_section": F.coalesce(named("og", "section"), named("article", "section"), F.get_json_object(linked, "$.articleSection")),
         "meta_tags": F.regexp_extract_all(source, F.lit(r'(?i)<meta[^>]*property="article:tag"[^>]*content="([^"]*)"'), F.lit(1)),
         "meta_headline": F.get_json_object(linked, "$.headline"),
+        "meta_published": F.coalesce(named("article", "published_time"), F.get_json_object(linked, "$.datePublished")),
+        "meta_modified": F.coalesce(named("article", "modified_time"), F.get_json_object(linked, "$.dateModified")),
+        "meta_author": F.coalesce(named("article", "author"), F.get_json_object(linked, "$.author.name"), F.get_json_object(linked, "$.author[0].name")),
     })
 
 
+#: Containers of a story in their order of precedence, and what is taken out of them.
+CONTAINERS = [("div", "entry-content"), ("article", None), ("div", "post-content")]
+DROPPED_TAGS = frozenset(["script", "style", "nav", "aside", "footer"])
+DROPPED_CLASSES = ("related-posts", "social-share", "advertisement", "sidebar", "newsletter", "comments", "jp-relatedposts")
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class _Bodies(HTMLParser):
+    """The text of the first element of each container, without the dropped parts; one pass for all of them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[str] = []
+        self.open: dict[int, int] = {}
+        self.texts: dict[int, list[str]] = {}
+        self.skip: int | None = None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _VOID:
+            return
+        classes = (dict(attrs).get("class") or "").lower().split()
+        self.stack.append(tag)
+        depth = len(self.stack)
+        for i, (name, wanted) in enumerate(CONTAINERS):
+            if i not in self.texts and tag == name and (wanted is None or wanted in classes):
+                self.texts[i], self.open[i] = [], depth
+        inside = any(d < depth for d in self.open.values())
+        if self.skip is None and (tag in DROPPED_TAGS or (inside and any(x in " ".join(classes) for x in DROPPED_CLASSES))):
+            self.skip = depth
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.stack:
+            while self.stack:
+                depth, top = len(self.stack), self.stack.pop()
+                self.open = {i: d for i, d in self.open.items() if d != depth}
+                if self.skip == depth:
+                    self.skip = None
+                if top == tag:
+                    break
+
+    def handle_data(self, data: str) -> None:
+        if self.skip is None:
+            for i in self.open:
+                self.texts[i].append(data)
+
+
+def body_of(page: str | None) -> str:
+    """The story of a page by precedence of containers: lines of text, white space joined; '' without a container or page."""
+    parser = _Bodies()
+    parser.feed(page or "")
+    parser.close()
+    for i in range(len(CONTAINERS)):
+        if i in parser.texts:
+            lines = (" ".join(unicodedata.normalize("NFKC", x).split()) for x in "\n".join(parser.texts[i]).split("\n"))
+            return "\n".join(x for x in lines if x)
+    return ""
+
+
+def article_bodies(pages: DataFrame, key: str, source: str = "html") -> DataFrame:
+    """key, body of each page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "body": [body_of(x if isinstance(x, str) else None) for x in b[source]]})
+
+    return pages.select(key, source).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, body string")
+
+
 _FENCE = re.compile(r"(?s)^\s*```[a-zA-Z]*\s*\n(.*?)\n?```\s*$")
+_DECODER = json.JSONDecoder()
+
+
+def _article_in(found: object) -> tuple[str, str] | None:
+    """Headline and text of an object, or of what it wraps: article, parameters, or arguments (an object or its JSON)."""
+    if isinstance(found, str):
+        try:
+            found = json.loads(found)
+        except (json.JSONDecodeError, RecursionError):
+            return None
+    if not isinstance(found, dict):
+        return None
+    if isinstance(found.get("text"), str):
+        return str(found.get("headline") or ""), found["text"]
+    return next((got for k in ("parameters", "arguments", "article") if k in found and (got := _article_in(found[k]))), None)
 
 
 def parse_generated(raw: str | None) -> tuple[str, str]:
-    """Headline and text of a model's answer: fenced, wrapped in JSON, or plain with its first line as headline."""
+    """Headline and text of a model's answer: fenced, wrapped in JSON anywhere in it, or plain with its first line as headline.
+
+    Braces are tried in their order until one opens an object with a text; an object that is read is not looked into again.
+    """
     body = (raw or "").strip()
     fenced = _FENCE.match(body)
     body = fenced[1].strip() if fenced else body
     at = body.find("{")
-    if at >= 0:
+    while at >= 0:
         try:
-            found, _ = json.JSONDecoder().raw_decode(body[at:])
-            found = found.get("article", found) if isinstance(found, dict) else {}
-            if isinstance(found, dict) and isinstance(found.get("text"), str):
-                return str(found.get("headline") or ""), found["text"]
+            found, end = _DECODER.raw_decode(body, at)
         except (json.JSONDecodeError, RecursionError):
-            pass
-    head, _, rest = body.partition("\n")
-    return (head.strip("# ").strip(), rest.strip()) if rest.strip() else ("", body)
+            end = at + 1
+        else:
+            if got := _article_in(found):
+                return got
+        at = body.find("{", end)
+    body = body.strip('"')
+    lines = [x.strip() for x in body.split("\n") if x.strip()]
+    if len(lines) < 2:
+        return "", body.strip()
+    head, rest = lines[0], body.split(lines[0], 1)[1].strip()
+    return head.strip("# ").strip()[:200], rest
 
 
 def generated_articles(df: DataFrame, key: str, raw: str) -> DataFrame:

@@ -98,4 +98,4 @@ def ordered_digest(df: DataFrame, value: str, separator: str = "|", length: int
             seen = seen or bool(values)
         yield pa.RecordBatch.from_pydict({"digest": [state.hexdigest()[:length] if seen else None]}, pa.schema([("digest", pa.string())]))
 
-    return df.filter(F.col(value).isNotNull()).select(value).sort(value).coalesce(1).mapInArrow(run, "digest string")
+    return df.filter(F.col(value).isNotNull()).select(value).sort(value).coalesce(1).mapInArrow(run, "digest string").agg(F.max("digest").alias("digest"))

@@ -104,6 +104,13 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "authors", ["slug"]).withColumn("stable_id", docs.stable_id(uuid.NAMESPACE_URL, F.col("slug")))
 
 
+@query("page_bodies")
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The story of each page by precedence of containers, by its lines, length and hash."""
+    out = docs.article_bodies(table(spark, sf_dir, "raw_pages", ["page_path", "html"]), "page_path")
+    return out.select("page_path", F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", "\n"))).alias("lines"), F.length("body").alias("chars"), F.md5("body").alias("body_hash"))
+
+
 @query("page_metadata")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.page_metadata(table(spark, sf_dir, "raw_pages", ["page_path", "html"])).drop("html")

@@ -27,6 +27,20 @@ def pelt_breaks_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.pelt_breaks(_series(spark, sf_dir), cost="l1")
 
 
+@query("pelt_breaks_rbf")
+def pelt_breaks_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaks by the kernel cost, whose penalty is a number of its own scale."""
+    return cp.per_series(_series(spark, sf_dir), lambda x: cp.break_rows(x, [(b, None) for b in cp.pelt(x, 3.0, cost="rbf")]), cp.BREAKS)
+
+
+@query("bocpd_breaks_normal")
+def bocpd_breaks_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online detection with a known variance, and the older read-out of the probability of a new run (threshold 0.004)."""
+    s = _series(spark, sf_dir)
+    found = lambda **k: cp.per_series(s, lambda x: cp.break_rows(x, cp.bocpd(x, predictive="normal", **k)), cp.BREAKS)
+    return found().withColumn("read_out", F.lit("reset")).unionByName(found(read_out="legacy", threshold=0.00401).withColumn("read_out", F.lit("legacy")))
+
+
 @query("bocpd_breaks")
 def bocpd_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.bocpd_breaks(_series(spark, sf_dir))

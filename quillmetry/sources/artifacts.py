@@ -128,8 +128,8 @@ def load_vectors(sources: list[DataFrame], key: str, dim: int, revision: str | N
     for s in sources[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
     ok = (F.size("vector") == dim) & (F.lit(True) if revision is None else F.col("revision").eqNullSafe(revision))
-    if strict:
-        out = out.withColumn(key, F.when(ok, F.col(key)).otherwise(F.raise_error(F.lit("vector of another dimension or revision")).cast(out.schema[key].dataType)))
+    if strict:  # no filter on ok: it would take the wrong rows away before they are noticed
+        return out.withColumn(key, F.when(ok, F.col(key)).otherwise(F.raise_error(F.lit("vector of another dimension or revision")).cast(out.schema[key].dataType)))
     return out.filter(ok)
 
 
