@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 #: Modules that register the core's queries.
-MODULES = ["time_queries", "relational_queries", "text_queries", "series_queries", "corpus_queries", "convergence_queries", "storage_queries", "analysis_queries"]
+MODULES = ["time_queries", "relational_queries", "text_queries", "series_queries", "corpus_queries", "convergence_queries", "storage_queries", "analysis_queries", "report_queries"]
 
 
 def load() -> ModuleType:

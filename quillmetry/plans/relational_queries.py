@@ -6,6 +6,8 @@ events are a dense series per user; customer, nation and region are the dimensio
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quillmetry.operators import ranks
 from quillmetry.plans.catalog import query
 from quillmetry.plans.dialect import both, spelled
@@ -412,10 +414,11 @@ def _(d):
 # ---- sets, limits ----
 
 
-@both("artifact_sort_keys", "customer")
-def _(d):
-    """Numbers ordered as text, as artifact keys are."""
-    return f"select c_custkey, row_number() over (order by cast(c_custkey as varchar(20))) as place from {d.t('customer')}"
+@query("artifact_sort_keys", "select c_custkey, row_number() over (order by cast(c_custkey as varchar)) as place from customer")
+def artifact_sort_keys(spark, sf_dir):
+    """Numbers ordered as text, as artifact keys are; places by ranges."""
+    keys = table(spark, sf_dir, "customer", ["c_custkey"]).withColumn("key", F.col("c_custkey").cast("string"))
+    return ranks.ranked(keys, ["key"], rank="place", total="_n").select("c_custkey", "place")
 
 
 @both("top_orders", "orders")
@@ -440,10 +443,10 @@ def _(d):
     return f"select 'both' as part, count(*) as n from ({o} intersect {e}) a union all select 'orders_only', count(*) from ({o} except {e}) b union all select 'events_only', count(*) from ({e} except {o}) c"
 
 
-@both("exact_duplicates", "documents")
-def _(d):
-    """Documents whose text an earlier one has, with that one."""
-    return f"with x as (select doc_id, min(doc_id) over (partition by text) as first_doc from {d.t('documents')} where text is not null and text <> '') select doc_id, first_doc from x where doc_id > first_doc"
+@spelled("exact_duplicates", "select doc_id, first_doc from (select doc_id, min(doc_id) over (partition by text) as first_doc from documents where text is not null and text <> '') x where doc_id > first_doc", "documents")
+def _():
+    """Documents whose text an earlier one has, with that one. Texts meet by their SHA-256: none is shuffled."""
+    return "select doc_id, first_doc from (select doc_id, min(doc_id) over (partition by digest) as first_doc from (select doc_id, unhex(sha2(text, 256)) as digest from {documents} where text is not null and text <> '') d) x where doc_id > first_doc"
 
 
 @both("spliced_corpus", "articles", "generated_articles", "authors")

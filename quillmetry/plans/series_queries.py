@@ -62,11 +62,6 @@ def cluster_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.cluster_permutation(_series(spark, sf_dir), 20.0)
 
 
-@query("stl_components")
-def stl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cp.per_series(_series(spark, sf_dir), cp.decompose, "entity bigint, i int, trend double, seasonal double, rest double")
-
-
 @query("null_calibration")
 def null_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks that PELT finds in 200 series of 500 normal values, where there is none."""
@@ -153,11 +148,3 @@ def centroid_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmetry.operators import topics
 
     return topics.projection(table(spark, sf_dir, "embeddings"), "label", "embedding")
-
-
-@query("session_bursts")
-def session_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each user with gaps under six hours, as a stream counts them."""
-    from quillmetry.streaming import streams
-
-    return streams.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours")

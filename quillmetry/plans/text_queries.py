@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmetry.operators import drift, ranks
 from quillmetry.plans.catalog import query
-from quillmetry.plans.dialect import both
+from quillmetry.plans.dialect import both, spelled
 from quillmetry.plans.dialect import rounded as R
 from quillmetry.sources.tables import table
 
@@ -50,12 +50,20 @@ def _(d):
     return f"with w as ({words(d)}) select doc_id, {R(f'{d.size}({d.distinct}(w)) / cast({d.size}(w) as double)')} as ttr from w where {d.size}(w) > 0"
 
 
-@both("mattr", "documents")
-def _(d):
-    """Mean type-token ratio over all windows of 50 words; shorter texts have the plain ratio."""
-    ratio = f"{d.size}({d.distinct}(w)) / cast({d.size}(w) as double)"
-    windows = d.map(d.seq("1", f"{d.size}(w) - 49"), "i", f"{d.size}({d.distinct}({d.part('w', 'i', '50')})) / cast(50 as double)")
-    return f"with w as ({words(d)}) select doc_id, {R(f'case when {d.size}(w) <= 50 then {ratio} else {d.total(windows)} / ({d.size}(w) - 49) end')} as mattr from w where {d.size}(w) > 0"
+MATTR_SQL = r"with w as (select doc_id, regexp_extract_all(lower(text), '[\pL]+') as w from documents where text is not null) select doc_id, case when len(w) <= 50 then len(list_distinct(w)) / cast(len(w) as double) else list_sum(list_transform(range(1, len(w) - 48), lambda i: len(list_distinct(list_slice(w, i, i + 49))) / 50.0)) / (len(w) - 49) end as mattr from w where len(w) > 0"
+
+
+@spelled("mattr", MATTR_SQL, "documents")
+def _():
+    """Mean type-token ratio over all windows of 50 words; shorter texts have the plain ratio.
+
+    A word counts in the windows that hold it and not its last occurrence before: the gaps to those give the sum over all
+    windows in one pass, no window is ever built.
+    """
+    return r"""with e as (select doc_id, n, i + 1 as i, w from (select doc_id, size(w) as n, posexplode(w) as (i, w) from (select doc_id, regexp_extract_all(lower(text), r'[\pL]+', 0) as w from {documents} where text is not null) x) y),
+g as (select doc_id, n, i, coalesce(lag(i) over (partition by doc_id, w order by i), 0) as before from e),
+c as (select doc_id, n, greatest(0, least(i, n - 49) - greatest(1, i - 49, before + 1) + 1) as held, case when before = 0 then 1 else 0 end as fresh from g)
+select doc_id, case when n <= 50 then sum(fresh) / cast(n as double) else sum(held) / (50D * (n - 49)) end as mattr from c group by doc_id, n"""
 
 
 @both("lexical_richness", "documents")
@@ -109,16 +117,16 @@ def _(d):
     return f"select doc_id, {R(f'least(1, ({a} + {b}) / 2)')} as opening, {R(c)} as closing from {d.t('documents')} where text is not null"
 
 
-@both("ngram_entropy", "documents")
-def _(d):
-    """Shannon entropy in bits of the bigrams and trigrams of words."""
+ENTROPY_SQL = r"with w as (select doc_id, regexp_extract_all(lower(text), '[\pL]+') as w from documents where text is not null), g as (select doc_id, 2 as n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w union all select doc_id, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w), c as (select doc_id, n, g, count(*) as c from g group by all), t as (select doc_id, n, sum(c) as t from c group by all) select c.doc_id, c.n, -sum(c.c / t.t * log2(c.c / t.t)) as bits from c join t using (doc_id, n) group by 1, 2"
 
-    def grams(n: int) -> str:
-        gram = " || ' ' || ".join(d.at("w", f"i + {k}") for k in range(n))
-        arr = d.map(d.seq("1", f"{d.size}(w) - {n - 1}"), "i", gram)
-        return f"select doc_id, {n} as n, {d.explode}({arr}) as g from w"
 
-    return f"with w as ({words(d)}), g as ({grams(2)} union all {grams(3)}), c as (select doc_id, n, g, count(*) as c from g group by 1, 2, 3), s as (select doc_id, n, c, cast(sum(c) over (partition by doc_id, n) as double) as t from c) select doc_id, n, {R('-sum(c / t * log2(c / t))')} as bits from s group by 1, 2"
+@spelled("ngram_entropy", ENTROPY_SQL, "documents")
+def _():
+    """Shannon entropy in bits of the bigrams and trigrams of words. What is shuffled are their 64-bit hashes, once."""
+    return r"""with w as (select doc_id, transform(regexp_extract_all(lower(text), r'[\pL]+', 0), x -> xxhash64(x)) as w from {documents} where text is not null),
+e as (select doc_id, explode(concat(case when size(w) > 1 then transform(sequence(1, size(w) - 1), i -> struct(2 as n, xxhash64(w[i - 1], w[i]) as h)) else array() end, case when size(w) > 2 then transform(sequence(1, size(w) - 2), i -> struct(3 as n, xxhash64(w[i - 1], w[i], w[i + 1]) as h)) else array() end)) as x from w),
+c as (select doc_id, x.n as n, x.h as h, cast(count(*) as double) as c from e group by 1, 2, 3)
+select doc_id, n, log2(sum(c)) - sum(c * log2(c)) / sum(c) as bits from c group by 1, 2"""
 
 
 @both("sentence_length_stats", "documents")

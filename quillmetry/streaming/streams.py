@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def sessions(events: DataFrame, entity: str, at: str, gap: str, late: str = "1 day") -> DataFrame:
@@ -26,3 +27,8 @@ def sliding_counts(events: DataFrame, entity: str, at: str, width: str = "7 days
     timed = timed.withWatermark("at", late) if events.isStreaming else timed
     out = timed.groupBy(entity, F.window("at", width, step).alias("w")).agg(F.count("*").alias("n"))
     return out.select(entity, F.col("w.start").alias("start_"), F.col("w.end").alias("end_"), "n")
+
+
+def limited_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 10) -> DataFrame:
+    """A folder of Parquet files as a stream that takes at most so many files at a time: a rate limit for what follows."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
