@@ -290,6 +290,72 @@ def corpus_hash(spark, sf_dir):
     return ranks.ordered_digest(rows.select("id", "content_hash").distinct(), "content_hash")
 
 
+@both("error_kinds_top50", "articles")
+def _(d):
+    key = d.sub("substr(coalesce(clean_text, ''), 1, 200)", "[0-9a-f]" * 6 + "+", "#")
+    return f"select kind, count(*) as n from (select distinct id, {key} as kind from {d.t('articles')} where coalesce(word_count, 0) < 12) x group by kind order by n desc, kind limit 50"
+
+
+@both("confusion_metrics", "articles")
+def _(d):
+    """Rates of a flag against a rule, 0 where a denominator is 0."""
+    r = lambda a, b: R(f"coalesce({d.div(a, b)}, 0)")
+    return f"with x as (select distinct id, is_duplicate as p, word_count < 250 as t from {d.t('articles')}), c as (select cast(count(case when p and t then 1 end) as double) as tp, cast(count(case when not p and t then 1 end) as double) as fn, cast(count(case when p and not t then 1 end) as double) as fp, cast(count(case when not p and not t then 1 end) as double) as tn from x) select {r('tp', 'tp + fn')} as sensitivity, {r('tn', 'tn + fp')} as specificity, {r('tp', 'tp + fp')} as precision_, {r('2 * tp', '2 * tp + fp + fn')} as f1 from c"
+
+
+@both("class_separation", "events")
+def _(d):
+    return f"select {R('m1')} as human, {R('m2')} as machine, {R('m2 - m1')} as gap, m2 - m1 >= 0.05 as separated from (select avg(case when event_type = 'click' then value end) as m1, avg(case when event_type = 'error' then value end) as m2 from {d.t('events')}) x"
+
+
+@both("cohort_summary", "customer")
+def _(d):
+    return f"select c_mktsegment, count(*) as n, cast(avg(c_acctbal) as double) as mean, max(c_acctbal) as top from {d.t('customer')} group by 1"
+
+
+@both("changes_per_month", "orders")
+def _(d):
+    return f"select {d.month('o_orderdate')} as month, count(*) as n from {d.t('orders')} where o_totalprice > 200000 group by 1"
+
+
+@both("zero_filled_categories", "orders")
+def _(d):
+    """Counts over a fixed list of categories."""
+    cats = " union all ".join(f"select '{c}' as p" for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"))
+    return f"select c.p as category, count(o.o_orderkey) as n from ({cats}) c left join {d.t('orders')} o on o.o_orderpriority = c.p group by 1"
+
+
+@both("feature_correlation", "events")
+def _(d):
+    return f"select event_type, {R('corr(value, cast(hour(ts) as double))')} as r, {R('corr(value, cast(event_id as double))')} as trend from {d.t('events')} group by 1"
+
+
+@query("survey_ranking", "select c_custkey, row_number() over (order by coalesce(c_acctbal, -1) desc, c_name) as rank_ from customer")
+def survey_ranking(spark, sf_dir):
+    """Rank by score, missing ones last, ties by name; places by ranges."""
+    c = table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal", "c_name"]).withColumn("score", -F.coalesce("c_acctbal", F.lit(-1.0)))
+    return ranks.ranked(c, ["score", "c_name"], rank="rank_", total="_n").select("c_custkey", "rank_")
+
+
+@both("most_prolific", "articles")
+def _(d):
+    """Author of the most articles per outlet host."""
+    host = d.group("coalesce(url, '')", r"^https?://([^/]+)/", 1)
+    return f"with c as (select {host} as host, author_id, count(distinct id) as n from {d.t('articles')} group by 1, 2), r as (select host, author_id, n, row_number() over (partition by host order by n desc, author_id) as r from c) select host, author_id, n from r where r = 1"
+
+
+@both("primary_vs_adjusted", "orders")
+def _(d):
+    """Two counts per entity and whether the second falls below half of the first."""
+    return f"select o_custkey, count(*) as primary_, count(case when o_orderstatus = 'F' then 1 end) as adjusted, count(case when o_orderstatus = 'F' then 1 end) < count(*) / 2.0 as downgrade from {d.t('orders')} group by 1"
+
+
+@both("adjusted_or_raw", "orders")
+def _(d):
+    """Adjusted rows of an entity, or its raw ones where it has no adjusted row."""
+    return f"with x as (select o_custkey, o_orderkey, o_orderstatus = 'P' as adjusted, max(case when o_orderstatus = 'P' then 1 else 0 end) over (partition by o_custkey) as any_ from {d.t('orders')}) select o_custkey, o_orderkey from x where (any_ = 1 and adjusted) or (any_ = 0 and not adjusted)"
+
+
 # ---- windows ----
 
 
