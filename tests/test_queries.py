@@ -42,7 +42,7 @@ def plain(x):
 
 def order_of(row: tuple) -> tuple:
     """Exact values first, so that the last digits of floats can't change the order of rows."""
-    whole = [int(x) if isinstance(x, float) and x.is_integer() else x for x in row]  # a column of integers with nulls comes as floats
+    whole = [round(x) if isinstance(x, float) and abs(x) < 1e15 and abs(x - round(x)) < 1e-9 else x for x in row]  # a column of integers with nulls comes as floats
     return tuple(repr(x) for x in whole if not isinstance(x, float)), tuple(f"{x:.5g}" for x in whole if isinstance(x, float))
 
 
