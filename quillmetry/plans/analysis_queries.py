@@ -223,7 +223,7 @@ def recent_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.count("*").over(w).alias("peers"), F.coalesce(F.sum("doc_id").over(w), F.lit(0)).alias("id_sum"))
 
 
-@query("halves_drop", "with m as (select o_custkey as k, date_trunc('month', o_orderdate) as month, avg(o_totalprice) as v from orders group by 1, 2), r as (select *, row_number() over (partition by k order by month) as i, count(*) over (partition by k) as n from m), h as (select k, any_value(n) as n, avg(v) filter (where i <= n // 2) as a, avg(v) filter (where i > n // 2) as b from r group by 1) select k, case when n < 2 then 0.0 when a > 1e-9 and b < a * 0.92 then 1.0 when a > 1e-9 and b < a then 0.5 else 0.0 end as score from h")
+@query("halves_drop", "with m as (select o_custkey as k, date_trunc('month', o_orderdate) as month, avg(o_totalprice) as v from orders group by 1, 2), r as (select *, row_number() over (partition by k order by month) as i, count(*) over (partition by k) as n from m), h as (select k, any_value(n) as n, avg(v) filter (where i <= n // 2) as a, avg(v) filter (where i > n // 2) as b from r group by 1) select k, cast(case when n < 2 then 0 when a > 1e-9 and b < a * 0.92 then 1 when a > 1e-9 and b < a then 0.5 else 0 end as double) as score from h")
 def halves_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each entity's monthly means fall from the first half to the second: 1, 0.5 or 0."""
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.date_trunc("MONTH", "o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("v"))
@@ -250,6 +250,24 @@ def calibration_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.metrics(an.calibration(series))
 
 
+@query("changepoint_stage")
+def changepoint_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage of changes alone: values imputed, changes, those that pass the gate of evidence, and windows by supplier."""
+    long = _long(spark, sf_dir)
+    bad = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    imputed = long.groupBy("entity").agg(F.count_if(bad).alias("imputed"))
+    found = written(an.changes(long), "changes")
+    passed = cp.evidence_gate(found.filter("method = 'pelt'"), "pelt").unionByName(cp.evidence_gate(found.filter("method <> 'pelt'"), "bocpd"))
+    family = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
+    points = passed.select("entity", F.col("ts").cast("date").alias("day"), "feature", family[F.col("feature")].alias("family"), "d", F.col("confidence").alias("strength"))
+    none = {k: v.limit(0) for k, v in signals(spark, sf_dir).items() if k not in ("points", "axes")}
+    windows = cv.convergence(points=points, axes=signals(spark, sf_dir)["axes"], **none).filter("admitted")
+    out = imputed
+    for name, rows in (("changes", found), ("passed", passed), ("windows", windows)):
+        out = out.join(rows.groupBy("entity").agg(F.count("*").alias(name)), "entity", "left")
+    return out.na.fill(0)
+
+
 @query("entity_analysis")
 def entity_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages for all suppliers at once: changes, tests, gates, windows; one row each, ranked by what was found.

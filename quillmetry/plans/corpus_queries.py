@@ -104,6 +104,15 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "authors", ["slug"]).withColumn("stable_id", docs.stable_id(uuid.NAMESPACE_URL, F.col("slug")))
 
 
+@query("hashed_embeddings")
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the documents' texts by the hook for models, here with hashed words, and their lengths."""
+    from quillmetry.operators import embeddings as em
+
+    out = em.hashed(table(spark, sf_dir, "documents", ["doc_id", "text"]), "text")
+    return out.select("doc_id", F.size("embedding").alias("dim"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x).alias("square"))
+
+
 @query("page_bodies")
 def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The story of each page by precedence of containers, by its lines, length and hash."""

@@ -174,6 +174,23 @@ def verify_lock(path: str | Path, thresholds: dict) -> list[str]:
     return out + sorted(k for k in {*then, *thresholds} if json.dumps(then.get(k), sort_keys=True) != json.dumps(thresholds.get(k), sort_keys=True))
 
 
+def promote(spark: SparkSession, made: str, final: str) -> None:
+    """Put a finished folder in place of the old one, whole or not at all: a folder without its success mark is an error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, old = hadoop.Path(made), hadoop.Path(final)
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop.Path(f"{made}/_SUCCESS")):
+        raise ValueError(f"not finished: {made}")
+    aside = hadoop.Path(f"{final}.old")
+    fs.delete(aside, True)
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"in use: {final}")
+    if not fs.rename(new, old):
+        fs.rename(aside, old)
+        raise OSError(f"not moved: {made}")
+    fs.delete(aside, True)
+
+
 def flatten_results(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
     """One row per JSON result: the file's name, its entity and each part as JSON text again. Broken files give no row."""
     raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value"))

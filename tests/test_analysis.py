@@ -16,8 +16,10 @@ from quillmetry.operators import analysis as an
 from quillmetry.operators import changepoints as cp
 from quillmetry.operators import documents as docs
 from quillmetry.operators import drift, ranks
+from quillmetry.operators import embeddings as em
 from quillmetry.operators import fingerprints as fp
 from quillmetry.sources import artifacts as art
+from quillmetry.streaming import streams
 from quillmetry.streaming.changepoints import Online, online_breaks
 
 # ---- ranks and corrections ----
@@ -358,3 +360,33 @@ def test_written_tables_are_released_and_broadcasts_checked(spark):
     plan = lambda d: d._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(runtime.broadcast_if_small(spark.range(5), 5)).lower()
     assert "broadcast" not in plan(runtime.broadcast_if_small(spark.range(5), 10_000_000)).lower()
+
+
+def test_embeddings_of_texts(spark):
+    df = spark.createDataFrame([(1, "One two two"), (2, None), (3, "1 2 3"), (4, "x " * 5000)], "id int, t string")
+    got = {r.id: r.embedding for r in em.hashed(df, "t", 8).collect()}
+    assert got[2] is None and got[3] == [0.0] * 8 and all(sum(x * x for x in got[k]) == pytest.approx(1) for k in (1, 4))
+    assert em.hashed(df.limit(0), "t", 8).count() == 0
+    with pytest.raises(Exception, match="the model gave"):
+        em.embed(df, "t", lambda: em.hashing_model(4), 8).collect()
+
+
+def test_promotion_is_whole(spark, tmp_path):
+    for k in (1, 2):
+        spark.range(k).write.parquet(f"file://{tmp_path}/made{k}")
+        art.promote(spark, f"file://{tmp_path}/made{k}", f"file://{tmp_path}/final")
+        assert spark.read.parquet(f"file://{tmp_path}/final").count() == k
+    (tmp_path / "half").mkdir()
+    with pytest.raises(ValueError):
+        art.promote(spark, f"file://{tmp_path}/half", f"file://{tmp_path}/final")
+    assert spark.read.parquet(f"file://{tmp_path}/final").count() == 2
+
+
+def test_limited_stream_and_replayed_rows(spark, tmp_path):
+    for k in range(3):
+        pd.DataFrame({"id": [f"a{k}", "a0"], "at": pd.to_datetime(["2024-01-01", "2024-01-01"])}).to_parquet(tmp_path / f"{k}.parquet", coerce_timestamps="us")
+    stream = streams.limited_stream(spark, str(tmp_path), "id string, at timestamp_ntz", 1)
+    q = streams.first_seen(stream, "id", "at").writeStream.format("memory").queryName("seen_once").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.id for r in spark.sql("select id from seen_once").collect()) == ["a0", "a1", "a2"]
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == 3  # one file at a time

@@ -14,7 +14,7 @@ import pytest
 
 from quillmetry.plans import load
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("QUERY_TEST_DATA", "/root/testdata/sf0.001")
 catalog = load()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
