@@ -233,8 +233,9 @@ def halves_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("drift_cached", ORACLE.get("drift_summary"))
 def drift_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drift summary under the hash of its configuration: made and stored the first time, loaded the second."""
-    config = art.config_hash({"of": "drift_summary", "data": sf_dir})
+    """The drift summary under the hash of its configuration and data: made and stored the first time, loaded the second."""
+    data = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("vec_id", "label", "embedding")).alias("x")).first()
+    config = art.config_hash({"of": "drift_summary", "data": [data.n, data.x]})
     folder = f"{shared_folder(spark)}/drift-{config}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(folder + "/_SUCCESS")
     if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):

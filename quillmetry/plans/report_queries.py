@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sqlite3
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from quillmetry.operators import ranks
 from quillmetry.plans.analysis_queries import _long
 from quillmetry.plans.catalog import query
 from quillmetry.plans.dialect import spelled
-from quillmetry.runtime import shared_folder
+from quillmetry.runtime import mounted, shared_folder
 from quillmetry.sources import artifacts as art
 from quillmetry.sources import files
 from quillmetry.sources.tables import table
@@ -76,10 +77,8 @@ def stl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sqlite_authors", "select id, slug, outlet from authors")
 def sqlite_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of authors in a single file, made if it isn't there, read in ranges of its rows."""
-    folder = shared_folder(spark).removeprefix("file://")
-    if not os.path.isdir(folder):
-        raise RuntimeError("a store in a single file needs a mounted shared folder")
-    path = os.path.join(folder, f"store-{os.getpid()}-{abs(hash(sf_dir))}.sqlite")
+    path = os.path.join(mounted(shared_folder(spark)), f"store-{os.getpid()}-{zlib.crc32(sf_dir.encode())}.sqlite")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     rows = [tuple(r) for r in table(spark, sf_dir, "authors", ["id", "slug", "outlet"]).toLocalIterator()]
     with sqlite3.connect(path, timeout=5) as con:
         con.execute("pragma journal_mode = wal")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmetry.operators import fingerprints as fp
 from quillmetry.operators import ranks
 from quillmetry.plans.catalog import query
-from quillmetry.runtime import shared_folder, written
+from quillmetry.runtime import mounted, written
 from quillmetry.sources import artifacts as art
 from quillmetry.sources import files
 from quillmetry.sources.tables import table
@@ -144,9 +144,7 @@ def author_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flattened_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON file per entity as one table, parts as JSON text; a broken file is skipped."""
     e = table(spark, sf_dir, "events", ["user_id", "event_id"]).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("top"))
-    folder = Path(files._path(spark, "results").removeprefix("file://"))
-    if "://" in str(folder) or not shared_folder(spark).startswith(("file:", "/")):
-        raise RuntimeError("single JSON results need a mounted shared folder")
+    folder = Path(mounted(files._path(spark, "results")))
     folder.mkdir(parents=True)
 
     def write(rows) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def mounted(folder: str) -> str:
+    """The path of a shared folder that is mounted as a file system; any other one is an error."""
+    path = re.sub(r"^file:(?://)?", "", folder)
+    if not path.startswith("/"):
+        raise RuntimeError(f"single files need a mounted shared folder, not {folder}")
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
