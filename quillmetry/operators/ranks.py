@@ -38,14 +38,14 @@ def ranked(df: DataFrame, order: list, groups: list[str] | None = None, rank: st
 def benjamini_hochberg(df: DataFrame, p: str, key: str, groups: list[str] | None = None, q: str = "q") -> DataFrame:
     """Add q: the smallest p * n / rank from the row's rank on, 1 at most, within the groups."""
     groups = groups or []
-    tested = ranked(df.filter(F.col(p).isNotNull()), [p, key], groups).withColumn("_x", F.col(p) * F.col("n") / F.col("rk"))
+    tested = ranked(df.filter(F.col(p).isNotNull()), [p, key], groups, "_rk", "_total").withColumn("_x", F.col(p) * F.col("_total") / F.col("_rk"))
     lows = tested.groupBy(*groups, "_range").agg(F.min("_x").alias("_low"))
     after = Window.partitionBy(*groups, F.lit(0)).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     lows = lows.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_range").alias("_r"), F.min("_low").over(after).alias("_later"))
     same = F.col("_range") == F.col("_r")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    own = F.min("_x").over(Window.partitionBy(*groups, "_range").orderBy(F.desc("rk")))
+    own = F.min("_x").over(Window.partitionBy(*groups, "_range").orderBy(F.desc("_rk")))
     out = tested.withColumn("_own", own).join(lows, same).withColumn(q, F.least(F.lit(1.0), F.col("_own"), F.col("_later")))
     out = out.select(*df.columns, q)
     return out.unionByName(df.filter(F.col(p).isNull()).withColumn(q, F.lit(None).cast("double")))

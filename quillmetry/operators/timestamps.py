@@ -190,15 +190,15 @@ def normalise_timestamps(values: DataFrame, value: str, source: str, tz: str, or
     sources are a dimension: their mixture has a row per source, so it is joined by hash with no broadcast hint.
     """
     several = F.col(value).rlike(r"/|^\s*\d{10,16}\s*$|(?i)\b(?:" + "|".join(MEANINGS) + r")\b")
-    weights = format_mixture(readings(values.filter(several), value, tz, order), source)
+    weights = format_mixture(readings(values.filter(several), value, tz, order), source).withColumnRenamed("weights", "_weights")
     joined = readings(values, value, tz, order).join(weights, F.col(source).cast("string").eqNullSafe(F.col("_source")), "left")
-    scored = F.transform("_r", lambda r: F.struct((r["doc"] * F.coalesce(F.try_element_at(F.col("weights"), r["name"]), F.lit(1e-9))).alias("p"), r["name"].alias("name"), r["us"].alias("us")))
+    scored = F.transform("_r", lambda r: F.struct((r["doc"] * F.coalesce(F.try_element_at(F.col("_weights"), r["name"]), F.lit(1e-9))).alias("p"), r["name"].alias("name"), r["us"].alias("us")))
     best = F.aggregate("_s", F.element_at("_s", 1), lambda a, r: F.when(r["p"] > a["p"], r).otherwise(a))
     mass = lambda at: F.aggregate("_s", F.lit(0.0), lambda a, r: a + F.when(F.lit(at is None) | (r["us"] == at if at is not None else F.lit(True)), r["p"]).otherwise(0.0))
     out = joined.withColumn("_s", scored).withColumn("_b", F.when(F.size("_s") == 1, F.element_at("_s", 1)).when(F.size("_s") > 1, best))
     posterior = F.when(F.size("_s") == 1, F.lit(1.0)).when(F.size("_s") > 1, mass(F.col("_b.us")) / mass(None))
     out = out.withColumns({"instant_us": F.col("_b.us"), "format": F.col("_b.name"), "posterior": posterior})
-    return out.withColumn("ambiguous", F.col("instant_us").isNotNull() & (F.col("posterior") < certain)).drop("_r", "_s", "_b", "weights", "_source")
+    return out.withColumn("ambiguous", F.col("instant_us").isNotNull() & (F.col("posterior") < certain)).drop("_r", "_s", "_b", "_weights", "_source")
 
 
 FIELDS = ["published_date", "modified_date", "scraped_at"]

@@ -48,6 +48,8 @@ def test_corrections_equal_brute_force(spark):
         assert [got[i] for i, _ in mine] == pytest.approx(brute_bh([p for _, p in mine]))
     assert got[1001] == pytest.approx(0.03)
     assert special.bh([p for _, _, p in rows]) == pytest.approx(brute_bh([p for _, _, p in rows]))
+    clash = ranks.benjamini_hochberg(df.withColumn("n", F.lit(5)).withColumn("rk", F.lit("x")), "p", "id").collect()
+    assert all(r.n == 5 and r.rk == "x" for r in clash) and len(clash) == 402
     empty = df.limit(0)
     assert ranks.benjamini_hochberg(empty, "p", "id").count() == 0 and ranks.bonferroni(empty, "p").count() == 0
 

@@ -98,6 +98,7 @@ def test_em_finds_the_maximum_of_the_likelihood():
 
 
 def test_empty_and_clashing_columns(spark):
-    df = spark.createDataFrame([("1295092214", "s", "UTC", "MDY", 7)], "value string, source string, tz string, ord string, extra int")
-    assert ts.normalise_timestamps(df, "value", "source", "tz", "ord").first().extra == 7
+    df = spark.createDataFrame([("1295092214", "s", "UTC", "MDY", 7, "w", 3)], "value string, source string, tz string, ord string, extra int, weights string, n int")
+    row = ts.normalise_timestamps(df, "value", "source", "tz", "ord").first()
+    assert (row.extra, row.weights, row.n, row.instant_us) == (7, "w", 3, 1295092214_000_000)
     assert ts.normalise_timestamps(df.filter(F.lit(False)), "value", "source", "tz", "ord").count() == 0
