@@ -150,6 +150,52 @@ def test_lost_pages_follow_the_others():
     assert len(got ^ want) <= 0.05 * len(want)
 
 
+def test_rows_do_not_hang_on_shards(spark, monkeypatch):
+    """Counts, roles and votes are those of the host: an author's note on few pages, lost pages and all, in shards of 5 pages."""
+    made = pages_with_furniture(60, np.random.default_rng(7))
+    rows, pages = [], []
+    for i, (page, text, _) in enumerate(made):
+        if i % 12 == 0:
+            note = "Ann Example covers the harbour and the town hall for this paper and lives by the sea"
+            page, text = [*page, ("div.story", note)], f"{text}\n{note}"
+        rows.append((f"id{i}", "https://x.example/a/", f"raw/2011/{i}.html", text))
+        pages.append(None if i % 6 == 5 else "\x1e".join(f"{c}\x1f{t}" for c, t in page))
+    monkeypatch.setattr(bp, "parsed_pages", lambda pages: pages)
+    monkeypatch.setattr(bp, "SHARD_PAGES", 5)
+    df = spark.createDataFrame(rows, "id string, url string, raw_html_path string, clean_text string")
+    parsed = spark.createDataFrame([(r[2], p) for r, p in zip(rows, pages) if p], "page_path string, page string")
+    got = [(r.id, r.line_no) for r in bp.boilerplate_lines(df, parsed).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(bp.shard_lines([r[0] for r in rows], [r[3] for r in rows], pages))
+
+
+def test_votes_of_the_host_decide_as_one_shard(spark):
+    """_decided in SQL is _Judge.furniture."""
+    rng = np.random.default_rng(5)
+    asked = []
+    for _ in range(300):
+        judge, zone, text = bp._Judge({"by"}), str(rng.choice(list("htmi"))), str(rng.choice(["Topics: roads", "by Ann Example", "A sentence that ends.", "word " * 15, "- an entry", "odd one out"]))
+        votes = [tuple(int(x) for x in rng.integers(0, 4, 2)) for _ in range(4)]
+        votes = [v if rng.random() < 0.5 else (0, 0) for v in votes]
+        for table, key, v in zip(judge.votes, judge.keys(text, zone), votes):
+            table[key] = list(v)
+        if not judge.keys(text, zone)[3]:
+            votes[3] = (0, 0)
+        hit = bool(rng.random() < 0.3)
+        form, mask, shape, head = votes
+        asked.append((form, head, mask, shape, hit, len(text.split()) >= bp.LONG_LINE, judge.edge(text, zone), judge.furniture(text, zone, hit)))
+    pair = "struct<body:bigint,bad:bigint>"
+    df = spark.createDataFrame(asked, f"form {pair}, head {pair}, mask {pair}, shape {pair}, covered boolean, long boolean, edge boolean, want boolean")
+    assert df.filter(~bp._decided().eqNullSafe(df.want)).count() == 0 and 0 < df.filter("want").count() < 300
+
+
+def test_lines_that_stand_twice_in_a_page_are_counted_by_pages():
+    own = iter(range(10**6))
+    docs = [[x for k in range(40) for x in (f"notice {'k' * k} ends", f"own {'x' * next(own)}", f"notice {'k' * k} ends", f"own {'x' * next(own)}")] for _ in range(3)]
+    covered, _ = bp.covered_lines(docs)
+    assert all(c.tolist() == [True, False] * 80 for c in covered)
+    assert not any(c.any() for c in bp.covered_lines(docs[:2])[0])
+
+
 def test_suffix_array_and_fm_index():
     rng = np.random.default_rng(0)
     text = np.r_[rng.integers(1, 5, 300), 0, rng.integers(1, 5, 200), 0]
