@@ -45,6 +45,8 @@ from quillmetry.llm.fmindex import suffix_array
 from quillmetry.runtime import broadcast_if_small, rows_of, written
 
 SHARD_PAGES = 1000
+#: Bytes of lines that are cut into words at once.
+CHUNK_CHARS = 250_000
 #: A substring is boilerplate from so many tokens (line marks count) in so many distinct pages on.
 LEAST_TOKENS, LEAST_PAGES = 3, 3
 #: A container holds furniture from this share of covered lines on, if its unique runs have fewer words a page than LONG_RUN:
@@ -110,14 +112,15 @@ def page_lines(source: str) -> list[tuple[str, str]]:
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """page_path and its lines as container, unit separator, text, joined by record separators."""
+    return pages.filter("page_path is not null and html is not null").select("page_path", "html").mapInArrow(_parsed, "page_path string, page string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in tk.chunks(whole, "html"):
             lines = ["\x1e".join(f"{c}\x1f{t}" for c, t in page_lines(h)) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_path"), pa.array(lines, pa.string())], names=["page_path", "page"])
 
-    return pages.filter("page_path is not null and html is not null").select("page_path", "html").mapInArrow(run, "page_path string, page string")
-
 
 def key_of(line: str) -> str:
     """Letters and digits only: what layout, case and white space can't change."""
@@ -128,6 +131,17 @@ def form_of(line: str) -> str:
     return _DIGITS.sub("#", " ".join(line.lower().split()))
 
 
+def _tokens(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of each word of the lines, by chunks: arrays over characters take most memory, so none is over a whole shard."""
+    rows, hashes, at = [], [], 0
+    for part in tk.chunks(pa.RecordBatch.from_arrays([pa.array(forms, pa.string())], names=["form"]), "form", CHUNK_CHARS):
+        words = tk.words_of(part.column("form"))
+        rows.append(words.row + at)
+        hashes.append(words.hash)
+        at += part.num_rows
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def line_keys(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of each line of the documents (lists of lines), the distinct keys, and in how many documents each stands.
 
@@ -140,9 +154,9 @@ def line_keys(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     n_lines = len(forms)
     if n_lines == 0:
         return np.zeros((0, 3), np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words = tk.words_of(pa.array(forms, pa.string()))
-    symbols, code = np.unique(words.hash, return_inverse=True)
-    in_line = np.bincount(words.row, minlength=n_lines)
+    row, token = _tokens(forms)
+    symbols, code = np.unique(token, return_inverse=True)
+    in_line = np.bincount(row, minlength=n_lines)
     doc_of_line = np.repeat(np.arange(len(streams)), per_doc)
     # line marks stand before every line and after a document's last one, then an end that is unique, so no repeat crosses it
     gap = np.r_[doc_of_line[1:] != doc_of_line[:-1], True]
@@ -150,12 +164,12 @@ def line_keys(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     start = np.r_[0, np.cumsum(size)[:-1]]
     t = np.zeros(int(size.sum()), np.int64)
     first = np.r_[0, np.cumsum(in_line)[:-1]]
-    place = start[words.row] + 1 + np.arange(len(code)) - first[words.row]
+    place = start[row] + 1 + np.arange(len(code)) - first[row]
     t[place] = code + 1
     ends = (start + size)[gap] - 1
     t[ends] = len(symbols) + 1 + np.arange(len(ends))
     value = np.full(len(t), _MARK, np.uint64)
-    value[place] = words.hash
+    value[place] = token
     # the substrings: of which line, as which key, from where, how long
     bare = np.flatnonzero(in_line == 0)
     before = bare[(start[bare] > 0) & (t[start[bare] - 1] <= len(symbols))]
@@ -167,7 +181,7 @@ def line_keys(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     need = np.r_[in_line[full] + 2, np.full(len(before) + len(after), LEAST_TOKENS)]
     keys = np.zeros((n_lines, 3), np.uint64)
     keys[line, slot] = tk.span_hashes(tk.prefix_hashes(value), at, at + need)
-    keys[full, 2] = tk.mix(words.hash[first[full]] ^ _MARK)
+    keys[full, 2] = tk.mix(token[first[full]] ^ _MARK)
     depth = int(in_line.max()) + 2
     order = suffix_array(t, depth)
     common = _common_prefixes(t, order, depth)

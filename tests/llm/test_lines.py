@@ -6,6 +6,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmetry.llm import boilerplate as bp
@@ -196,6 +197,21 @@ def test_lines_that_stand_twice_in_a_page_are_counted_by_pages():
     assert not any(c.any() for c in bp.covered_lines(docs[:2])[0])
 
 
+def test_memory_goes_by_chunks(monkeypatch):
+    """Neither the words of a shard nor the pages of a batch are held as arrays or lists at once; chunks change no result."""
+    docs = [[f"line {'k' * k} of page {'i' * i} " + "word " * 40, "the same foot"] for i in range(40) for k in range(50)]
+    want, sizes, real = bp.covered_lines(docs), [], bp.tk.words_of
+    monkeypatch.setattr(bp.tk, "words_of", lambda x: (sizes.append(sum(map(len, x.to_pylist()))), real(x))[1])
+    got = bp.covered_lines(docs)
+    assert sum(sizes) > 400_000 and max(sizes) <= 250_000
+    assert all((a == b).all() for x, y in zip(got, want) for a, b in zip(x, y)) and all(c.tolist() == [False, True] for c in got[0])
+    html = [f"<div class='story'><p>page {i}</p><p>{'word ' * 20000}</p></div>" for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"page_path": [str(i) for i in range(60)], "html": html})
+    parts = list(bp._parsed(iter([batch])))
+    assert max(p.nbytes for p in parts) < 1_200_000 and [x for p in parts for x in p.column("page_path").to_pylist()] == [str(i) for i in range(60)]
+    assert parts[0].column("page").to_pylist()[0].startswith("div.story\x1fpage 0\x1ediv.story\x1fword")
+
+
 def test_suffix_array_and_fm_index():
     rng = np.random.default_rng(0)
     text = np.r_[rng.integers(1, 5, 300), 0, rng.integers(1, 5, 200), 0]
