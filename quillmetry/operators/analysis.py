@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -90,26 +91,58 @@ def _ordered(g: pd.DataFrame) -> pd.DataFrame:
     return g.assign(tie=g["tie"].map(lambda t: tuple(t.values()) if isinstance(t, dict) else t)).sort_values(["ts", "tie"])
 
 
-CHANGES = "entity bigint, feature string, method string, at int, ts timestamp, d double, direction string, confidence double"
+#: Time of a value without one, after all others.
+_NEVER = 2**63 - 1
+
+
+def series_rows(long: DataFrame) -> DataFrame:
+    """entity, feature, ts (microseconds), value: a row per series, its values in the order of ts and tie."""
+    item = F.struct(F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(_NEVER)).alias("ts"), "tie", "value")
+    rows = long.groupBy("entity", "feature").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    return rows.select("entity", "feature", F.col("s.ts").alias("ts"), F.col("s.value").alias("value"))
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a column of lists."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _named(batch: pa.RecordBatch, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of rows that begin with the place of their series in the batch; it becomes entity and feature."""
+    at, *columns = zip(*rows) if rows else [[] for _ in schema.names[1:]]
+    own = batch.select(["entity", "feature"]).take(pa.array(at, "int64"))
+    return pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:]))], names=schema.names)
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+CHANGES = "entity bigint, feature string, method string, at int, ts bigint, d double, direction string, confidence double"
 
 
 def changes(long: DataFrame, methods: tuple[str, ...] = ("pelt", "bocpd"), penalty: float = 3.0, suffix: str = "", expected: float = 3.0) -> DataFrame:
     """Breaks of every feature of every entity by every method. The hazard is `expected` breaks by the length of the series."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = _ordered(g)
-        x = cp.finite(g["value"].to_numpy(float))
-        rows: list[tuple] = []
-        if len(x) >= 10 and x.std() >= 1e-9:
+    def run(batches):
+        for batch in batches:
+            times = _lists(batch.column("ts"))
+            xs = [cp.finite(x) for x in _lists(batch.column("value"))]
+            live = [i for i, x in enumerate(xs) if len(x) >= 10 and x.std() >= 1e-9]
+            rows: list[tuple] = []
             for m in methods:
-                found = [(b, None) for b in cp.pelt(x, penalty * float(x.std()))] if m == "pelt" else cp.bocpd(x, min(0.5, expected / len(x)))
-                rows += [(m + suffix, at, g["ts"].iloc[at], d, way, p) for at, d, way, p in cp.break_rows(x, found)]
-        out = pd.DataFrame(rows, columns=["method", "at", "ts", "d", "direction", "confidence"])
-        out.insert(0, "feature", g["feature"].iloc[0])
-        out.insert(0, "entity", g["entity"].iloc[0])
-        return out.astype({"at": "int32"}) if len(out) else out
-
-    return long.select("entity", "feature", F.col("ts").cast("timestamp").alias("ts"), "tie", "value").groupBy("entity", "feature").applyInPandas(run, CHANGES)
+                if m == "pelt":
+                    found = [[(b, None) for b in cp.pelt(xs[i], penalty * float(xs[i].std()))] for i in live]
+                else:
+                    found = cp.bocpd_many([xs[i] for i in live], [min(0.5, expected / len(xs[i])) for i in live])
+                for i, breaks in zip(live, found):
+                    rows += [(i, m + suffix, at, int(times[i][at]), d, way, p) for at, d, way, p in cp.break_rows(xs[i], breaks)]
+            yield _named(batch, rows, _schema(CHANGES))
+
+    out = series_rows(long.select(F.col("entity").cast("long"), "feature", "ts", "tie", F.col("value").cast("double"))).mapInArrow(run, CHANGES)
+    return out.withColumn("ts", F.when(F.col("ts") < _NEVER, F.timestamp_micros("ts")))
 
 
 TESTS = "entity bigint, feature string, method string, at int, test string, statistic double, p double, d double, ci_lo double, ci_hi double, skipped string, degenerate boolean"

@@ -63,17 +63,17 @@ def pelt(x: np.ndarray, penalty: float, min_size: int = 5, jump: int = 5, cost:
         return np.array([np.abs(x[a:end] - np.median(x[a:end])).sum() for a in starts])
 
     ends = [e for e in range(0, n, jump) if e >= min_size] + [n]
-    best, prev = {0: 0.0}, {}
-    open_ = [0]
+    best, prev = np.zeros(n + 1), {}
+    open_ = np.zeros(1, int)  # in ascending order
     for e in ends:
-        able = np.array([a for a in open_ if e - a >= min_size and a in best])
-        if not len(able):
+        m = int(np.searchsorted(open_, e - min_size, "right"))
+        if not m:
             continue
-        total = np.array([best[a] for a in able]) + costs(able, e) + penalty
+        able, later = open_[:m], open_[m:]
+        total = best[able] + costs(able, e) + penalty
         k = int(total.argmin())
-        best[e], prev[e] = float(total[k]), int(able[k])
-        keep = {int(a) for a, v in zip(able, total) if v <= best[e] + penalty}
-        open_ = [a for a in open_ if a in keep or e - a < min_size] + [e]
+        best[e], prev[e] = total[k], int(able[k])
+        open_ = np.concatenate([able[total <= best[e] + penalty], later, [e]])
     out, at = [], n
     while at in prev and prev[at] > 0:
         at = prev[at]
@@ -177,6 +177,72 @@ def bocpd(x: np.ndarray, hazard: float = 1 / 250, drop: float = 0.5, min_run: in
     return merged(told, merge) if read_out == "reset" else told
 
 
+def _alarms(xs: list[np.ndarray], hazard: np.ndarray, drop: float, min_run: int, cooldown: int) -> list[list[tuple[int, float]]]:
+    """The alarms of several series, the longest first, under RunLengths' student posterior: a row of a matrix is a series.
+
+    The predictive densities of a run's values multiply to the density of the whole run, which its sums give: the weight of
+    the run of k values is, but for what all runs share, lgamma(1 + k / 2) - (1 + k / 2) log(beta) - log(1 + k) / 2. So a
+    step takes one logarithm of each run. Runs stand by length, shortest first; sums are stored from the end.
+    """
+    m, n = len(xs), len(xs[0])
+    size = np.array([len(x) for x in xs])
+    spread, sigma2 = np.array([x[:10].var() for x in xs]), np.maximum([x[:80].var() for x in xs], 1e-12)
+    beta0 = 0.5 * np.where(spread >= 1e-12, spread, sigma2)[:, None]
+    y, s1, s2, start = np.zeros((m, n)), np.zeros((m, n + 1)), np.zeros((m, n + 1)), np.zeros((m, n))
+    for i, x in enumerate(xs):
+        y[i, : len(x)] = x - x[:10].mean()
+    s1[:, :n], s2[:, :n] = np.cumsum(y, 1)[:, ::-1], np.cumsum(0.5 * y * y, 1)[:, ::-1]
+    k = np.arange(1, n + 1, dtype=float)
+    alpha, half = 1 + k / 2, 0.5 / (k + 1)
+    grow, new = np.log1p(-hazard), np.log(hazard)
+    shape = np.array([math.lgamma(a) for a in alpha]) - 0.5 * np.log1p(k) + (k - 1) * grow[:, None]
+    first = shape[:, :1] - 1.5 * np.log(beta0 + 0.25 * y * y)  # a run of one value
+    start[:, n - 1] = -first[:, 0]
+    before, last, told = np.zeros(m, int), np.full(m, -(10**9)), [[] for _ in xs]
+    room, more = np.empty((2, m, n))
+    for t in range(1, n):
+        r = int(np.searchsorted(-size, -t, "left"))  # series of more than t values
+        u, v = room[:r, :t], more[:r, :t]
+        np.subtract(s1[:r, n - 1 - t, None], s1[:r, n - t + 1 :], out=u)
+        np.multiply(u, u, out=u)
+        np.multiply(u, half[1 : t + 1], out=u)
+        np.subtract(s2[:r, n - 1 - t, None], s2[:r, n - t + 1 :], out=v)
+        np.subtract(v, u, out=v)
+        np.maximum(v, 0, out=v)
+        np.add(v, beta0[:r], out=v)
+        np.log(v, out=v)
+        np.multiply(v, alpha[1 : t + 1], out=v)
+        np.subtract(shape[:r, 1 : t + 1], v, out=u)
+        np.add(u, start[:r, n - t :], out=u)
+        at = u.argmax(1)
+        top = u[np.arange(r), at]
+        np.subtract(u, top[:, None], out=u)
+        np.exp(u, out=u)
+        level = top + np.log(u.sum(1)) - grow[:r]
+        start[:r, n - 1 - t] = new[:r] + level - first[:r, t]
+        grown = top - level > new[:r]
+        now = np.where(grown, at + 1, 0)
+        for i in np.flatnonzero((before[:r] >= min_run) & (now < drop * before[:r]) & (t - last[:r] >= cooldown)):
+            last[i] = t
+            told[i].append((t, float(np.exp(top[i] - level[i] if grown[i] else new[i]))))
+        before[:r] = now
+    return told
+
+
+def bocpd_many(xs: list[np.ndarray], hazards: list[float], drop: float = 0.5, min_run: int = 5, cooldown: int = 3, merge: int = 2, cells: int = 1 << 14) -> list[list[tuple[int, float]]]:
+    """bocpd() of many series, several at a time: as many of like length as fill `cells` of a matrix."""
+    out: list[list[tuple[int, float]]] = [[] for _ in xs]
+    order = sorted((i for i, x in enumerate(xs) if len(x) >= max(6, min_run + 2)), key=lambda i: -len(xs[i]))
+    while order:
+        most = max(1, cells // len(xs[order[0]]))
+        part, order = order[:most], order[most:]
+        with np.errstate(all="ignore"):
+            told = _alarms([xs[i] for i in part], np.array([hazards[i] for i in part]), drop, min_run, cooldown)
+        for i, alarms in zip(part, told):
+            out[i] = merged(alarms, merge)
+    return out
+
+
 def series(df: DataFrame, entity: str, order: list[str], value: str, least: int = 10) -> DataFrame:
     """entity, i, value of series long enough and not flat; both are decided before any Python runs."""
     w = Window.partitionBy(entity)
@@ -201,9 +267,9 @@ def break_rows(x: np.ndarray, breaks: list[tuple[int, float | None]]) -> list[tu
     """Of each break the standardised difference of the whole series after it and before it, direction and confidence."""
     out = []
     for at, p in breaks:
-        a, b = x[:at], x[at:]
-        d = special.cohens_d(a, b)
-        out.append((at, d, "increase" if b.mean() >= a.mean() else "decrease", abs(d) / (abs(d) + 1) if p is None else p))
+        a, b = special.moments(x[:at]), special.moments(x[at:])
+        d = special.effect(a, b)
+        out.append((at, d, "increase" if b[1] >= a[1] else "decrease", abs(d) / (abs(d) + 1) if p is None else p))
     return out
 
 
