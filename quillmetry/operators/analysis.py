@@ -87,10 +87,6 @@ def decomposed(long: DataFrame, period: int = 30) -> DataFrame:
     return long.groupBy("entity", "feature").applyInPandas(run, "entity bigint, feature string, i int, trend double, seasonal double, rest double")
 
 
-def _ordered(g: pd.DataFrame) -> pd.DataFrame:
-    return g.assign(tie=g["tie"].map(lambda t: tuple(t.values()) if isinstance(t, dict) else t)).sort_values(["ts", "tie"])
-
-
 #: Time of a value without one, after all others.
 _NEVER = 2**63 - 1
 
@@ -149,30 +145,40 @@ TESTS = "entity bigint, feature string, method string, at int, test string, stat
 
 
 def tests_at(long: DataFrame, found: DataFrame, least: int = 10, seed: int = 42) -> DataFrame:
-    """The two-sample tests at each break: the series is imputed once, the break is the first value at or after its time."""
-
-    def run(series: pd.DataFrame, breaks: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        if len(series) >= 6 and len(breaks):
-            g = _ordered(series)
-            x, ts = cp.finite(g["value"].to_numpy(float)), g["ts"].to_numpy()
-            for b in breaks.itertuples():
-                k = min(max(int(np.searchsorted(ts, np.datetime64(b.ts), "left")), 1), len(x) - 1)
-                p, q = x[:k], x[k:]
-                if len(p) < least or len(q) < least:
-                    rows.append((b.method, k, "none", None, None, None, None, None, "short_segment", False))
+    """The two-sample tests at each break: the series is imputed once, the break is the first value at or after its time.
+
+    Series of like length come together, since splits of the same sizes share the draws of their intervals.
+    """
+
+    def run(batches):
+        for batch in batches:
+            columns = [_lists(batch.column(c)) for c in ("ts", "value", "at", "method")]
+            rows: list[tuple] = []
+            todo: list[tuple] = []
+            for i, (ts, x, at, methods) in enumerate(zip(*columns)):
+                if len(x) < 6:
                     continue
-                flat = bool(p.std() < 1e-12 and q.std() < 1e-12)
-                lo, hi = cp.bootstrap_ci(p, q, seed=seed)
-                rows += [(b.method, k, name, stat, pv, special.cohens_d(p, q), lo, hi, None, flat) for name, stat, pv in cp.two_sample(p, q)]
-        out = pd.DataFrame(rows, columns=["method", "at", "test", "statistic", "p", "d", "ci_lo", "ci_hi", "skipped", "degenerate"])
-        key = series if len(series) else breaks
-        out.insert(0, "feature", key["feature"].iloc[0])
-        out.insert(0, "entity", key["entity"].iloc[0])
-        return out
-
-    s = long.select("entity", "feature", F.col("ts").cast("timestamp").alias("ts"), "tie", "value").groupBy("entity", "feature")
-    return s.cogroup(found.select("entity", "feature", "method", "ts").groupBy("entity", "feature")).applyInPandas(run, TESTS)
+                x = cp.finite(x)
+                places = np.clip(np.searchsorted(ts, at, "left"), 1, len(x) - 1).tolist()
+                for k, method in zip(places, methods):
+                    if k < least or len(x) - k < least:
+                        rows.append((i, method, k, "none", None, None, None, None, None, "short_segment", False))
+                fit = sorted({k for k in places if k >= least and len(x) - k >= least})
+                tests = dict(zip(fit, cp.two_samples(x, fit)))
+                todo += [(i, x, k, [m for p, m in zip(places, methods) if p == k], tests[k]) for k in fit]
+            for (i, x, k, methods, tests), (lo, hi) in zip(todo, cp.bootstrap_cis([(x, k) for _, x, k, _, _ in todo], seed=seed)):
+                a, b = special.moments(x[:k]), special.moments(x[k:])
+                flat = all(math.sqrt(v * (n - 1) / n) < 1e-12 for n, _, v in (a, b))
+                d = special.effect(a, b)
+                rows += [(i, method, k, name, stat, pv, d, lo, hi, None, flat) for method in methods for name, stat, pv in tests]
+            yield _named(batch, rows, _schema(TESTS))
+
+    s = series_rows(long.select(F.col("entity").cast("long"), "feature", "ts", "tie", F.col("value").cast("double")))
+    breaks = found.groupBy(F.col("entity").cast("long").alias("_e"), F.col("feature").alias("_f")).agg(F.collect_list(F.struct(F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(_NEVER)).alias("at"), "method")).alias("b"))
+    met = s.join(breaks, F.col("entity").eqNullSafe(F.col("_e")) & F.col("feature").eqNullSafe(F.col("_f")))
+    near = met.select("entity", "feature", "ts", "value", F.col("b.at").alias("at"), F.col("b.method").alias("method"), F.size("value").alias("_n"))
+    near = near.repartitionByRange(max(1, long.sparkSession.sparkContext.defaultParallelism), "_n", "entity", "feature").sortWithinPartitions("_n").drop("_n")
+    return near.mapInArrow(run, TESTS)
 
 
 def rankable(p: str = "p", skipped: str = "skipped", degenerate: str = "degenerate") -> Column:

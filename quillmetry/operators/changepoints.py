@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -301,23 +302,76 @@ def bootstrap_ci(a: np.ndarray, b: np.ndarray, n: int = 1000, alpha: float = 0.0
     return float(lo), float(hi)
 
 
+#: Numbers of a matrix of draws, and series that are drawn for at once. Fewer series than _FEW look their draws up.
+_CELLS, _SERIES, _FEW = 1 << 18, 512, 3
+
+
+def bootstrap_cis(splits: list[tuple[np.ndarray, int]], n: int = 1000, alpha: float = 0.05, seed: int = 42) -> list[tuple[float, float]]:
+    """bootstrap_ci() of many series, each split at a place inside, with the same draws.
+
+    The draws hang on the two sides' sizes alone. So they are made once for all splits of the same sizes, as a table of how
+    often each place is drawn, and the means of all these series are one product of matrices.
+    """
+
+    def means(rng: np.random.Generator, sides: np.ndarray) -> np.ndarray:
+        size, many = sides.shape
+        out = np.empty((n, many))
+        step = max(1, _CELLS // size)
+        for lo in range(0, n, step):
+            rows = min(step, n - lo)
+            drawn = rng.integers(0, size, (rows, size))
+            if many < _FEW:
+                for j in range(many):
+                    out[lo : lo + rows, j] = sides[:, j].take(drawn).mean(1)
+            else:
+                drawn += np.arange(rows)[:, None] * size
+                out[lo : lo + rows] = np.bincount(drawn.ravel(), minlength=rows * size).reshape(rows, size).astype(float) @ sides / size
+        return out
+
+    out: list[tuple[float, float]] = [(0.0, 0.0)] * len(splits)
+    order = sorted(range(len(splits)), key=lambda i: (splits[i][1], len(splits[i][0])))
+    for k, of_k in groupby(order, key=lambda i: splits[i][1]):
+        of_k = list(of_k)
+        for lo in range(0, len(of_k), _SERIES):
+            part = of_k[lo : lo + _SERIES]
+            rng = np.random.default_rng(seed)
+            before = means(rng, np.column_stack([splits[i][0][:k] for i in part]))
+            state = rng.bit_generator.state
+            for _, same in groupby(range(len(part)), key=lambda j: len(splits[part[j]][0])):
+                same = list(same)
+                rng.bit_generator.state = state
+                gaps = means(rng, np.column_stack([splits[part[j]][0][k:] for j in same])) - before[:, same]
+                for j, lo_hi in zip(same, np.percentile(gaps, [100 * alpha / 2, 100 * (1 - alpha / 2)], axis=0).T.tolist()):
+                    out[part[j]] = tuple(lo_hi)
+    return out
+
+
+def two_samples(x: np.ndarray, cuts: list[int]) -> list[list[tuple[str, float, float]]]:
+    """At each cut of a series, of its parts before and after: Welch's t, Mann-Whitney U (exact for a side of eight at most without ties, else normal with ties and continuity) and Kolmogorov-Smirnov: name, statistic, p. The series is ranked once."""
+    n, out = len(x), []
+    _, inverse, counts = np.unique(x, return_inverse=True, return_counts=True)
+    upto = np.cumsum(counts)
+    ranks = (upto - (counts - 1) / 2)[inverse]
+    order, ties = np.argsort(inverse, kind="stable"), (counts**3 - counts).sum()
+    for na in cuts:
+        nb = n - na
+        (_, ma, va), (_, mb, vb) = special.moments(x[:na]), special.moments(x[na:])
+        q = va / na + vb / nb
+        t = (mb - ma) / math.sqrt(q) if q > 0 else 0.0
+        df = q * q / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)) if q > 0 else 1.0
+        u = ranks[na:].sum() - nb * (nb + 1) / 2
+        sd = math.sqrt(na * nb / 12 * ((n + 1) - ties / (n * (n - 1))))
+        z = max(0.0, abs(u - na * nb / 2) - 0.5) / sd if sd > 0 else 0.0
+        exact = min(na, nb) <= 8 and len(counts) == n  # a small side without ties
+        first = np.cumsum(order < na)[upto - 1]
+        ks = np.abs(first / na - (upto - first) / nb).max()
+        out.append([("welch", float(t), special.t_sf2(float(t), float(df)) if q > 0 else 1.0), ("mann_whitney", float(u), special.u_exact_sf2(float(u), na, nb) if exact else special.normal_sf2(z)), ("ks", float(ks), special.kolmogorov_sf(float(ks) * math.sqrt(na * nb / n)))])
+    return out
+
+
 def two_sample(a: np.ndarray, b: np.ndarray) -> list[tuple[str, float, float]]:
-    """Welch's t, Mann-Whitney U (exact for a side of eight at most without ties, else normal with ties and continuity) and Kolmogorov-Smirnov: name, statistic, p."""
-    va, vb, na, nb = a.var(ddof=1), b.var(ddof=1), len(a), len(b)
-    q = va / na + vb / nb
-    t = (b.mean() - a.mean()) / math.sqrt(q) if q > 0 else 0.0
-    df = q * q / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)) if q > 0 else 1.0
-    both = np.concatenate([a, b])
-    _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
-    u = ranks[na:].sum() - nb * (nb + 1) / 2
-    n = na + nb
-    sd = math.sqrt(na * nb / 12 * ((n + 1) - ((counts**3 - counts).sum()) / (n * (n - 1))))
-    z = max(0.0, abs(u - na * nb / 2) - 0.5) / sd if sd > 0 else 0.0
-    exact = min(na, nb) <= 8 and len(counts) == n  # a small side without ties
-    grid = np.sort(both)
-    ks = np.abs(np.searchsorted(np.sort(a), grid, "right") / na - np.searchsorted(np.sort(b), grid, "right") / nb).max()
-    return [("welch", float(t), special.t_sf2(float(t), float(df)) if q > 0 else 1.0), ("mann_whitney", float(u), special.u_exact_sf2(float(u), na, nb) if exact else special.normal_sf2(z)), ("ks", float(ks), special.kolmogorov_sf(float(ks) * math.sqrt(na * nb / n)))]
+    """two_samples() of two sides."""
+    return two_samples(np.concatenate([a, b]), [len(a)])[0]
 
 
 TESTS = "entity bigint, at int, test string, statistic double, p double, d double, ci_lo double, ci_hi double, skipped string"

@@ -44,3 +44,32 @@ def test_changes_of_many_series(spark):
             want += [(e, "bocpd", at, d) for at, d, _, _ in cp.break_rows(x, cp.bocpd(x, 3 / len(x)))]
     assert sorted((r.entity, r.method, r["at"], r.d) for r in found) == sorted(want) and {m for _, m, _, _ in want} == {"pelt", "bocpd"}
     assert all((r.ts - found[0].ts).days == r["at"] // 2 - found[0]["at"] // 2 for r in found)
+
+
+def test_intervals_of_many_splits():
+    xs = shifted((40, 43))
+    splits = [(x, k) for x in xs for k in (10, 25, 30)] + [(xs[0][:31], 11)]
+    for (x, k), got in zip(splits, cp.bootstrap_cis(splits, n=200)):
+        assert np.allclose(got, cp.bootstrap_ci(x[:k], x[k:], n=200), rtol=1e-9, atol=1e-12)
+    assert [cp.two_sample(x[:k], x[k:]) for x in xs for k in (5, 20)] == [t for x in xs for t in cp.two_samples(x, [5, 20])]
+    many = [(x, k) for x in shifted((300,)) for k in (150, 155)] * 4
+    took = []
+    for run in (lambda: cp.bootstrap_cis(many), lambda: [cp.bootstrap_ci(x[:k], x[k:]) for x, k in many]):
+        began = time.thread_time()
+        run()
+        took.append(time.thread_time() - began)
+    assert took[0] < 0.5 * took[1]
+
+
+def test_tests_of_many_series(spark):
+    xs = shifted((12, 60))
+    rows = [(e, k, k, float(v)) for e, x in enumerate(xs) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "e bigint, d int, tie bigint, v double").withColumn("ts", F.expr("timestamp'2020-01-01' + make_interval(0, 0, 0, d)"))
+    found = df.filter("d in (4, 30, 50)").selectExpr("e as entity", "'v' as feature", "'m' as method", "ts")
+    got = {(r.entity, r["at"], r.test): r for r in an.tests_at(an.long_form(df, "e", "ts", ["tie"], {"v": "v"}), found.unionByName(found.withColumn("entity", F.lit(999)))).collect()}
+    assert len(got) == sum(1 if len(x) == 12 else 7 for x in xs) and all(r.skipped == "short_segment" for (_, at, _), r in got.items() if at == 4)
+    for (e, at, test), r in got.items():
+        if test != "none":
+            a, b = xs[e][:at], xs[e][at:]
+            assert {(n, s, p) for n, s, p in cp.two_sample(a, b) if n == test} == {(test, r.statistic, r.p)} and r.d == cp.special.cohens_d(a, b)
+            assert np.allclose((r.ci_lo, r.ci_hi), cp.bootstrap_ci(a, b), rtol=1e-9, atol=1e-12)
