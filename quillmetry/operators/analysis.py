@@ -289,10 +289,24 @@ def contrast(long: DataFrame, families: dict[str, str], least: int = 30, alpha:
     return x.groupBy("entity").applyInPandas(run, "entity bigint, a string, b string, n_a bigint, n_b bigint, family string, features string")
 
 
+def _most_labels(labels: np.ndarray, inside: list[tuple[int, int]]) -> np.ndarray:
+    """labels: a row per order of the same labels. The largest number of distinct labels in any of the spans, of each row."""
+    rows, n = labels.shape
+    lo, hi = (np.array(x) for x in zip(*inside))
+    kind = np.int16 if n < 2**15 else np.int32
+    across = np.ascontiguousarray(labels.T)
+    distinct, upto = np.zeros((len(inside), rows), np.int32), np.zeros((n + 1, rows), kind)
+    for name in np.unique(labels[0]):
+        np.cumsum(across == name, axis=0, out=upto[1:], dtype=kind)
+        distinct += upto[hi] > upto[lo]
+    return distinct.max(0)
+
+
 def label_permutation(points: DataFrame, windows: DataFrame, total: int, n: int = 1000, seed: int = 42) -> DataFrame:
     """entity, observed, null_mean, p: the largest share of distinct features in an entity's windows, against shuffled labels.
 
-    points: entity, day, feature; windows: entity, start, stop. Every entity has a seed of its own.
+    points: entity, day, feature; windows: entity, start, stop. Every entity has a seed of its own. All orders are counted
+    together. Without a window that holds a point every share is 0.
     """
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -302,15 +316,20 @@ def label_permutation(points: DataFrame, windows: DataFrame, total: int, n: int
         _, labels = np.unique(a["feature"], return_inverse=True)
         days = pd.to_datetime(a["day"]).to_numpy()
         starts, stops = (pd.to_datetime(b[c]).to_numpy() for c in ("start", "stop"))
-        inside = sorted({(int(np.searchsorted(days, s, "left")), int(np.searchsorted(days, e, "right"))) for s, e in zip(starts, stops)})
-        share = lambda x: max((len(np.unique(x[lo:hi])) for lo, hi in inside if hi > lo), default=0) / total
-        rng = np.random.default_rng([seed, int(a["entity"].iloc[0])])
-        null = np.array([share(rng.permutation(labels)) for _ in range(n)])
-        seen = share(labels)
+        spans = zip(np.searchsorted(days, starts, "left").tolist(), np.searchsorted(days, stops, "right").tolist())
+        inside = sorted({(lo, hi) for lo, hi in spans if hi > lo})
+        seen, null = 0.0, np.zeros(n)
+        if inside:
+            rng = np.random.default_rng([seed, int(a["entity"].iloc[0])])
+            seen = _most_labels(labels[None, :], inside)[0] / total
+            step = max(1, (1 << 20) // len(labels))
+            null = np.concatenate([_most_labels(rng.permuted(np.tile(labels, (min(step, n - at), 1)), axis=1), inside) for at in range(0, n, step)]) / total
         return pd.DataFrame([(a["entity"].iloc[0], seen, float(null.mean()), float(((null >= seen).sum() + 1) / (n + 1)))], columns=["entity", "observed", "null_mean", "p"])
 
-    left = points.select("entity", "day", "feature").groupBy("entity")
-    return left.cogroup(windows.select(F.col("entity").alias("_entity"), "start", "stop").groupBy("_entity")).applyInPandas(run, "entity bigint, observed double, null_mean double, p double")
+    spark = points.sparkSession  # few bytes an entity, but much work: the partitions aren't to be put together by their bytes
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left = points.select("entity", "day", "feature").repartition(parts, "entity").groupBy("entity")
+    return left.cogroup(windows.select(F.col("entity").alias("_entity"), "start", "stop").repartition(parts, "_entity").groupBy("_entity")).applyInPandas(run, "entity bigint, observed double, null_mean double, p double")
 
 
 def calibration(series: DataFrame, trials: int = 5, shift: float = 2.0, tolerance: int = 10, penalty: float = 5.0, seed: int = 42) -> DataFrame:

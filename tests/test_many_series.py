@@ -73,3 +73,23 @@ def test_tests_of_many_series(spark):
             a, b = xs[e][:at], xs[e][at:]
             assert {(n, s, p) for n, s, p in cp.two_sample(a, b) if n == test} == {(test, r.statistic, r.p)} and r.d == cp.special.cohens_d(a, b)
             assert np.allclose((r.ci_lo, r.ci_hi), cp.bootstrap_ci(a, b), rtol=1e-9, atol=1e-12)
+
+
+def test_labels_in_all_orders_at_once(spark):
+    rng = np.random.default_rng(4)
+    days = np.sort(rng.integers(0, 300, 130))
+    names = rng.integers(0, 5, 130)
+    points = spark.createDataFrame([(7, int(d), f"f{k}") for d, k in zip(days, names)], "entity bigint, d int, feature string").selectExpr("entity", "date_add(date'2020-01-01', d) as day", "feature")
+    windows = points.selectExpr("entity", "day as start", "date_add(day, 3) as stop").distinct()
+    r = an.label_permutation(points, windows, 5, n=50).first()
+    labels = np.array([k for _, k in sorted(zip(days, names))])
+    share = lambda x: max(len(set(x[(days >= d) & (days <= d + 3)])) for d in days) / 5
+    draws = np.random.default_rng([42, 7])
+    null = [share(draws.permutation(labels)) for _ in range(50)]
+    assert (r.observed, r.null_mean) == (share(labels), float(np.mean(null))) and r.p == (sum(x >= share(labels) for x in null) + 1) / 51
+    spans = sorted({(int(np.searchsorted(days, d)), int(np.searchsorted(days, d + 3, "right"))) for d in days})
+    began = time.thread_time()
+    an._most_labels(np.tile(labels, (1000, 1)), spans)
+    assert time.thread_time() - began < 0.3  # a second and more, window by window
+    outside = windows.selectExpr("entity", "date_add(start, 1000) as start", "date_add(stop, 1000) as stop")
+    assert an.label_permutation(points, outside, 5, n=50).first()[1:] == (0.0, 0.0, 1.0)
