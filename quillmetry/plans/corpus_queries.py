@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmetry.operators import documents as docs
+from quillmetry.operators import peers
 from quillmetry.plans.catalog import query
 from quillmetry.plans.dialect import both, spelled
 from quillmetry.plans.dialect import rounded as R
@@ -35,23 +36,12 @@ r as (select p.a, avg(coalesce(s.dot / (lu.len * lv.len), 0)) as similarity from
 select c.a as doc_id, c.peers, r.similarity from c left join r on c.a = r.a where c.peers > 0"""
 
 
-@spelled("self_similarity", SELF_SIMILARITY_SQL, "documents")
-def _():
+@query("self_similarity", SELF_SIMILARITY_SQL)
+def self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean TF-IDF cosine of a document to its peers of the last 30 days, from five peers on; every document has its own
     weights, fitted on itself and its peers."""
-    return r"""
-with d as (select doc_id, source, unix_date(cast(cast(published_at as timestamp_ntz) as date)) as day, regexp_extract_all(lower(text), r'[\pL]+', 0) as w from {documents} where published_at is not null and source is not null and text is not null),
-f as (select doc_id, term, count(*) as tf from (select doc_id, explode(w) as term from d) group by 1, 2),
-blocks as (select doc_id, source, day, explode(array(floor(day / 30), floor(day / 30) + 1)) as block from d),
-q as (select a.doc_id as a, b.doc_id as m from (select *, floor(day / 30) as block from d) a join blocks b on a.source = b.source and a.block = b.block and b.day < a.day and a.day - b.day <= 30),
-c as (select a, count(*) as peers from q group by 1),
-p as (select q.a, q.m, c.peers from q join c on q.a = c.a where c.peers >= 5 union all select a, a, peers from c where peers >= 5),
-t as (select p.a, p.m, p.peers, f.term, f.tf from p join f on p.m = f.doc_id),
-x as (select a, m, term, tf * (ln((2 + peers) / (1D + count(*) over (partition by a, term))) + 1) as x from t),
-l as (select a, m, sqrt(sum(x * x)) as len from x group by 1, 2),
-s as (select a, m, sum(x * own) as dot from (select a, m, x, max(case when m = a then x end) over (partition by a, term) as own from x) y where m <> a group by 1, 2),
-n as (select s.a, s.m, s.dot / (lu.len * lv.len) as sim from s join l lu on lu.a = s.a and lu.m = s.a join l lv on lv.a = s.a and lv.m = s.m)
-select c.a as doc_id, c.peers, case when c.peers >= 5 then coalesce(z.total, 0D) / c.peers end as similarity from c left join (select a, sum(coalesce(sim, 0)) as total from n group by 1) z on c.a = z.a"""
+    d = table(spark, sf_dir, "documents", ["doc_id", "source", "published_at", "text"]).filter("published_at is not null and source is not null and text is not null")
+    return peers.self_similarity(d.select("doc_id", "source", F.expr("unix_date(cast(cast(published_at as timestamp_ntz) as date))").cast("long").alias("day"), "text"))
 
 
 @both("bigram_perplexity", "documents")
