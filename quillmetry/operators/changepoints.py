@@ -230,7 +230,7 @@ def _alarms(xs: list[np.ndarray], hazard: np.ndarray, drop: float, min_run: int,
     return told
 
 
-def bocpd_many(xs: list[np.ndarray], hazards: list[float], drop: float = 0.5, min_run: int = 5, cooldown: int = 3, merge: int = 2, cells: int = 1 << 14) -> list[list[tuple[int, float]]]:
+def bocpd_many(xs: list[np.ndarray], hazards: list[float], drop: float = 0.5, min_run: int = 5, cooldown: int = 3, merge: int = 2, cells: int = 1 << 15) -> list[list[tuple[int, float]]]:
     """bocpd() of many series, several at a time: as many of like length as fill `cells` of a matrix."""
     out: list[list[tuple[int, float]]] = [[] for _ in xs]
     order = sorted((i for i, x in enumerate(xs) if len(x) >= max(6, min_run + 2)), key=lambda i: -len(xs[i]))

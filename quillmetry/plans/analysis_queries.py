@@ -279,15 +279,17 @@ def entity_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _long(spark, sf_dir)
     enough = long.groupBy("entity").agg((F.count("*") / len(FEATURES)).alias("n")).filter("n >= 50").select("entity")
     finished = enough.filter("entity % 10 = 0")
-    long = long.join(enough, "entity", "left_semi").join(finished, "entity", "left_anti")
+    entities = written(enough.join(finished, "entity", "left_anti"), "entities")
+    long = long.join(entities, "entity", "left_semi")
     found = written(an.changes(long), "changes")
     tests = an.gated(written(an.tests_at(long, found), "tests").withColumn("id", F.concat_ws("/", "entity", "feature", "method", "at", "test")), "id")
+    significant = written(tests.filter("significant").groupBy("entity").agg(F.count("*").alias("significant")), "significant")
     family = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
     points = found.select("entity", F.col("ts").cast("date").alias("day"), "feature", family[F.col("feature")].alias("family"), "d", F.col("confidence").alias("strength"))
-    s = {k: v.join(long.select("entity").distinct(), "entity", "left_semi") for k, v in signals(spark, sf_dir).items()}
-    windows = cv.convergence(points=points, **{k: v for k, v in s.items() if k != "points"}).filter("admitted")
-    by = long.select("entity").distinct()
-    for name, rows in (("changes", found), ("significant", tests.filter("significant")), ("windows", windows)):
-        by = by.join(rows.groupBy("entity").agg(F.count("*").alias(name)), "entity", "left")
-    by = by.na.fill(0).join(windows.groupBy("entity").agg(F.max(F.least("a", "b")).alias("best")), "entity", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    s = {k: v.join(entities, "entity", "left_semi") for k, v in signals(spark, sf_dir).items() if k != "points"}
+    windows = cv.convergence(points=points, **s).filter("admitted").groupBy("entity").agg(F.count("*").alias("windows"), F.max(F.least("a", "b")).alias("best"))
+    by = entities
+    for rows in (found.groupBy("entity").agg(F.count("*").alias("changes")), significant, written(windows, "windows")):
+        by = by.join(rows, "entity", "left")
+    by = by.na.fill(0, ["changes", "significant", "windows"]).withColumn("best", F.coalesce("best", F.lit(0.0)))
     return ranks.ranked(by, [F.desc("significant"), F.desc("windows"), F.desc("best"), F.col("entity")], rank="place", total="entities").drop("_range")

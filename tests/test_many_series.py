@@ -93,3 +93,10 @@ def test_labels_in_all_orders_at_once(spark):
     assert time.thread_time() - began < 0.3  # a second and more, window by window
     outside = windows.selectExpr("entity", "date_add(start, 1000) as start", "date_add(stop, 1000) as stop")
     assert an.label_permutation(points, outside, 5, n=50).first()[1:] == (0.0, 0.0, 1.0)
+
+
+def test_plan_of_the_whole_analysis_stays_small(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["entity_analysis"](spark, entry.SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") <= 12  # its tables by then are written; 200 scans and more before
